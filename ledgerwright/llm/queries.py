@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, mixing
+from ledgerwright.llm import decontaminate, language, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.op1_language_id,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
