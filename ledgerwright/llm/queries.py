@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, language, mixing
+from ledgerwright.llm import decontaminate, language, mixing, neighbours
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
+        "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
