@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, language, mixing, neighbours
+from ledgerwright.llm import decontaminate, jaccard, language, mixing, neighbours
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
+        "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
