@@ -40,3 +40,41 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
     roots = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(roots.select("node"), "node", "left_anti"))
+
+
+def connect(lists: DataFrame, attributes: list[str], may_link, prove) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and the proven links (a, b), from inverted ``lists`` (signature, node, *attributes).
+
+    Any two nodes that link stand together in a list. may_link() is a condition on the attributes with _a and _b
+    appended; prove(pairs) keeps the pairs (a, b) that link. First every list is linked to its smallest node, and what
+    stays apart from that node's component to a second one; then all pairs of a list that still stand in
+    different components are proven. Pairs within a component need no proof, so a large group costs about one pair a
+    member, and no link between components is lost.
+    """
+    lists = cut(lists.distinct().withColumn("component", F.col("node")))
+    rest, links, tried = lists, None, None
+    kept = ["node", *attributes]
+    for again in (True, False):
+        leader = rest.groupBy("signature").agg(F.min(F.struct(*kept)).alias("l"))
+        pairs = rest.join(leader, "signature").where(F.col("node") > F.col("l.node"))
+        pairs = pairs.select(F.col("l.node").alias("a"), F.col("node").alias("b"), *[F.col(f"l.{x}").alias(f"{x}_a") for x in attributes], *[F.col(x).alias(f"{x}_b") for x in attributes])
+        pairs = pairs.where(may_link()).select("a", "b").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        proven = cut(prove(pairs))
+        links = proven if links is None else links.unionByName(proven)
+        label = cut(components(links))
+        lists = lists.drop("component").join(lean(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = lists.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
+        lists = cut(lists.join(apart, "signature", "left_semi"))
+        if again:
+            first = lists.groupBy("signature").agg(F.min(F.struct("node", "component")).alias("f"))
+            rest = cut(lists.join(first, "signature").where(F.col("component") != F.col("f.component")).drop("f"))
+    groups = cut(lists.select("signature", "component").distinct())
+    apart = groups.join(groups.select("signature", F.col("component").alias("component_b")), "signature").where("component < component_b")
+    left = lists.select("signature", "component", F.col("node").alias("a"), *[F.col(x).alias(f"{x}_a") for x in attributes])
+    right = lists.select("signature", F.col("component").alias("component_b"), F.col("node").alias("b"), *[F.col(x).alias(f"{x}_b") for x in attributes])
+    pairs = apart.join(left, ["signature", "component"]).join(right, ["signature", "component_b"]).where(may_link())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(cut(prove(cut(pairs))))
+    return cut(components(links)), links

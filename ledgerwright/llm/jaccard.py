@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.components import components, lean
+from ledgerwright.llm.components import connect, lean
 from ledgerwright.llm.shared import cut, row_key, small_batches, utf8
 
 SHINGLE = 5
@@ -45,8 +45,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z lowered, cut at ASCII space) of joined texts, and the n + 1 offsets of the texts in them."""
+def word_hashes(raw: np.ndarray, at: np.ndarray, sizes: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the words (A-Z lowered, cut at ASCII space) of joined texts, and the n + 1 offsets of the texts in them; if asked for, their sizes in bytes too."""
     solid = np.zeros(len(raw) + 1, bool)
     solid[:-1] = ~_SPACE[raw]
     begins = solid[:-1].copy()
@@ -56,7 +56,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begins[cuts] = solid[cuts]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(at), np.int64), *[np.zeros(0, np.int64)] * sizes)
     after = ~solid  # a word ends at the next space or the next start
     after[starts[1:]] = True
     stops = np.flatnonzero(after)
@@ -65,7 +65,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_RANDOM[_LOWER[raw]] * power[:-1], out=total[1:])
     back = powers(_INVERSE, len(raw) + 1)
-    return mixed((total[ends] - total[starts]) * back[starts]), np.searchsorted(starts, at)
+    return (mixed((total[ends] - total[starts]) * back[starts]), np.searchsorted(starts, at), *[ends - starts] * sizes)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE):
@@ -222,10 +222,8 @@ def fits(a: str = "n_a", b: str = "n_b", percent: int = PERCENT):
 def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n, node), one per distinct (doc_id, text), and (node, component) of the nodes with links.
 
-    A node is a class of documents with one shingle set. Nodes meet on signatures: subsets for small sets, prefixes for
-    large ones. First each list of nodes is linked to its smallest node, twice over what stays apart; then all
-    pairs of a list that stand in different components are verified. Pairs within a component need no proof,
-    so a large group of near copies costs one pair a member, and no link between components is lost.
+    A node is a class of documents with one shingle set. Nodes meet on signatures: subsets for small sets, prefixes
+    for large ones, rare shingles first.
     """
     spark = docs.sparkSession
     seen = cut(survey(docs))
@@ -246,36 +244,8 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     marks = signatures(firsts.select("node", "text"), frequent, boundary, percent)
     shared = marks.select(F.hash("signature").alias("h")).groupBy("h").count().where("count > 1").select("h")
     lists = marks.withColumn("h", F.hash("signature")).join(shared, "h").drop("h")
-    lists = cut(lists.distinct().join(lean(classes.select("node", "n")), "node").withColumn("component", F.col("node")))
-    rest, links, tried = lists, None, None
-    for again in (True, False):
-        leader = rest.groupBy("signature").agg(F.min(F.struct("node", "n")).alias("l"))
-        pairs = rest.join(leader, "signature").where(F.col("node") > F.col("l.node"))
-        pairs = pairs.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b")).where(fits()).select("a", "b").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        proven = cut(verified(pairs, firsts, percent))
-        links = proven if links is None else links.unionByName(proven)
-        label = cut(components(links))
-        lists = lists.drop("component").join(lean(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = lists.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-        lists = cut(lists.join(apart, "signature", "left_semi"))
-        if again:  # what stands apart from the first leader's component gets a leader of its own
-            first = lists.groupBy("signature").agg(F.min(F.struct("node", "component")).alias("f"))
-            rest = cut(lists.join(first, "signature").where(F.col("component") != F.col("f.component")).drop("f"))
-    groups = cut(lists.groupBy("signature", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    right = groups.select("signature", F.col("component").alias("component_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = groups.join(right, "signature").where("component < component_b").where(F.col("high_b") * 100 >= F.col("low") * percent).where(F.col("high") * 100 >= F.col("low_b") * percent)
-    pairs = (
-        apart.join(lists.select("signature", "component", F.col("node").alias("a"), F.col("n").alias("n_a")), ["signature", "component"])
-        .join(lists.select("signature", F.col("component").alias("component_b"), F.col("node").alias("b"), F.col("n").alias("n_b")), ["signature", "component_b"])
-        .where(fits())
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    links = links.unionByName(cut(verified(cut(pairs), firsts, percent)))
-    return rows, cut(components(links))
+    lists = lists.join(lean(classes.select("node", "n")), "node")
+    return rows, connect(lists, ["n"], fits, lambda pairs: verified(pairs, firsts, percent))[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
