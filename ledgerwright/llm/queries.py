@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours
+from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, secret_scan
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language.op1_language_id,
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_line_dedup": lines.op5_line_dedup,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_source_mixing": mixing.op10_source_mixing,
