@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, secret_scan
+from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op6_personal_data": personal_data.op6_personal_data,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
