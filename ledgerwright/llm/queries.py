@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan
+from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_line_dedup": lines.op5_line_dedup,
         "op6_personal_data": personal_data.op6_personal_data,
+        "op7_warc": warc.op7_warc,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc": warc.OP7_SQL,
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op10_source_mixing": mixing.mixing_sql(),
     }
