@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan, warc
+from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan, suffixes, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_personal_data": personal_data.op6_personal_data,
         "op7_warc": warc.op7_warc,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+        "op9_suffix_array_dedup": suffixes.op9_suffix_array_dedup,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
 
