@@ -16,14 +16,14 @@ from ledgerwright.llm.shared import cut, row_key, small_batches, utf8
 
 LENGTH = 50
 #: Bytes of an anchor: the anchor of a LENGTH-byte string is the least hash of its GRAM-byte substrings.
-GRAM = 24
+GRAM = 16
 SPAN = LENGTH - GRAM + 1
 #: Bits of the map of repeated anchors that is broadcast. A fixed size: where it fills, more text is sorted and results stay.
 MAP_BITS = 28
-#: Strings that one segment holds at most, text sorted at once, and distinct segments of an anchor beyond which its strings are grouped one by one.
+#: Strings that one segment holds at most, text sorted at once, and occurrences of an anchor beyond which its strings are dealt out one by one.
 SEGMENT = 64
 CHUNK = 1 << 20
-MANY = 8192
+MANY = 65536
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -153,44 +153,90 @@ def repeated_anchors(docs: DataFrame, slices: int) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(anchor, segment, doc_id, text_hash, start): runs of strings of one anchor that may repeat, with their bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def segments_of(raw: np.ndarray, at: np.ndarray, known: np.ndarray):
+    """Anchor, first string, bytes (start, end) and document of each run of strings of one anchor that may repeat."""
+    start, doc, anchor = anchors(raw, at)
+    index = (anchor >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    hit = np.flatnonzero((known[index >> 3] >> (7 - (index & 7)).astype(np.uint8)) & 1)
+    start, doc, anchor = start[hit], doc[hit], anchor[hit]
+    head = np.ones(len(hit), bool)
+    head[1:] = (np.diff(start) > 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    group = np.flatnonzero(head)
+    since = np.arange(len(hit)) - np.repeat(group, np.diff(np.append(group, len(hit))))
+    group = np.flatnonzero(since % SEGMENT == 0)
+    size = np.diff(np.append(group, len(hit))) + LENGTH - 1
+    return anchor[group], start[group], size, doc[group]
+
+
+def range_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_RANDOM[raw] * powers(_BASE, len(raw) + 1)[:-1], out=total[1:])
+    return mixed((total[start + size] - total[start]) * powers(_INVERSE, len(raw) + 1)[start] ^ size.astype(np.uint64))
+
+
+def pieces(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    offset = np.concatenate(([0], np.cumsum(size)))
+    data = raw[np.arange(offset[-1]) - np.repeat(offset[:-1] - start, size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)])
+
+
+def occurrences(docs: DataFrame, bits) -> DataFrame:
+    """(anchor, segment_id, doc_id, text_hash, start) of every segment that may repeat; segment_id is a hash of its bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known = shared.value
         for batch in small_batches(batches, 4096, 2 << 20):
             raw, at = utf8(batch.column(2))
-            start, doc, anchor = anchors(raw, at)
-            index = (anchor >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-            hit = np.flatnonzero((known[index >> 3] >> (7 - (index & 7)).astype(np.uint8)) & 1)
-            if not len(hit):
+            anchor, start, size, doc = segments_of(raw, at, bits.value)
+            of = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(range_hashes(raw, start, size).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((start - at[doc]).astype(np.int32))], ["anchor", "segment_id", "doc_id", "text_hash", "start"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"anchor long, segment_id long, doc_id {kind}, text_hash long, start int")
+
+
+def segments(docs: DataFrame, bits, many: np.ndarray) -> DataFrame:
+    """(key, segment, anchor, segment_id, shift, first, last): each batch's distinct segments with their bytes and the ends of their doc_ids.
+
+    key is the anchor, so equal strings meet. Segments of the anchors in ``many`` are cut into their strings, each keyed by its own
+    hash, so that no anchor is a hot group.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(many)
+
+    def run(batches):
+        for batch in small_batches(batches, 8192, 2 << 20):
+            raw, at = utf8(batch.column(1))
+            anchor, start, size, doc = segments_of(raw, at, bits.value)
+            if not len(anchor):
                 continue
-            start, doc, anchor = start[hit], doc[hit], anchor[hit]
-            head = np.ones(len(hit), bool)
-            head[1:] = (np.diff(start) > 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            group = np.flatnonzero(head)
-            since = np.arange(len(hit)) - np.repeat(group, np.diff(np.append(group, len(hit))))
-            group = np.flatnonzero(since % SEGMENT == 0)
-            size = np.diff(np.append(group, len(hit))) + LENGTH - 1
-            offset = np.concatenate(([0], np.cumsum(size)))
-            data = raw[np.arange(offset[-1]) - np.repeat(offset[:-1] - start[group], size)]
-            bytes_ = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(data)])
-            of = pa.array(doc[group])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[group].view(np.int64)), bytes_, batch.column(0).take(of), batch.column(1).take(of), pa.array(start[group] - at[doc[group]])], ["anchor", "segment", "doc_id", "text_hash", "start"])
-
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"anchor long, segment binary, doc_id {kind}, text_hash long, start long")
+            ids = batch.column(0).to_numpy()[doc]
+            name = range_hashes(raw, start, size)
+            order = np.lexsort((name, anchor))
+            edge = np.flatnonzero(np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1]))))
+            first, last = np.minimum.reduceat(ids[order], edge), np.maximum.reduceat(ids[order], edge)
+            pick = order[edge]
+            anchor, start, size, name = anchor[pick], start[pick], size[pick], name[pick]
+            hot = np.isin(anchor, shared.value)
+            strings = np.where(hot, size - LENGTH + 1, 1)
+            row = np.repeat(np.arange(len(anchor)), strings)
+            shift = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
+            start, size = start[row] + shift, np.where(hot, LENGTH, size)[row]
+            key = np.where(hot[row], range_hashes(raw, start, size), anchor[row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pieces(raw, start, size), pa.array(anchor[row].view(np.int64)), pa.array(name[row].view(np.int64)), pa.array(shift.astype(np.int32)), pa.array(first[row]), pa.array(last[row])],
+                ["key", "segment", "anchor", "segment_id", "shift", "first", "last"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, segment binary, anchor long, segment_id long, shift int, first long, last long")
 
 
 RUN = "anchor long, segment_id long, low int, high int, first long"
 
 
-def sorted_runs(distinct: DataFrame) -> DataFrame:
-    """For each distinct segment (anchor, segment, segment_id, first, last) the runs low..high of its strings whose smallest document, of any segment, is below last."""
+def sorted_runs(found: DataFrame) -> DataFrame:
+    """For each distinct segment the runs low..high of its strings whose smallest document, of any segment, is below its last one."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        anchor, segment, segment_id, first, last = rows
+    def solve(rows: list[list]) -> pa.RecordBatch:
+        segment, anchor, segment_id, shift, first, last = rows
         size = np.array([len(x) for x in segment], np.int64)
         begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
         text = np.frombuffer(b"\0".join(segment) + b"\0", np.uint8)
@@ -217,35 +263,42 @@ def sorted_runs(distinct: DataFrame) -> DataFrame:
         high = np.append(low[1:], len(best)) - 1
         use = best[low] < last[owner[low]]
         low, high = low[use], high[use]
-        base = (np.cumsum(strings) - strings)[owner[low]]
+        base = (np.cumsum(strings) - strings)[owner[low]] - np.array(shift)[owner[low]]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array(anchor)[owner[low]]), pa.array(np.array(segment_id)[owner[low]]), pa.array((low - base).astype(np.int32)), pa.array((high - base).astype(np.int32)), pa.array(best[low])],
             ["anchor", "segment_id", "low", "high", "first"],
         )
 
     def run(batches):
-        held, size = [[], [], [], [], []], 0
+        held, size, group, last_row, key = [[] for _ in range(6)], 0, [[] for _ in range(6)], None, None
+
+        def keep():
+            """Hold the finished group of a key, unless one document has all of it."""
+            if group[4] and min(group[4]) < max(group[5]):
+                for a, b in zip(held, group, strict=True):
+                    a += b
+                return sum(map(len, group[0])) + len(group[0])
+            return 0
+
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if size >= CHUNK and row[0] != held[0][-1]:
-                    yield solve(held)
-                    held, size = [[], [], [], [], []], 0
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-                size += len(row[1]) + 1
+            for k, *row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
+                if k != key:
+                    size += keep()
+                    group, last_row, key = [[] for _ in range(6)], None, k
+                    if size >= CHUNK:
+                        yield solve(held)
+                        held, size = [[] for _ in range(6)], 0
+                if last_row == row[1:4]:
+                    group[4][-1], group[5][-1] = min(group[4][-1], row[4]), max(group[5][-1], row[5])
+                else:
+                    for column, value in zip(group, row, strict=True):
+                        column.append(value)
+                    last_row = row[1:4]
+        size += keep()
         if size:
             yield solve(held)
 
-    rows = distinct.select("anchor", "segment", "segment_id", "first", "last").repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, RUN)
-
-
-def grouped_runs(distinct: DataFrame) -> DataFrame:
-    """The same for segments of anchors that very many segments share: every string is grouped by its own bytes."""
-    strings = distinct.select("anchor", "segment_id", "first", "last", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - LENGTH)).alias("low"), "segment").withColumn("string", F.expr(f"substring(segment, low + 1, {LENGTH})")).drop("segment")
-    least = strings.groupBy("string").agg(F.min("first").alias("least"))
-    got = strings.join(least, "string").where(F.col("least") < F.col("last"))
-    return got.select("anchor", "segment_id", "low", F.col("low").alias("high"), F.col("least").alias("first"))
+    return found.repartition("key").sortWithinPartitions("key", "segment_id", "shift").mapInArrow(run, RUN)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -253,16 +306,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     slices = 64
     while slices * 4096 < docs.count():
         slices *= 2
-    bits = repeated_anchors(docs, min(slices, 4096))
-    found = segments(docs, bits).withColumn("segment_id", F.xxhash64("segment"))
-    distinct = cut(found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("segment_id", F.xxhash64("segment")))
-    ends = distinct.groupBy("anchor").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", (F.col("n") > MANY).alias("many"))
-    marked = distinct.join(ends, "anchor")
-    runs = sorted_runs(marked.where("not many"))
-    if not ends.where("many").isEmpty():
-        runs = runs.unionByName(grouped_runs(marked.where("many")))
-    runs = cut(runs)
-    met = found.select("anchor", "segment_id", "doc_id", "text_hash", "start").join(runs, ["anchor", "segment_id"]).where(F.col("first") < F.col("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, min(slices, 4096)))
+    found = cut(occurrences(docs, bits))
+    many = found.groupBy("anchor").count().where(F.col("count") > MANY).select("anchor").toArrow()["anchor"]  # at most rows / MANY
+    runs = cut(sorted_runs(segments(docs, bits, np.sort(many.to_numpy()).view(np.uint64))))
+    met = found.join(runs, ["anchor", "segment_id"]).where(F.col("first") < F.col("doc_id"))
     spans = met.select("doc_id", "text_hash", (F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + LENGTH).alias("b"))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
@@ -277,14 +325,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     is sorted. Text of other anchors can't repeat.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
-    named = docs.select(*[c for c in docs.columns], F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank_id"), F.octet_length("text").alias("octets"), row_key()[1], F.hash("text").alias("more_hash"))
-    texts = named.where(f"octets >= {LENGTH}").groupBy("octets", "text_hash", "more_hash").agg(F.min("rank_id").alias("first"), F.max("rank_id").alias("last"))
-    copied = lean(cut(texts.where("first < last").drop("last")))
-    with_first = named.join(copied, ["octets", "text_hash", "more_hash"], "left").withColumn("whole", F.coalesce(F.col("first") < F.col("rank_id"), F.lit(False))).drop("first")
-    sources = with_first.where(f"octets >= {LENGTH} and not whole").select(F.col("rank_id").alias("doc_id"), "text_hash", "text")
-    spans = cut(repeated_spans(sources)).withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"})
-    both = with_first.join(lean(spans), (F.col("rank_id") == F.col("span_id")) & (F.col("text_hash") == F.col("span_hash")), "left")
-    both = both.select(*docs.columns, "whole", F.transform("spans", lambda x: x["a"]).alias("starts"), F.transform("spans", lambda x: x["b"]).alias("ends"))
+    named = docs.select(*[c for c in docs.columns], F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank_id__"), F.octet_length("text").alias("octets__"), row_key()[1].alias("text_hash__"), F.hash("text").alias("more_hash__"))
+    texts = named.where(f"octets__ >= {LENGTH}").groupBy("octets__", "text_hash__", "more_hash__").agg(F.min("rank_id__").alias("first__"), F.max("rank_id__").alias("last__"))
+    copied = lean(cut(texts.where("first__ < last__").drop("last__")))
+    with_first = named.join(copied, ["octets__", "text_hash__", "more_hash__"], "left").withColumn("whole__", F.coalesce(F.col("first__") < F.col("rank_id__"), F.lit(False))).drop("first__")
+    sources = with_first.where(f"octets__ >= {LENGTH} and not whole__").select(F.col("rank_id__").alias("doc_id"), F.col("text_hash__").alias("text_hash"), "text")
+    spans = cut(repeated_spans(sources)).withColumnsRenamed({"doc_id": "span_id__", "text_hash": "span_hash__"})
+    both = with_first.join(lean(spans), (F.col("rank_id__") == F.col("span_id__")) & (F.col("text_hash__") == F.col("span_hash__")), "left")
+    both = both.select(*docs.columns, "whole__", F.transform("spans", lambda x: x["a"]).alias("starts__"), F.transform("spans", lambda x: x["b"]).alias("ends__"))
     where, at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
