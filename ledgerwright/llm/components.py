@@ -19,47 +19,60 @@ def lean(df: DataFrame, rows: int | None = None) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b), both long: component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until no edge changes; each step joins a node's smallest
-    neighbour back to its edges, so no task or driver holds a component. Every second step is written to the
-    shared folder. Repeated edges and loops are allowed; an empty table gives none.
+    Alternates large-star and small-star steps until only stars around the smallest nodes are left; each step joins a
+    node's smallest neighbour back to its edges, so no task or driver holds a component. Every second step is written to
+    the shared folder. Repeated edges and loops are allowed; an empty table gives none.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     while True:
+        smaller = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if smaller.where("n > 1").isEmpty() and now.join(smaller.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break  # every node has one smaller neighbour, which has none: these are the roots
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = both.where("v < u").join(least, "u").where("v = m").select("u", "v")  # each node keeps its smallest neighbour
-        large = large.unionByName(kept).where("u <> v").distinct()
+        met = both.join(least, "u").where("v > u or v = m")  # larger neighbours move to the smallest; each node keeps its smallest
+        large = met.select(F.greatest("u", "v").alias("u"), F.when(F.col("v") > F.col("u"), F.col("m")).otherwise(F.col("v")).alias("v")).where("u <> v")
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_m.select("u", F.col("m").alias("v")))
+        small = large.join(small_m, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-    roots = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(roots.select("node"), "node", "left_anti"))
+    pairs = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
+    return now.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
-def connect(lists: DataFrame, attributes: list[str], may_link, prove) -> tuple[DataFrame, DataFrame]:
-    """(node, component) and the proven links (a, b), from inverted ``lists`` (signature, node, *attributes).
+def connect(lists: DataFrame, nodes: DataFrame, may_link, prove, once=None) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and the proven links (a, b), from inverted ``lists`` (signature, node, pos) and ``nodes`` (node, attributes).
 
-    Any two nodes that link stand together in a list. may_link() is a condition on the attributes with _a and _b
-    appended; prove(pairs) keeps the pairs (a, b) that link. First every list is linked to its smallest node, and what
-    stays apart from that node's component to a second one; then all pairs of a list that still stand in
-    different components are proven. Pairs within a component need no proof, so a large group costs about one pair a
-    member, and no link between components is lost.
+    Any two nodes that link stand together in a list in which may_link() holds, a condition on pos and the attributes with
+    _a and _b appended; prove(pairs) keeps the pairs (a, b) that link; once() may name the one list of several in which a pair counts. Lists of two are pairs; of longer lists with the
+    same members one remains, with each node's least pos. Every list is linked to its smallest node, and what stays apart
+    from that node's component to a second one; then every node outside a list's main component is held against the list's nodes
+    of other components, the condition being part of the join. Pairs within a component need no proof, so a large group
+    costs about one pair a member, and no link between components is lost.
     """
-    lists = cut(lists.distinct().withColumn("component", F.col("node")))
+    attributes = [c for c in nodes.columns if c != "node"]
+    side = {x: lean(nodes).select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in attributes]) for x in "ab"}
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    lists = cut(lists)
+    sums = cut(
+        lists.groupBy("signature")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
+        .where("a < b")
+    )
+    couples = sums.where("n = 2").select("a", "b").distinct()
+    longer = sums.where("n > 2")
+    one = longer.groupBy("n", "a", "b", "members").agg(F.min("signature").alias("of"))
+    longer = cut(longer.join(one, ["n", "a", "b", "members"]).select("signature", "of"))
+    lists = cut(lists.join(lean(longer), "signature").groupBy(F.col("of").alias("signature"), "node").agg(F.min("pos").alias("pos")).withColumn("component", F.col("node")))
     rest, links, tried = lists, None, None
-    kept = ["node", *attributes]
     for again in (True, False):
-        leader = rest.groupBy("signature").agg(F.min(F.struct(*kept)).alias("l"))
-        pairs = rest.join(leader, "signature").where(F.col("node") > F.col("l.node"))
-        pairs = pairs.select(F.col("l.node").alias("a"), F.col("node").alias("b"), *[F.col(f"l.{x}").alias(f"{x}_a") for x in attributes], *[F.col(x).alias(f"{x}_b") for x in attributes])
-        pairs = pairs.where(may_link()).select("a", "b").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        leader = rest.groupBy("signature").agg(F.min(F.struct("node", "pos")).alias("l"))
+        pairs = rest.join(leader, "signature").where(F.col("node") > F.col("l.node")).select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
+        if tried is None:
+            pairs = pairs.unionByName(couples.withColumn("pos_a", F.lit(0)).withColumn("pos_b", F.lit(0)))
+        else:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs.join(side["a"], "a").join(side["b"], "b").where(may_link()).select("a", "b").distinct())
         tried = pairs if tried is None else tried.unionByName(pairs)
         proven = cut(prove(pairs))
         links = proven if links is None else links.unionByName(proven)
@@ -70,11 +83,10 @@ def connect(lists: DataFrame, attributes: list[str], may_link, prove) -> tuple[D
         if again:
             first = lists.groupBy("signature").agg(F.min(F.struct("node", "component")).alias("f"))
             rest = cut(lists.join(first, "signature").where(F.col("component") != F.col("f.component")).drop("f"))
-    groups = cut(lists.select("signature", "component").distinct())
-    apart = groups.join(groups.select("signature", F.col("component").alias("component_b")), "signature").where("component < component_b")
-    left = lists.select("signature", "component", F.col("node").alias("a"), *[F.col(x).alias(f"{x}_a") for x in attributes])
-    right = lists.select("signature", F.col("component").alias("component_b"), F.col("node").alias("b"), *[F.col(x).alias(f"{x}_b") for x in attributes])
-    pairs = apart.join(left, ["signature", "component"]).join(right, ["signature", "component_b"]).where(may_link())
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(cut(prove(cut(pairs))))
+    main = lists.groupBy("signature", "component").count().groupBy("signature").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    right = lists.select(F.col("signature").alias("signature_b"), F.col("component").alias("component_b"), F.col("pos").alias("pos_b"), F.col("node").alias("b")).join(side["b"], "b")
+    left = lists.join(main, "signature").where("component <> main").select("signature", "component", F.col("pos").alias("pos_a"), F.col("node").alias("a")).join(side["a"], "a")
+    pairs = left.join(right, (F.col("signature") == F.col("signature_b")) & (F.col("component") != F.col("component_b")) & (may_link() & once() if once else may_link()))
+    pairs = cut(pairs.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(cut(prove(pairs)))
     return cut(components(links)), links
