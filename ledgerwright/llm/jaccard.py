@@ -16,11 +16,12 @@ from ledgerwright.llm.shared import cut, row_key, small_batches, utf8
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Work for one entry of an inverted list, in subsets of a small set; and the largest size tried as the boundary.
-SCAN_COST = 4.0
+#: Largest size tried as the boundary between small and large sets; the work for an entry of an inverted list comes from the data.
 LARGEST_SMALL = 12
+#: Buckets of the counts that bound a pair's difference from below before its texts are read.
+SKETCH = 256
 #: Shingles kept as frequent, at most; they come last in the order of prefixes. A limit of speed, not of results.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Shingles of partners that one leader meets in one task.
 PART_SHINGLES = 2_000_000
 
@@ -105,8 +106,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def choose_boundary(sizes: dict[int, int], percent: int = PERCENT, scan_cost: float = SCAN_COST) -> int:
-    """The largest size that counts as small, from the number of sets of each size: cheapest in subsets plus scanned entries."""
+def choose_boundary(sizes: dict[int, int], percent: int = PERCENT, scan_cost: float = 4.0) -> int:
+    """The largest size that counts as small, from the number of sets of each size: cheapest in subsets plus scanned entries, ``scan_cost`` each."""
 
     def cost(boundary: int) -> float:
         total = 0.0
@@ -119,7 +120,7 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT, scan_cost: fl
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, text_hash, n, set_a, set_b) and, beside them, rows (shingle, seen) of shingles that stand in more than one document of a batch."""
+    """One row per document (doc_id, text_hash, n, set_a, set_b, sketch) and, beside them, rows (shingle, seen) of shingles that stand in more than one document of a batch."""
     rows = docs.select(*row_key(), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -137,63 +138,82 @@ def survey(docs: DataFrame) -> DataFrame:
             sums = [np.concatenate((zero, np.cumsum(mixed(every ^ np.uint64(salt))))) for salt in (0xA5A5A5A5, 0x51ED270B)]
             set_a, set_b = ((x[ends] - x[ends - n]).view(np.int64) for x in sums)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(set_a), pa.array(set_b), none, none], names)
+            bucket = np.repeat(np.arange(len(n)), n) * SKETCH + (every >> np.uint64(56)).astype(np.int64) % SKETCH
+            sketch = np.minimum(np.bincount(bucket, minlength=len(n) * SKETCH), 255).astype(np.uint8).reshape(len(n), SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(set_a), pa.array(set_b), pa.array([x.tobytes() for x in sketch], pa.binary()), none, none], names)
             every.sort()
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, np.int64)
             seen = np.diff(edge)
             pick = seen > 1
             token = every[edge[:-1][pick]].view(np.int64)
-            blank = [pa.nulls(len(token), t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64())]
+            blank = [pa.nulls(len(token), t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*blank, pa.array(token), pa.array(seen[pick])], names)
 
-    names = ["doc_id", "text_hash", "n", "set_a", "set_b", "shingle", "seen"]
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, set_a long, set_b long, shingle long, seen long")
+    names = ["doc_id", "text_hash", "n", "set_a", "set_b", "sketch", "shingle", "seen"]
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, set_a long, set_b long, sketch binary, shingle long, seen long")
 
 
-def signatures(firsts: DataFrame, frequent: np.ndarray, boundary: int, percent: int = PERCENT) -> DataFrame:
-    """(signature, node): the subsets of small sets and the prefixes of large ones, rare shingles first. ``firsts``: (node, text)."""
+def signatures(firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundary: int, percent: int = PERCENT) -> DataFrame:
+    """(signature, node, pos): the subsets of small sets, pos 0, and the prefixes of large ones, rarest shingles first, with places.
+
+    ``firsts``: (node, text); ``frequent``: sorted shingles and the levels of their counts; others have level 0. Any fixed order is right;
+    this one keeps the lists of prefixes short.
+    """
     shared = firsts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        common = shared.value
+        common, level = shared.value
         picks = {}  # the subsets of each small size, as index arrays
         for batch in small_batches(batches, 2048, 4 << 20):
-            nodes, out, of, sizes, made = batch.column(0).to_numpy(), [], [], [], 0
+            nodes, out, place, of, sizes = batch.column(0).to_numpy(), [], [], [], []
             for node, x in zip(nodes.tolist(), shingle_sets(batch.column(1)), strict=True):
-                n = len(x)
-                if not n:
-                    continue
+                n, full, before = len(x), x, len(out)
                 if n > boundary:
+                    length = prefix_length(n, percent)
                     if len(common):
-                        late = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
-                        ordered = np.concatenate((x[~late], x[late]))
-                    else:
-                        ordered = x
-                    out.append(ordered[: prefix_length(n, percent)])
-                if n <= 2 * boundary:
+                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                        x = x[np.argsort(np.where(common[at] == x, level[at], 0), kind="stable")[:length]]
+                    out.append(x[:length])
+                    place.append(np.arange(length, dtype=np.int32))
+                if 0 < n <= 2 * boundary:
                     if n not in picks:
                         picks[n] = [np.array(list(itertools.combinations(range(n), c)), np.int64) for c in subset_sizes(n, boundary, percent)]
                     for index in picks[n]:
-                        out.append(mixed(mixed(x)[index].sum(1) + np.uint64(index.shape[1])))
+                        out.append(mixed(mixed(full)[index].sum(1) + np.uint64(index.shape[1])))
+                        place.append(np.zeros(len(index), np.int32))
                 of.append(node)
-                sizes.append(sum(map(len, out)) - made)
-                made += sizes[-1]
+                sizes.append(sum(map(len, out[before:])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(of, sizes))], ["signature", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(of, sizes)), pa.array(np.concatenate(place))], ["signature", "node", "pos"])
+
+    return firsts.mapInArrow(run, "signature long, node long, pos int")
 
-    return firsts.mapInArrow(run, "signature long, node long")
+
+def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sketches allow a link: sets differ at least by the sum of the differences of their counts by bucket."""
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                one, two = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(k).to_pylist()]).astype(np.int16) for k in (2, 3))
+                size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+                apart = np.abs(one - two).sum(1, dtype=np.int64)
+                keep = np.flatnonzero((100 + percent) * (size - apart) >= 2 * percent * size)
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b")), "b")
+    return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link. ``texts``: (node, text, n). Each leader a meets its partners in parts of bounded size."""
-    spark = pairs.sparkSession
     needed = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     own = cut(texts.join(lean(needed), "node", "left_semi").dropDuplicates(["node"]))
     sized = pairs.join(lean(own.select(F.col("node").alias("b"), "n")), "b")
-    parts = sized.groupBy("a").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
-    dealt = sized.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1)).cast("long")).cast("int"))
-    members = dealt.join(own.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    leaders = parts.join(own.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    parts = cut(sized.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")))
+    dealt = cut(sized.join(lean(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part")))
+    members = own.select(F.col("node").alias("b"), "text").join(lean(dealt), "b").select("a", "part", "b", "text")
+    leaders = own.select(F.col("node").alias("a"), "text").join(lean(parts), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     met = members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -213,10 +233,14 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return met.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def fits(a: str = "n_a", b: str = "n_b", percent: int = PERCENT):
-    """Sizes that allow a link at all."""
-    small, large = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return small * 100 >= large * percent
+def fits(percent: int = PERCENT):
+    """Whether a list proves a pair possible: sizes near enough, and, both being sorted alike, enough elements from this shared one on.
+
+    It must hold where the first shared element of a pair stands.
+    """
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return near & (F.col("n_a") - F.col("pos_a") >= need) & (F.col("n_b") - F.col("pos_b") >= need)
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -227,13 +251,24 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     seen = cut(survey(docs))
-    rows = seen.where("n is not null").dropDuplicates(["doc_id", "text_hash"]).withColumn("node", F.xxhash64("n", "set_a", "set_b")).select("doc_id", "text_hash", "n", "node")
-    classes = cut(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n")))
+    rows = seen.where("n is not null").dropDuplicates(["doc_id", "text_hash"]).withColumn("node", F.xxhash64("n", "set_a", "set_b")).select("doc_id", "text_hash", "n", "node", "sketch")
+    classes = cut(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()}
-    boundary = choose_boundary(sizes, percent)
-    counted = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= 24)
-    frequent = counted.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    frequent = np.sort(frequent.view(np.uint64))
+    counted = cut(seen.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")))
+    work = counted.agg(F.sum(F.col("seen").cast("double") * F.col("seen")).alias("squares")).first()["squares"] or 0.0
+    total = classes.agg(F.sum("n")).first()[0] or 1
+    boundary = choose_boundary(sizes, percent, 4.0 + work / total)  # a scanned entry meets about its list's length
+    levels = counted.groupBy(F.floor(F.log2("seen")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()  # one row a power of two
+    least, listed = 62, 0
+    for r in levels:
+        listed += r["count"]
+        if listed > FREQUENT:
+            break
+        least = r["level"]
+    top = counted.where(F.col("seen") >= F.lit(1 << least)).toArrow()
+    frequent = top["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(frequent)
+    frequent = (frequent[order], np.log2(top["seen"].to_numpy() + 0.5).astype(np.int8)[order])
     keys = classes.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "node", "n")
     key = row_key()
     firsts = (
@@ -244,8 +279,8 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     marks = signatures(firsts.select("node", "text"), frequent, boundary, percent)
     shared = marks.select(F.hash("signature").alias("h")).groupBy("h").count().where("count > 1").select("h")
     lists = marks.withColumn("h", F.hash("signature")).join(shared, "h").drop("h")
-    lists = lists.join(lean(classes.select("node", "n")), "node")
-    return rows, connect(lists, ["n"], fits, lambda pairs: verified(pairs, firsts, percent))[0]
+    sketches = classes.select("node", "n", "sketch")
+    return rows.drop("sketch"), connect(lists, classes.select("node", "n"), lambda: fits(percent), lambda pairs: verified(cut(near_enough(pairs, sketches, percent)), firsts, percent))[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -259,9 +294,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows, joined = similar_classes(docs, percent)
     classed = rows.join(joined, "node", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     smallest = classed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    done = classed.join(lean(cut(smallest)), "group", "left").select(F.col("doc_id").alias("row_id"), F.col("text_hash").alias("row_hash"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("node").alias("class_id"))
+    done = classed.join(lean(cut(smallest)), "group", "left").select(F.col("doc_id").alias("row__id"), F.col("text_hash").alias("row__hash"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("node").alias("class_id"))
     key = row_key()
-    return docs.withColumn("text_hash", key[1]).join(lean(cut(done)), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash"))).drop("text_hash", "row_id", "row_hash")
+    return docs.withColumn("own__hash", key[1]).join(lean(cut(done)), F.col("doc_id").eqNullSafe(F.col("row__id")) & (F.col("own__hash") == F.col("row__hash"))).drop("own__hash", "row__id", "row__hash")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
