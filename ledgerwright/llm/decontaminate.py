@@ -83,11 +83,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     nothing; an item without words has no window.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
-    hits = contamination(docs, benchmark, window).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), covered_words(F.col("occurrences")).cast("long").alias("n_hit"), "items")
+    hits = contamination(docs, benchmark, window).select(F.col("doc_id").alias("hit__id"), F.col("text_hash").alias("hit__hash"), covered_words(F.col("occurrences")).cast("long").alias("n_hit"), "items")
     hits = cut(hits)
     key = row_key()
-    both = docs.withColumn("text_hash", key[1]).withColumn("n_words", F.size(normal_words(F.col("text"))).cast("long"))
-    both = both.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    both = docs.withColumn("own__hash", key[1]).withColumn("n_words", F.size(normal_words(F.col("text"))).cast("long"))
+    both = both.join(hits, F.col("doc_id").eqNullSafe(F.col("hit__id")) & (F.col("own__hash") == F.col("hit__hash")), "left")
     return both.select(
         *docs.columns,
         "n_words",

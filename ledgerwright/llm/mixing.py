@@ -52,31 +52,31 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     Only (source, range) totals are summed over a window per source; rows are summed within one range, whose
     size stays near ``rows_a_range`` since the keys are random. No task holds a source.
     """
-    docs = docs.drop("size", "source_key", "key", "range", "source_size", "target", "taken")
+    docs = docs.drop("size", "source_size", "target", "taken")
     n_ranges = max(1, -(-docs.count() // rows_a_range))
     keyed = (
         docs.withColumn("size", word_count("text"))
-        .withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-        .withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(n_ranges) / F.lit(1 << 32)).cast("int"))
+        .withColumn("source__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+        .withColumn("key__", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        .withColumn("range__", F.floor(F.conv(F.substring("key__", 1, 8), 16, 10).cast("long") * F.lit(n_ranges) / F.lit(1 << 32)).cast("int"))
     )
-    ranges = cut(keyed.groupBy("source_key", "range").agg(F.max("source").alias("source"), F.sum("size").alias("range_size")))
-    sources = cut(targets(ranges.groupBy("source_key").agg(F.max("source").alias("source"), F.sum("range_size").alias("source_size")), weights, share, epochs))
-    ahead = W.partitionBy("source_key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    facts = sources.drop("source")
+    ranges = cut(keyed.groupBy("source__key", "range__").agg(F.max("source").alias("source"), F.sum("size").alias("range_size")))
+    sources = cut(targets(ranges.groupBy(F.col("source__key").alias("source_key")).agg(F.max("source").alias("source"), F.sum("range_size").alias("source_size")), weights, share, epochs))
+    ahead = W.partitionBy("source__key").orderBy("range__").rowsBetween(W.unboundedPreceding, -1)
+    facts = sources.drop("source").withColumnRenamed("source_key", "source__key")
     if sources.count() <= BROADCAST_SOURCES:
         facts = F.broadcast(facts)
-    starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(ahead), F.lit(0))).select("source_key", "range", "range_start").join(facts, "source_key")
-    within = W.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(ahead), F.lit(0))).select("source__key", "range__", F.col("range_start").alias("start__")).join(facts, "source__key")
+    within = W.partitionBy("source__key", "range__").orderBy("key__", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     summed = (
-        keyed.join(starts, ["source_key", "range"])
-        .withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("epochs", whole)
+        keyed.join(starts, ["source__key", "range__"])
+        .withColumn("start__", F.col("start__") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        .withColumn("epochs__", whole)
     )
-    rest = budget - F.col("epochs") * F.col("source_size") - F.col("start")
-    taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
+    rest = budget - F.col("epochs__") * F.col("source_size") - F.col("start__")
+    taken = F.col("epochs__") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
     return summed.withColumn("taken", taken.cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
