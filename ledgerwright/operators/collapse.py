@@ -37,9 +37,16 @@ TABLES = {
 def collapse(df: DataFrame, keys, order, **over_all: Column) -> DataFrame:
     """The row of each key that is last by ``order`` (nulls first), with ``over_all`` aggregates of the whole key replacing its columns.
 
-    One struct maximum per key: rows combine before the shuffle, so a key with very many observations is no hot task.
+    Without ``over_all`` it is a rank of one, which Spark also applies before the shuffle; with it, one struct maximum per key
+    beside the aggregates. Either way rows combine on the map side, so a key with very many observations is no hot task.
     The order ends in a unique column; equal rows collapse into one.
     """
+    if not over_all:
+        return collapse_by_window(df, keys, order)
+    return collapse_by_struct(df, keys, order, **over_all)
+
+
+def collapse_by_struct(df: DataFrame, keys, order, **over_all: Column) -> DataFrame:
     keys, rest = list(keys), [c for c in df.columns if c not in keys]
     best = F.max(F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.struct(*rest).alias("row"))).alias("best")
     got = df.groupBy(*keys).agg(best, *[a.alias(f"all_{n}") for n, a in over_all.items()])
@@ -47,9 +54,8 @@ def collapse(df: DataFrame, keys, order, **over_all: Column) -> DataFrame:
 
 
 def collapse_by_window(df: DataFrame, keys, order) -> DataFrame:
-    """The same rows by row_number; kept to measure :func:`collapse` against."""
     w = W.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return df.withColumn("rank__", F.row_number().over(w)).where("rank__ = 1").drop("rank__")
 
 
 def current(df: DataFrame, table: str) -> DataFrame:

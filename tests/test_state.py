@@ -67,7 +67,7 @@ def test_both_collapses_agree_for_any_number_of_partitions(spark, sf_dir):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         seen.append(sorted(map(tuple, collapse.collapse(obs, t.keys, t.order).select("event_id").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
-    seen.append(sorted(map(tuple, collapse.collapse_by_window(obs, t.keys, t.order).select("event_id").collect())))
+    seen.append(sorted(map(tuple, collapse.collapse_by_struct(obs, t.keys, t.order).select("event_id").collect())))
     assert seen[0] == seen[1] == seen[2]
 
 
