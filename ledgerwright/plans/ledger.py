@@ -187,6 +187,18 @@ def _report_rows(x: Ledger) -> DataFrame:
     )
 
 
+def _report_payloads(x: Ledger) -> DataFrame:
+    """One JSON array of sessions for each source and day of creation."""
+    r = F.struct("session_id", "client", "workspace", "workspace_label", F.unix_millis(F.col("created_at").cast("timestamp")).cast("string").alias("created_at"), "message_count", "duration_minutes")
+    rows = x.obs("session_obs").groupBy("source_id", F.to_date("created_at").alias("day")).agg(F.to_json(F.collect_list(r)).alias("json"))
+    return rows.select(F.concat_ws("-", "source_id", F.col("day").cast("string")).alias("file"), "day", "json")
+
+
+def _drift(x: Ledger) -> DataFrame:
+    contract = x.spark.createDataFrame([("", ["object"], True), ("k", ["str"], True), ("gone", ["int"], True), ("left", ["int"], False)], "path string, types array<string>, required boolean")
+    return quality.diff_contract(contract, quality.json_profile(_json_payloads(x)))
+
+
 def _rejects(x: Ledger) -> DataFrame:
     rows = x.obs("daily_obs").selectExpr("event_id", "client", "case when message_count = 2 then '' else session_id end as session_id", "case when message_count = 5 then -input_tokens - 1 else input_tokens end as input_tokens", "message_count / 6D as perf_token_coverage")
     got = payloads.check_domains(rows, ("session_id",), (), ("input_tokens",), ("perf_token_coverage",))
@@ -217,6 +229,7 @@ COST = ("source_id", "day", "client", "session_id", "model", "rate_day", "cost_u
 
 QUERIES = {
     "A1_daily_payload_scan": lambda x: payloads.parse_daily(_daily_payloads(x))[0].select("file", "day", "client", "session_id", "model", "input_tokens", "cache_read", "total_tokens", "perf_duration_ms"),
+    "A2_report_scan": lambda x: payloads.parse_report(_report_payloads(x)).select("file", "client", "session_id", "workspace", "message_count", "duration_minutes", payloads.to_time(F.col("created_at")).cast("timestamp_ntz").alias("created_at")),
     "A3_contribution_days": lambda x: payloads.parse_graph(_graph_payloads(x))[0],
     "A4_rate_card_scan": lambda x: payloads.parse_pricing(_pricing_payloads(x)).select("file", "model", "source", "price_input_per_token", "price_output_per_token"),
     "A7_upsert_sessions": lambda x: _upsert(x, "sessions", "session_obs", "timestamp_ntz'1998-01-01 00:00:00'")[0].select("event_id", "source_id", "client", "session_id", "workspace", "first_seen_at", "last_seen_at"),
@@ -281,6 +294,7 @@ QUERIES = {
     "I3_day_bounds": lambda x: reports.report_daily(reports.report_where(x.usage, reports.Filters(since="2024-02-01", until="2024-02-29"))),
     "K1_json_profile": lambda x: quality.json_profile(_json_payloads(x)).select("path", F.array_join("types", ",").alias("types"), "present", "records"),
     "K2_contract": lambda x: quality.build_contract(quality.json_profile(_json_payloads(x))).select("path", F.array_join("types", ",").alias("types"), "required"),
+    "K3_contract_diff": _drift,
     "K5_drift_roll_up": lambda x: quality.roll_up_drift(x.obs("drift_obs").selectExpr("'run-1' as run_id", "domain", "payload_ver", "drift_key", "detail", "struct(collected_at, event_id) as pos", "resolved as fatal")),
     "K6_check_totals": lambda x: quality.check_totals(x.obs("daily_obs"), x.declared),
     "K7_check_cost": lambda x: quality.check_cost(x.obs("daily_obs"), x.declared).select("day", F.col("declared").cast("double").alias("declared"), F.col("found").cast("double").alias("found")),

@@ -123,11 +123,18 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "daily98b": best("daily_obs", KEY, "collected_at, total_tokens, event_id", "collected_at >= timestamp '1998-01-01'"),
     "asked": "SELECT source_id, scope, client, CASE WHEN scope = 'client' AND client = 'cli-b' THEN 'ws-1' ELSE workspace END AS workspace, session_id, concat(tag, CASE WHEN session_id LIKE '%5' THEN '-new' ELSE '' END) AS tag FROM tag_obs WHERE op = 'upsert'",
     "prof": "SELECT '' AS path, 'object' AS types, count(*) AS present, count(*) AS records FROM events UNION ALL SELECT 'k', 'int', count(*), (SELECT count(*) FROM events) FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
+    "note_hash": "SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(json_array(source_id, client, session_id) AS VARCHAR))) AS h FROM cur_note",
+    "note_named": "SELECT *, concat('n_', rtrim(translate(to_base64(unhex(concat(substr(h, 1, 12), '5', substr(h, 14, 3), substr('89ab', CAST((position(substr(h, 17, 1) IN '0123456789abcdef') - 1) & 3 AS INTEGER) + 1, 1), substr(h, 18, 15)))), '+/', '-_'), '=')) AS note_id FROM note_hash",
     "asked_note": f"SELECT {SES}, CASE WHEN session_id LIKE '%3' THEN concat(min(note), ' edited') ELSE min(note) END AS note FROM note_obs GROUP BY {SES}",
     "vers": "SELECT event_id AS version_id, (['scheduled','manual','copy'])[CAST(event_id % 3 AS INT) + 1] AS role, event_id % 97 = 0 AS pinned, CASE WHEN event_id % 53 = 0 THEN 'odd' ELSE 'complete' END AS state, ts AS created_at, strftime(ts, '%G-%V') AS week FROM events",
 }
 
 
+def pseudonym(column: str, prefix: str) -> str:
+    n = f"dense_rank() OVER (ORDER BY {column})"
+    return f"concat('{prefix}-', CASE WHEN {n} <= 10 THEN (['alpha','bravo','charlie','delta','echo','foxtrot','golf','hotel','india','juliet'])[{n}] ELSE CAST({n} AS VARCHAR) END) AS {column}"
+
+
 def raw_gold(raw: str, gold: str) -> str:
     columns = f"event_id, {KEY}, collected_at, {', '.join(ALL)}"
     union = f"(SELECT {columns} FROM {raw} UNION ALL SELECT {columns} FROM {gold})"
@@ -146,6 +153,7 @@ def sorts() -> str:
 NOW = "timestamp '2024-04-20' - INTERVAL 90 DAY"
 QUERIES = {
     "A1_daily_payload_scan": "SELECT concat(source_id, '-', day, '.json') AS file, day, client, session_id, model, input_tokens, coalesce(cache_read, 0) AS cache_read, total_tokens, perf_duration_ms FROM daily_obs",
+    "A2_report_scan": "SELECT concat(source_id, '-', CAST(created_at AS DATE)) AS file, client, session_id, workspace, message_count, duration_minutes, created_at FROM session_obs",
     "A3_contribution_days": "SELECT DISTINCT source_id AS file, '1.0' AS version, day AS date FROM daily_obs",
     "A4_rate_card_scan": "SELECT event_id AS file, model, source, price_input_per_token, price_output_per_token FROM price_obs",
     "A7_upsert_sessions": best("session_obs", SES, "collected_at, event_id", columns=f"event_id, {SES}, workspace, min(first_seen_at) OVER (PARTITION BY {SES}) AS first_seen_at, max(last_seen_at) OVER (PARTITION BY {SES}) AS last_seen_at"),
@@ -210,11 +218,13 @@ UNION ALL SELECT DISTINCT 'missing_sessions', source_id, NULL, NULL, NULL, NULL,
     "G4_custom_models": "SELECT DISTINCT model FROM cur_price WHERE source = 'Custom'",
     "H1_session_sorts": sorts(),
     "H2_newest_days": "SELECT * FROM by_day ORDER BY day DESC LIMIT 16",
+    "H4_note_page": "SELECT note_id, source_id, client, session_id, updated_at FROM note_named ORDER BY updated_at DESC, note_id LIMIT 17 OFFSET 16",
     "I1_filtered_models": MODEL_REPORT.format("(SELECT * FROM usage_ WHERE source_id = 'src-1' AND workspace = 'ws-7')"),
     "I2_relation_query": "SELECT * FROM cur_price WHERE source_id = 'src-2' AND source = 'Custom'",
     "I3_day_bounds": DAY_REPORT.format("(SELECT * FROM usage_ WHERE day BETWEEN date '2024-02-01' AND date '2024-02-29')"),
     "K1_json_profile": "SELECT * FROM prof",
     "K2_contract": "SELECT path, types, present = records AS required FROM prof",
+    "K3_contract_diff": "SELECT 'missing_field:gone' AS drift_key, 'missing_field' AS drift_kind, 'gone' AS path, 'absent' AS detail, TRUE AS fatal UNION ALL SELECT 'type_change:k', 'type_change', path, types, TRUE FROM prof WHERE path = 'k' AND types = 'int' AND present > 0",
     "K5_drift_roll_up": "SELECT 'run-1' AS run_id, domain, payload_ver, drift_key, count(*) AS observation_count, arg_max(detail, (collected_at, event_id)) AS detail, bool_or(resolved) AS fatal FROM drift_obs GROUP BY domain, payload_ver, drift_key",
     "K6_check_totals": "SELECT * FROM bad_totals",
     "K7_check_cost": "SELECT day, CAST(CAST(CAST(total_cost AS VARCHAR) AS DECIMAL(38,18)) AS DOUBLE) AS declared, CAST(found_cost AS DOUBLE) AS found FROM declared WHERE abs(CAST(CAST(total_cost AS VARCHAR) AS DECIMAL(38,18)) - found_cost) > 0.00000001",
@@ -244,11 +254,13 @@ SELECT * FROM b UNION ALL SELECT source_id, run_id, day, 'collection', status, c
     "M5_expired": "SELECT DISTINCT arrival_day FROM raw WHERE arrival_day < date '1996-01-01' - 90",
     "M6_pinned": best("daily_obs", KEY, "collected_at, total_tokens, event_id", "collected_at <= timestamp '1997-07-01'", DAILY),
     "N1_pseudonyms": "SELECT value, concat('workspace-', CASE WHEN n <= 10 THEN (['alpha','bravo','charlie','delta','echo','foxtrot','golf','hotel','india','juliet'])[n] ELSE CAST(n AS VARCHAR) END) AS pseudonym FROM (SELECT value, row_number() OVER (ORDER BY value) AS n FROM (SELECT DISTINCT workspace AS value FROM cur_session))",
+    "N1_anonymised_tags": f"SELECT event_id, scope, {pseudonym('workspace', 'workspace')}, {pseudonym('session_id', 'session')}, {pseudonym('tag', 'tag')} FROM cur_tag",
     "N2_notes_redacted": "SELECT event_id, '[redacted]' AS note FROM cur_note",
     "O1_add_tags": "SELECT DISTINCT scope, client, workspace, session_id, tag, 'upsert' AS op, timestamp '2024-03-01' AS updated_at FROM asked a WHERE NOT (scope = 'client' AND workspace <> '') AND NOT EXISTS (SELECT 1 FROM cur_tag t WHERE t.scope = a.scope AND t.client = a.client AND t.workspace = a.workspace AND t.session_id = a.session_id AND t.tag = a.tag)",
     "O2_rename_tags": "SELECT scope, client, session_id, tag, 'delete' AS op, created_at FROM cur_tag WHERE scope = 'session' UNION ALL SELECT scope, client, session_id, concat(tag, '-2'), 'upsert', created_at FROM cur_tag WHERE scope = 'session'",
     "O3_set_notes": f"SELECT {SES}, a.note, 'upsert' AS op, coalesce(n.created_at, timestamp '2024-03-01') AS created_at, timestamp '2024-03-01' AS updated_at FROM asked_note a LEFT JOIN cur_note n USING ({SES}) WHERE a.note IS DISTINCT FROM n.note",
     "O4_remove_notes": f"SELECT {SES}, 'delete' AS op, created_at FROM cur_note WHERE session_id LIKE '%1'",
+    "O5_note_ids": "SELECT session_id, note_id FROM note_named",
     "O6_scope_rejects": "SELECT scope, client, workspace, session_id, tag FROM asked WHERE scope = 'client' AND workspace <> ''",
 }
 
