@@ -142,6 +142,24 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert [bool(r["n_removed"]) for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == want
 
 
+def test_lines_with_one_word_replaced_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3000)]
+    texts = []
+    for n_words in (12, 15, 20, 40):
+        for k in range(25):
+            words = [rng.choice(vocabulary) for _ in range(n_words)]
+            other = list(words)
+            other[rng.randrange(n_words)] = "数" * 27 if n_words == 40 and k < 10 else rng.choice(vocabulary)  # 8 % of the code points, over 10 % of the bytes
+            texts += [" ".join(words), "  ".join(other).upper()]
+    sims = [(r["simhash"] & (2**64 - 1)) << 16 | r["simtail"] for r in lines.hashed_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    near = [bin(a ^ b).count("1") <= lines.DISTANCE for a, b in zip(sims[0::2], sims[1::2])]
+    got = [r["n_removed"] for r in lines.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert sum(near) >= 30 and sum(near[75:85]) >= 5
+    assert sum(got[0::2]) == 0
+    assert [bool(n) for n in got[1::2]] == near
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for n in [*range(30), 200, 700]:
