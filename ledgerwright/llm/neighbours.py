@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from ledgerwright.llm.shared import cut
 
 TREES = 4
-#: Leaves that one query visits, over all trees.
+#: Leaves that one query visits at least, over all trees; :func:`visits_for` adds those that RECALL needs.
 VISITED = 80
+#: Share of the true neighbours that a sample of TRIAL_QUERIES queries must find; above 0.9, for what the sample may err.
+RECALL = 0.95
+TRIAL_QUERIES = 128
 LEAF_ROWS = 800
 #: Rows at most, about, that the split points are fitted on.
 SAMPLE = 20_000
@@ -83,6 +86,25 @@ def fit_forest(sample: np.ndarray, n_rows: int, trees: int = TREES, leaf_rows: i
     return forest
 
 
+def visits_for(forest: Forest, queries: np.ndarray, truth: list[np.ndarray], recall: float = RECALL) -> int:
+    """The least number of leaves at which a mean of ``recall`` of each query's true neighbours (truth: their vectors) is met."""
+    n_leaves = len(forest.directions) * 2**forest.depth
+    place, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for vector, near in zip(queries, truth, strict=True):
+        if not len(near):
+            continue
+        order = np.empty(n_leaves, np.int64)
+        order[forest.visit(vector, n_leaves, 0)] = np.arange(n_leaves)
+        place.append(order[forest.leaves(near)].min(axis=1))
+        weight.append(np.full(len(near), 1 / len(near)))
+    place, weight = np.concatenate(place), np.concatenate(weight)
+    if not len(place):
+        return 0
+    order = np.argsort(place, kind="stable")
+    met = np.cumsum(weight[order]) / weight.sum()
+    return int(place[order][min(len(order) - 1, np.searchsorted(met, recall - 1e-9))]) + 1
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(vec_id, embedding) as doubles, without null, empty and zero vectors and those with null or non-finite components."""
     v = F.col("embedding")
@@ -100,7 +122,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query, nearest: int = NEAREST, trees: int = TREES, visited: int = VISITED, leaf_rows: int = LEAF_ROWS, id_column: str = "vec_id", vector_column: str = "embedding"
+    vectors: DataFrame, is_query, nearest: int = NEAREST, trees: int = TREES, visited: int = VISITED, leaf_rows: int = LEAF_ROWS, id_column: str = "vec_id", vector_column: str = "embedding", recall: float = RECALL
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``nearest`` largest inner products found for each row where ``is_query`` holds.
 
@@ -108,7 +130,8 @@ def search(
     length isn't the most frequent one; rows that repeat count once; an empty table gives no rows. Of equal vectors only
     the first ``nearest`` + 1 by vec_id are indexed, since ties go to the smaller vec_id and no other can be returned.
     All rows are indexed; the split points come from a bounded sample. A leaf of more than PART_ROWS rows is
-    dealt out in parts, each of which meets all of the leaf's queries.
+    dealt out in parts, each of which meets all of the leaf's queries. A query visits ``visited`` leaves, or as many
+    more as a sample of the queries needs to find ``recall`` of their exact neighbours, so the share of the index follows its size.
     """
     spark = vectors.sparkSession
     good = usable(vectors, id_column, vector_column)
@@ -138,6 +161,36 @@ def search(
     for r in placed.groupBy("leaf").count().collect():  # trees * 2 ** depth leaves at most
         rows[r["leaf"]] = r["count"]
     forest.rows = rows.reshape(trees, -1)
+    trial = good.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL_QUERIES).collect()
+    tried = np.array([r["vec_id"] for r in trial], np.int64)
+    trials = np.array([r["embedding"] for r in trial], np.float64).reshape(-1, dim)
+
+    def exact(batches):
+        best = None
+        for batch in batches:
+            ids, base = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
+            score = np.einsum("qd,nd->qn", trials, base)
+            score[tried[:, None] == ids] = -np.inf
+            keep = min(nearest, len(ids))
+            at = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep else np.zeros((len(tried), 0), np.int64)
+            new = np.take_along_axis(score, at, axis=1), base[at], ids[at]
+            best = new if best is None else tuple(np.concatenate(x, axis=1) for x in zip(best, new, strict=True))
+            at = np.argsort(-best[0], axis=1, kind="stable")[:, :nearest]
+            best = np.take_along_axis(best[0], at, axis=1), np.take_along_axis(best[1], at[:, :, None], axis=1), np.take_along_axis(best[2], at, axis=1)
+        if best is not None:
+            q, c = np.nonzero(best[0] > -np.inf)
+            flat = pa.array(best[1][q, c].ravel())
+            vector = pa.FixedSizeListArray.from_arrays(flat, dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[2][q, c]), pa.array(best[0][q, c]), vector], ["q", "vec_id", "score", "embedding"])
+
+    if len(tried) and visited < rows.size:
+        once = placed.where(F.col("leaf") < 2**forest.depth).select("vec_id", "embedding")  # every row stands once in the first tree
+        near = once.mapInArrow(exact, "q long, vec_id long, score double, embedding array<double>")
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= nearest)
+        truth = [[] for _ in tried]
+        for r in near.select("q", "embedding").collect():  # TRIAL_QUERIES * nearest rows at most
+            truth[r["q"]].append(r["embedding"])
+        visited = max(visited, visits_for(forest, trials, [np.array(x, np.float64).reshape(-1, dim) for x in truth], recall))
     parts = np.maximum(1, -(-rows // PART_ROWS))
     counted = spark.sparkContext.broadcast((forest, parts))
 

@@ -235,3 +235,17 @@ def test_neighbours_recall_and_odd_vectors(spark):
     with pytest.raises(Exception):
         neighbours.search(df.select("vec_id"), F.col("vec_id") == 0).collect()
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_neighbours_visit_what_recall_needs(spark):
+    v = np.random.default_rng(9).standard_normal((4000, 12))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, leaf_rows=20, visited=8).collect():  # 4 trees of 256 leaves
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (200 * 20) >= 0.9
