@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 6
-
 
 def _kind(v: Column) -> Column:
     """JSON type of a variant: null, bool, int, float, str, array or object."""
@@ -19,11 +17,23 @@ def _kind(v: Column) -> Column:
     )
 
 
-def json_nodes(payloads: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def json_depth(payloads: DataFrame) -> int:
+    """Arrays and objects within one another, at most, over all JSON texts that parse: one pass that leaves only brackets outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("json", r"(?s)\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    most = F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+    return payloads.where(F.try_parse_json("json").isNotNull()).agg(F.max(most)).first()[0] or 0
+
+
+def json_nodes(payloads: DataFrame) -> DataFrame:
     """(payload_id, member, path, type) of every value of JSON texts (payload_id, json); array members share the path [].
 
-    member numbers the members of an outermost array, 0 for an object. Each level is one explode; texts that don't
-    parse give one row of type invalid.
+    member numbers the members of an outermost array, 0 for an object. Each level is one explode, down to the deepest
+    value (see :func:`json_depth`); texts that don't parse give one row of type invalid.
     """
     spark = payloads.sparkSession
     root = payloads.select("payload_id", F.try_parse_json("json").alias("v"))
@@ -33,10 +43,11 @@ def json_nodes(payloads: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     members = top.where("kind = 'array'").lateralJoin(outer.withColumnsRenamed({"value": "x"})).select("payload_id", F.col("pos").alias("member"), F.lit("[]").alias("path"), F.col("x").alias("v"))
     level = top.where("kind <> 'array'").select("payload_id", F.lit(0).alias("member"), F.lit("").alias("path"), "v").unionByName(members)
     found = [broken, top.where("kind = 'array'").select("payload_id", F.lit(0).alias("member"), F.lit("").alias("path"), F.lit("array").alias("type"))]
-    for k in range(depth):
+    depth = json_depth(payloads)
+    for k in range(depth + 1):
         level = level.withColumn("type", _kind(F.col("v")))
         found.append(level.select("payload_id", "member", "path", "type"))
-        if k == depth - 1:
+        if k == depth:
             break
         inner = spark.tvf.variant_explode(F.col("v").outer()).withColumnsRenamed({"value": "x"})
         below = level.where("type in ('array', 'object')").lateralJoin(inner)
@@ -45,9 +56,9 @@ def json_nodes(payloads: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def json_profile(payloads: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def json_profile(payloads: DataFrame) -> DataFrame:
     """(path, types, present, records): types seen, members with the path, and members in all."""
-    nodes = json_nodes(payloads, depth)
+    nodes = json_nodes(payloads)
     total = nodes.select("payload_id", "member").distinct().agg(F.count(F.lit(1)).alias("records"))
     seen = nodes.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.countDistinct("payload_id", "member").alias("present"))
     return seen.crossJoin(F.broadcast(total))  # one row

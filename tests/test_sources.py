@@ -133,6 +133,22 @@ def test_json_profile_contract_and_drift(spark):
     assert drift == {"missing_field:gone": ("absent", True), "missing_field:b[]": ("2/3", True), "missing_field:b[].c": ("2/3", True), "type_change:b[].c": ("float", True), "unknown_field:x": ("bool", False)}
 
 
+def test_json_profile_has_no_deepest_level(spark):
+    deep = '{"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}'
+    shipped = '{"contributions": [{"clients": [{"tokens": {"cacheRead": 1, "odd": "x\\"[[{{\\\\"}}]}]}'
+    rows = [deep, shipped, "[" * 8 + "1.5" + "]" * 8, "[" * 40, "7", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "payload_id int, json string")
+    assert quality.json_depth(df) == 8
+    got = {(r["payload_id"], r["path"]): r["type"] for r in quality.json_nodes(df).collect()}
+    assert got[0, "a.b.c.d.e.f"] == "object" and got[0, "a.b.c.d.e.f.g"] == "int"
+    assert got[1, "contributions[].clients[].tokens.cacheRead"] == "int" and got[1, "contributions[].clients[].tokens.odd"] == "str"
+    assert got[2, "[]" * 8] == "float" and got[3, ""] == "invalid" and got[4, ""] == "int"
+    profile = quality.json_profile(df.where("payload_id = 0"))
+    contract = quality.build_contract(profile)
+    changed = spark.createDataFrame([(0, deep.replace("1", '"x"'))], "payload_id int, json string")
+    assert [r["drift_key"] for r in quality.diff_contract(contract, quality.json_profile(changed)).collect()] == ["type_change:a.b.c.d.e.f.g"]
+
+
 def test_redaction(spark):
     cases = {
         "see https://bob:hunter2@example.org/x": "see https://[redacted]@example.org/x",
