@@ -6,7 +6,7 @@ import numpy as np
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The best labels (uint8) of the chains that begin where ``first`` is true.
+    """The best labels of the chains that begin where ``first`` is true.
 
     emit: (n, labels) scores; trans: (labels, labels) finite scores from one label to the next.
     A position whose best label leads by more than twice the spread of ``trans`` has that label on every best
@@ -14,9 +14,10 @@ def viterbi(emit: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarra
     runs between them are decoded, all runs of a length side by side.
     """
     n, k = emit.shape
+    small = np.uint8 if k <= 256 else np.uint32
     if not n:
-        return np.zeros(0, np.uint8)
-    labels = emit.argmax(1).astype(np.uint8)
+        return np.zeros(0, small)
+    labels = emit.argmax(1).astype(small)
     if k == 1:
         return labels
     top = np.partition(emit, k - 2, axis=1)[:, k - 2 :]
@@ -38,12 +39,12 @@ def viterbi(emit: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarra
     for t in range(1, length[0]):
         m = active[t]
         through = score[:m, :, None] + trans
-        best = through.argmax(1).astype(np.uint8)
+        best = through.argmax(1).astype(small)
         score[:m] = np.take_along_axis(through, best[:, None, :].astype(np.intp), 1)[:, 0] + emit[start[:m] + t]
         back.append(best)
     follows = np.flatnonzero((end < n) & ~first[np.minimum(end, n - 1)])
     score[follows] += trans[:, labels[end[follows]]].T
-    now = score.argmax(1).astype(np.uint8)
+    now = score.argmax(1).astype(small)
     rows = np.arange(len(start))
     for t in range(length[0] - 1, -1, -1):
         m = active[t]

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, and joins that broadcast only what has been counted."""
+"""Connected components of an edge table, links from inverted lists, and joins that broadcast only what has been counted."""
 
 from __future__ import annotations
 
@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ledgerwright.llm.shared import cut
 
-#: Rows (of a few numbers each) up to which a side is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows (of a few numbers each, so about 32 MB) up to which a side is broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 500_000
+#: Members up to which all pairs of a list are looked at, a bounded number for each member; longer lists have leaders first.
+SHORT = 16
 
 
 def lean(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small; ``df`` must be cheap to count, as after :func:`cut`."""
+    """``df``, whose rows must be a few numbers each, marked for broadcast if it has at most BROADCAST_ROWS rows.
+
+    ``rows``: a bound on them, where one is known; otherwise they are counted, so ``df`` must be cheap to count, as after :func:`cut`.
+    """
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
@@ -23,11 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     node's smallest neighbour back to its edges, so no task or driver holds a component. Every second step is written to
     the shared folder. Repeated edges and loops are allowed; an empty table gives none.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        smaller = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if smaller.where("n > 1").isEmpty() and now.join(smaller.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break  # every node has one smaller neighbour, which has none: these are the roots
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         met = both.join(least, "u").where("v > u or v = m")  # larger neighbours move to the smallest; each node keeps its smallest
@@ -35,58 +37,69 @@ def components(edges: DataFrame) -> DataFrame:
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_m, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    pairs = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
-    return now.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            break  # every node has one smaller neighbour, which has none: these are the roots
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def connect(lists: DataFrame, nodes: DataFrame, may_link, prove, once=None) -> tuple[DataFrame, DataFrame]:
-    """(node, component) and the proven links (a, b), from inverted ``lists`` (signature, node, pos) and ``nodes`` (node, attributes).
+def connect(lists: DataFrame, may_link, prove, once=None) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and the proven links (a, b), from inverted ``lists`` (signature, node, pos, further attributes of the node).
 
     Any two nodes that link stand together in a list in which may_link() holds, a condition on pos and the attributes with
-    _a and _b appended; prove(pairs) keeps the pairs (a, b) that link; once() may name the one list of several in which a pair counts. Lists of two are pairs; of longer lists with the
-    same members one remains, with each node's least pos. Every list is linked to its smallest node, and what stays apart
-    from that node's component to a second one; then every node outside a list's main component is held against the list's nodes
-    of other components, the condition being part of the join. Pairs within a component need no proof, so a large group
-    costs about one pair a member, and no link between components is lost.
+    _a and _b appended; prove(pairs) keeps the pairs (a, b, attributes) that link; once() may name the one list of several in which
+    a pair counts.
+
+    First every list is linked to its leader, the member of least pos, so a large group costs about one pair a member. What
+    then spans several components goes on: of lists up to SHORT all pairs between components are tried, of longer ones a second
+    leader outside the first one's component, and at last all pairs between the components that are left, the condition being
+    part of the join. Pairs within a component need no proof, and no link between components is lost.
     """
-    attributes = [c for c in nodes.columns if c != "node"]
-    side = {x: lean(nodes).select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in attributes]) for x in "ab"}
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    own = [c for c in lists.columns if c != "signature"]
+    kept = [c for c in own if c not in ("node", "pos")]
     lists = cut(lists)
-    sums = cut(
-        lists.groupBy("signature")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
-        .where("a < b")
-    )
-    couples = sums.where("n = 2").select("a", "b").distinct()
-    longer = sums.where("n > 2")
-    one = longer.groupBy("n", "a", "b", "members").agg(F.min("signature").alias("of"))
-    longer = cut(longer.join(one, ["n", "a", "b", "members"]).select("signature", "of"))
-    lists = cut(lists.join(lean(longer), "signature").groupBy(F.col("of").alias("signature"), "node").agg(F.min("pos").alias("pos")).withColumn("component", F.col("node")))
-    rest, links, tried = lists, None, None
-    for again in (True, False):
-        leader = rest.groupBy("signature").agg(F.min(F.struct("node", "pos")).alias("l"))
-        pairs = rest.join(leader, "signature").where(F.col("node") > F.col("l.node")).select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
-        if tried is None:
-            pairs = pairs.unionByName(couples.withColumn("pos_a", F.lit(0)).withColumn("pos_b", F.lit(0)))
-        else:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs.join(side["a"], "a").join(side["b"], "b").where(may_link()).select("a", "b").distinct())
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        proven = cut(prove(pairs))
-        links = proven if links is None else links.unionByName(proven)
-        label = cut(components(links))
-        lists = lists.drop("component").join(lean(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = lists.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-        lists = cut(lists.join(apart, "signature", "left_semi"))
-        if again:
-            first = lists.groupBy("signature").agg(F.min(F.struct("node", "component")).alias("f"))
-            rest = cut(lists.join(first, "signature").where(F.col("component") != F.col("f.component")).drop("f"))
-    main = lists.groupBy("signature", "component").count().groupBy("signature").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    right = lists.select(F.col("signature").alias("signature_b"), F.col("component").alias("component_b"), F.col("pos").alias("pos_b"), F.col("node").alias("b")).join(side["b"], "b")
-    left = lists.join(main, "signature").where("component <> main").select("signature", "component", F.col("pos").alias("pos_a"), F.col("node").alias("a")).join(side["a"], "a")
-    pairs = left.join(right, (F.col("signature") == F.col("signature_b")) & (F.col("component") != F.col("component_b")) & (may_link() & once() if once else may_link()))
-    pairs = cut(pairs.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(cut(prove(pairs)))
-    return cut(components(links)), links
+
+    def named(x: str, *more: str) -> list:
+        return [F.col("signature"), F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in (*own[1:], *more)]]
+
+    def leaders(of: DataFrame, *more: str) -> DataFrame:
+        first = F.min(F.struct("pos", *[c for c in own if c != "pos"], *more)).alias("l")
+        return of.groupBy("signature").agg(first).select("signature", F.col("l.node").alias("a"), *[F.col(f"l.{c}").alias(f"{c}_a") for c in (*own[1:], *more)])
+
+    def judged(met: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The distinct pairs not tried before, and those of them that are proven to link; both are written."""
+        turn = F.col("a") < F.col("b")
+        sides = [F.when(turn, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in kept] + [F.when(turn, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b") for c in kept]
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *sides).dropDuplicates(["a", "b"])
+        pairs = cut(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        return pairs, cut(prove(pairs))
+
+    def labelled(of: DataFrame, label: DataFrame, least: int) -> DataFrame:
+        """The lists of more than ``least`` members that span several components, with each member's component and the list's size."""
+        marked = of.join(lean(label), "node", "left").withColumn("component", F.coalesce("component", "node")).select("signature", *own, "component")
+        spread = marked.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return cut(marked.join(spread.where(F.col("members") > least).where("low < high").select("signature", "members"), "signature"))
+
+    all_of = F.expr("true") if once is None else once()
+    tried, links = judged(lists.select(*named("b")).join(leaders(lists), "signature").where((F.col("a") != F.col("b")) & may_link()), None)
+    label = cut(components(links))
+    lists = labelled(lists, label, 2)
+    if lists.isEmpty():
+        return label, links
+    apart = F.col("component_a") != F.col("component_b")
+    short, long = lists.where(F.col("members") <= SHORT), lists.where(F.col("members") > SHORT)
+    near = short.select(*named("a", "component")).join(short.select(*named("b", "component")), "signature").where((F.col("a") < F.col("b")) & apart & may_link() & all_of)
+    first = leaders(long, "component").select("signature", F.col("component_a").alias("first"))
+    second = leaders(long.join(first, "signature").where("component <> first"), "component")
+    led = long.select(*named("b", "component")).join(second, "signature").where(apart & may_link())
+    again, more = judged(near.unionByName(led.select(near.columns)), tried)
+    links = links.unionByName(more)
+    label = cut(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))))
+    long = labelled(long.drop("component", "members"), label, SHORT)
+    if long.isEmpty():
+        return label, links
+    main = long.groupBy("signature", "component").count().groupBy("signature").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    left = long.join(main, "signature").where("component <> main").select(*named("a", "component"))
+    met = left.join(long.select(*named("b", "component")), "signature").where(apart & may_link() & all_of)
+    _, last = judged(met, tried.unionByName(again))
+    return cut(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last.select("a", "b")))), links.unionByName(last)

@@ -125,11 +125,9 @@ def survey(docs: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small_batches(batches, 4096, 4 << 20):
             sets = []
-            for part in small_batches([batch], 4096, 4 << 20):
+            for part in small_batches([batch], 4096, 1 << 20):
                 sets += list(shingle_sets(part.column(2)))
             n = np.array([len(x) for x in sets], np.int64)
             every = np.concatenate(sets)
@@ -154,7 +152,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
 
 def signatures(firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundary: int, percent: int = PERCENT) -> DataFrame:
-    """(signature, node, pos): the subsets of small sets, pos 0, and the prefixes of large ones, rarest shingles first, with places.
+    """(signature, node, pos, n): the subsets of small sets, pos 0, and the prefixes of large ones, rarest shingles first, with places; n is the set's size.
 
     ``firsts``: (node, text); ``frequent``: sorted shingles and the levels of their counts; others have level 0. Any fixed order is right;
     this one keeps the lists of prefixes short.
@@ -164,8 +162,8 @@ def signatures(firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bound
     def run(batches):
         common, level = shared.value
         picks = {}  # the subsets of each small size, as index arrays
-        for batch in small_batches(batches, 2048, 4 << 20):
-            nodes, out, place, of, sizes = batch.column(0).to_numpy(), [], [], [], []
+        for batch in small_batches(batches, 2048, 1 << 20):
+            nodes, out, place, of, sizes, counts = batch.column(0).to_numpy(), [], [], [], [], []
             for node, x in zip(nodes.tolist(), shingle_sets(batch.column(1)), strict=True):
                 n, full, before = len(x), x, len(out)
                 if n > boundary:
@@ -182,43 +180,44 @@ def signatures(firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bound
                         out.append(mixed(mixed(full)[index].sum(1) + np.uint64(index.shape[1])))
                         place.append(np.zeros(len(index), np.int32))
                 of.append(node)
+                counts.append(n)
                 sizes.append(sum(map(len, out[before:])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(of, sizes)), pa.array(np.concatenate(place))], ["signature", "node", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(of, sizes)), pa.array(np.concatenate(place)), pa.array(np.repeat(np.array(counts, np.int32), sizes))], ["signature", "node", "pos", "n"])
 
-    return firsts.mapInArrow(run, "signature long, node long, pos int")
+    return firsts.mapInArrow(run, "signature long, node long, pos int, n int")
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sketches allow a link: sets differ at least by the sum of the differences of their counts by bucket."""
+    """The pairs (a, b, n_a, n_b) whose sketches allow a link: sets differ at least by the sum of the differences of their counts by bucket."""
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                one, two = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(k).to_pylist()]).astype(np.int16) for k in (2, 3))
-                size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            if batch.num_rows:
+                one, two = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(k).to_pylist()]).astype(np.int16) for k in (4, 5))
+                size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
                 apart = np.abs(one - two).sum(1, dtype=np.int64)
-                keep = np.flatnonzero((100 + percent) * (size - apart) >= 2 * percent * size)
-                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+                keep = pa.array(np.flatnonzero((100 + percent) * (size - apart) >= 2 * percent * size))
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in range(4)], ["a", "b", "n_a", "n_b"])
 
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b")), "b")
-    return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n_a int, n_b int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link. ``texts``: (node, text, n). Each leader a meets its partners in parts of bounded size."""
-    needed = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    own = cut(texts.join(lean(needed), "node", "left_semi").dropDuplicates(["node"]))
-    sized = pairs.join(lean(own.select(F.col("node").alias("b"), "n")), "b")
-    parts = cut(sized.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")))
-    dealt = cut(sized.join(lean(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part")))
-    members = own.select(F.col("node").alias("b"), "text").join(lean(dealt), "b").select("a", "part", "b", "text")
-    leaders = own.select(F.col("node").alias("a"), "text").join(lean(parts), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    """The pairs (a, b, n_a, n_b) whose sets link. ``texts``: (node, text). Each leader a meets its partners in parts of bounded size."""
+    n_pairs = pairs.count()
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = cut(texts.join(lean(needed, 2 * n_pairs), "node", "left_semi").dropDuplicates(["node"]))
+    hubs = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_b") / PART_SHINGLES)).cast("int").alias("parts"))
+    hubs = cut(hubs)
+    dealt = pairs.join(lean(hubs, n_pairs), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"))
+    members = own.select(F.col("node").alias("b"), "text").join(lean(dealt, n_pairs), "b").select("a", "part", "b", "text")
+    leaders = own.select(F.col("node").alias("a"), "text").join(lean(hubs, n_pairs), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     met = members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         mine = np.zeros(0, np.uint64)
-        for batch in small_batches(batches, 1024, 4 << 20):
+        for batch in small_batches(batches, 1024, 1 << 20):
             found_a, found_b = [], []
             for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2)), strict=True):
                 if b is None:
@@ -278,9 +277,9 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     )
     marks = signatures(firsts.select("node", "text"), frequent, boundary, percent)
     shared = marks.select(F.hash("signature").alias("h")).groupBy("h").count().where("count > 1").select("h")
-    lists = marks.withColumn("h", F.hash("signature")).join(shared, "h").drop("h")
-    sketches = classes.select("node", "n", "sketch")
-    return rows.drop("sketch"), connect(lists, classes.select("node", "n"), lambda: fits(percent), lambda pairs: verified(cut(near_enough(pairs, sketches, percent)), firsts, percent))[0]
+    lists = marks.join(shared, F.hash("signature") == F.col("h")).drop("h")
+    sketches = classes.select("node", "sketch")
+    return rows.drop("sketch"), connect(lists, lambda: fits(percent), lambda pairs: verified(cut(near_enough(pairs, sketches, percent)), firsts, percent))[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

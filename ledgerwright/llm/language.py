@@ -42,24 +42,26 @@ SCRIPT_SHARE = 0.001
 
 
 @lru_cache(1)
-def letters() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: its lower-case form if it is a letter or mark, else 0; and its script + 1."""
-    lower = np.zeros(0x110000, np.uint32)
+def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: its lower-case form if it is a letter or mark, else 0; its script + 1; and whether it is a letter."""
+    lower, real = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
     for p in range(0x110000):
-        if unicodedata.category(chr(p))[0] in "LM":
+        kind = unicodedata.category(chr(p))[0]
+        if kind in "LM":
             low = chr(p).lower()
             lower[p] = ord(low) if len(low) == 1 else p
+            real[p] = kind == "L"
     script = np.full(0x110000, len(SCRIPTS) + 1, np.uint8)
     for k, ranges in enumerate(SCRIPTS.values()):
         for a, b in ranges:
             script[a : b + 1] = k + 1
-    return lower, script
+    return lower, script, real
 
 
 def grams(points: np.ndarray, ends: np.ndarray):
     """Words (letter runs within one text) of joined texts: their starts and ends, scripts, and the bucket of each of
     their trigrams with the word's borders, word after word, with the place where each word's trigrams begin."""
-    lower, script = letters()
+    lower, script, _ = letters()
     letter = np.zeros(len(points) + len(ends) + 2, np.uint32)  # one 0 after each text, two ahead
     at = np.arange(len(points)) + 2 + np.searchsorted(ends, np.arange(len(points)), side="right")
     letter[at] = lower[points]
@@ -106,7 +108,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS_A_LANGUAGE, penalty: f
     sample = rows.where(draw < share).select("lang", "text")
 
     def count(batches):
-        for batch in small_batches(batches, 4096, 4 << 20):
+        for batch in small_batches(batches, 4096, 1 << 20):
             langs, text = batch.column(0).dictionary_encode(), batch.column(1)
             points, ends = code_points(text)
             ws, we, script, bucket, first_gram = grams(points, ends[1:])
@@ -143,8 +145,9 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     spans: the stretches of one language, as (start, end, lang) in code points, from first to last letter.
     lang_pred: the language that most letters are labelled with, ties to the smaller name; score: its share of the
-    letters. Null, empty and letterless texts get und, score 0 and no spans; so does everything if nothing was
-    learned. Rows that repeat get equal results.
+    letters. Null, empty and letterless texts get und, score 0 and no spans, combining marks alone being no letters; so
+    does everything if nothing was learned. Rows that repeat get equal results. Input columns named like the three are
+    replaced; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score", "spans")
     schema = T.StructType([*docs.schema.fields, *LABELLED.fields])
@@ -157,7 +160,7 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
         lang_names = pa.array([*m.languages, "und"])
         trans = np.full((k, k), -m.penalty, np.float32)
         np.fill_diagonal(trans, 0)
-        for batch in small_batches(batches, 4096, 3 << 20):
+        for batch in small_batches(batches, 4096, 1 << 20):
             n = batch.num_rows
             points, ends = code_points(batch.column(where))
             ws, we, script, bucket, first_gram = grams(points, ends[1:])
@@ -175,6 +178,8 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
             first[1:] = doc[1:] != doc[:-1]
             labels = viterbi(emit, trans, first)
             share = np.bincount(doc * k + labels, we - ws, n * k).reshape(n, k)
+            real = np.concatenate(([0], np.cumsum(letters()[2][points], dtype=np.int32)))
+            share[real[ends[1:]] == real[ends[:-1]]] = 0  # marks alone are no text
             total = share.sum(1)
             best = np.where(total > 0, share.argmax(1), k)
             score = share.max(1) / np.maximum(total, 1)
@@ -182,6 +187,8 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
             opens[1:] |= labels[1:] != labels[:-1]
             begin = np.flatnonzero(opens)
             finish = np.append(begin[1:], len(ws)) - 1
+            some = total[doc[begin]] > 0
+            begin, finish = begin[some], finish[some]
             counts = np.bincount(doc[begin], minlength=n)
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             base = ends[doc[begin]]

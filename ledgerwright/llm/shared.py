@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -19,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset and Spark is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return str(found).rstrip("/")
@@ -76,10 +80,18 @@ def code_points(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 
 def small_batches(batches, rows: int = 512, size: int = 8 << 20):
-    """Arrow batches cut so that none holds more than ``rows`` rows or, beyond one row, about ``size`` bytes."""
+    """Arrow batches cut so that none holds more than ``rows`` rows or, beyond one row, about ``size`` bytes; at the end free memory goes back."""
     for batch in batches:
         if not batch.num_rows:
             continue
         step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
         for k in range(0, batch.num_rows, step):
             yield batch.slice(k, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers live on after their task, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -95,69 +95,85 @@ def test_components_of_odd_graphs(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        last, row[0] = row[0], row[0] + 1
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def similar(a, b):
+    return edits(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9
+
+
 def test_lines_keep_one_of_each_group(spark):
     licence = "This work is licensed under the terms of the General Public License, version 3, or any later one."
     near = licence.replace("later one", "later ones")
-    own = [f"document {k} says something quite of its own about subject number {k * 7919}" for k in range(6)]
-    texts = [f"{own[0]}\n{licence}\nok", f"{own[1]}\n{licence.upper()}\nok", f"  {licence}  \n\n{own[2]}", None, "", licence, f"{own[3]}\n{own[3]}", "x" * 100_000 + "\n" + own[4]]
-    got = lines.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()
-    assert [r["text"] for r in got] == [texts[0], f"{own[1]}\nok", f"\n{own[2]}", None, "", "", own[3], texts[7]]
-    assert [r["n_removed"] for r in got] == [0, 1, 1, 0, 0, 1, 1, 0]
-    assert [r["n_lines"] for r in got] == [3, 3, 3, 0, 1, 1, 2, 2]
-    hashed = lines.hashed_lines(docs_of(spark, [licence, near])).orderBy("doc_id").collect()
-    apart = bin((hashed[0]["simhash"] ^ hashed[1]["simhash"]) & (2**64 - 1)).count("1") + bin(hashed[0]["simtail"] ^ hashed[1]["simtail"]).count("1")
-    fuzzy = lines.dedup_lines(docs_of(spark, [licence, near])).orderBy("doc_id").collect()
-    assert fuzzy[1]["n_removed"] == int(apart <= lines.DISTANCE)
-
-
-def test_fuzzy_lines_equal_brute_force(spark):
+    own = ["alpha beavers build clever dams each fall", "gardens have ivy jasmine kale and lilies", "many neighbours of ours play quiet records", "seven tired umpires vote with xylophones", "young zebras amble beside calm dromedaries"]
+    texts = [f"{own[0]}\n{licence}\nok", f"{own[1]}\n{licence.upper()}\n OK ", f"  {licence}  \n\n{own[2]}", None, "", licence, f"{own[3]}\n{own[3]}", "x" * 100_000 + "\n" + own[4] + "\n---\n", "---\nyes", "no\n \n"]
+    got = lines.dedup_lines(docs_of(spark, texts).withColumn("n_lines", F.lit("clash"))).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [texts[0], own[1], f"\n{own[2]}", None, "", "", own[3], texts[7], "yes", texts[9]]
+    assert [r["n_removed"] for r in got] == [0, 2, 1, 0, 0, 1, 1, 0, 1, 0]
+    assert [r["n_lines"] for r in got] == [3, 3, 3, 0, 1, 1, 2, 4, 2, 3]
+    fuzzy = lines.dedup_lines(docs_of(spark, [licence, near, near])).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in fuzzy] == [0, 1, 1]
+
+
+def test_fuzzy_lines_against_brute_force_edit_similarity(spark):
+    """Whatever goes is of one group with a kept line by edit similarity alone, and most of such groups are found whole."""
     rng = random.Random(11)
     vocabulary = [f"word{k}" for k in range(60)]
     texts = []
-    for _ in range(12):
-        base = [rng.choice(vocabulary) for _ in range(60)]
-        for _ in range(5):
-            words = list(base)
-            words[rng.randrange(60)] = rng.choice(vocabulary)
-            texts.append(" ".join(words))
+    for n in (12, 30, 60, 60, 60):
+        for _ in range(3):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            for _ in range(5):
+                words = list(base)
+                words[rng.randrange(n)] = rng.choice(vocabulary)
+                texts.append(" ".join(words))
     df = docs_of(spark, texts)
-    sims = {r["doc_id"]: (r["simhash"] & (2**64 - 1)) << 16 | r["simtail"] for r in lines.hashed_lines(df).collect()}
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for x in a:
-            last, row[0] = row[0], row[0] + 1
-            for k, y in enumerate(b, 1):
-                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
-        return row[-1]
-
     parent = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            if bin(sims[a] ^ sims[b]).count("1") <= lines.DISTANCE and edits(texts[a], texts[b]) <= 0.1 * max(len(texts[a]), len(texts[b])):
+            if similar(texts[a], texts[b]):
                 x, y = find(parent, a), find(parent, b)
                 parent[max(x, y)] = min(x, y)
     want = [find(parent, k) != k for k in range(len(texts))]
-    assert any(want)
-    assert [bool(r["n_removed"]) for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == want
+    got = [bool(r["n_removed"]) for r in lines.dedup_lines(df).orderBy("doc_id").collect()]
+    assert any(want) and not any(g and not w for g, w in zip(got, want, strict=True))
+    assert sum(got) >= 0.4 * sum(want)  # these differ in two words, of which the keys find a part; one word: all, below
 
 
 def test_lines_with_one_word_replaced_are_found(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3000)]
-    texts = []
-    for n_words in (12, 15, 20, 40):
+    texts, near = [], []
+    for n_words in (10, 12, 15, 20, 40):
         for k in range(25):
             words = [rng.choice(vocabulary) for _ in range(n_words)]
             other = list(words)
-            other[rng.randrange(n_words)] = "数" * 27 if n_words == 40 and k < 10 else rng.choice(vocabulary)  # 8 % of the code points, over 10 % of the bytes
+            other[rng.randrange(n_words)] = "\u6570" * 27 if n_words == 40 and k < 10 else rng.choice(vocabulary)  # 8 % of the code points, over 10 % of the bytes
             texts += [" ".join(words), "  ".join(other).upper()]
-    sims = [(r["simhash"] & (2**64 - 1)) << 16 | r["simtail"] for r in lines.hashed_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
-    near = [bin(a ^ b).count("1") <= lines.DISTANCE for a, b in zip(sims[0::2], sims[1::2])]
+            near.append(similar(" ".join(words), " ".join(other)))
     got = [r["n_removed"] for r in lines.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
-    assert sum(near) >= 30 and sum(near[75:85]) >= 5
-    assert sum(got[0::2]) == 0
-    assert [bool(n) for n in got[1::2]] == near
+    assert sum(got[0::2]) == 0 and sum(near) > 100
+    assert not any(n and not w for n, w in zip(got[1::2], near, strict=True))
+    found = [bool(n) for n, w in zip(got[1::2], near, strict=True) if w]
+    assert all(found[-50:]) and sum(found) >= 0.95 * len(found)  # short lines are missed where too few words voted in the equal blocks
+
+
+def test_one_line_in_every_document_and_repeated_rows(spark):
+    texts = [f"the one line that stands in each and every document of all\nand number {k} of its own words {k * k}" for k in range(200)]
+    df = docs_of(spark, texts)
+    got = lines.dedup_lines(df.union(df.where("doc_id < 3")).union(docs_of(spark, ["the one line that stands in each and every document of all"]).withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add(r["text"])
+    assert len(got) == 204 and all(len(x) == 1 for x in by.values())  # rows that repeat lose the same lines
+    first = {k for k, x in by.items() if "the one line" in next(iter(x))}
+    assert first == {None}  # null comes before all ids, and keeps the line
 
 
 def test_suffix_arrays():
