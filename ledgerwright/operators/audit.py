@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerwright.operators.collapse import collapse, collection_runs, collection_status
@@ -41,57 +42,74 @@ def same_host_sources(audited: DataFrame, now: Column, days: int = 90) -> DataFr
 
 def unresolved_targets(ledger: DataFrame, limit: int | None = None) -> DataFrame:
     got = collection_status(ledger).where(~F.col("status").isin("complete", "provisional")).select("source_id", "run_id", "day", "domain", "status", "expected_count", "succeeded_count", "collected_at")
-    return got if limit is None else got.orderBy(F.desc("collected_at"), "source_id", "day", "domain").limit(limit)
+    return got if limit is None else got.orderBy(F.col("collected_at").desc_nulls_last(), F.desc("day"), "source_id", "domain").limit(limit)
 
 
-def unresolved_runs(ledger: DataFrame) -> DataFrame:
-    """Runs that weren't ok, and after which their source had no ok run: one look at each source's newest ok time."""
-    runs = collection_runs(ledger)
-    ok = runs.where("status = 'ok'").groupBy("source_id").agg(F.max("collected_at").alias("ok_at"))
-    got = runs.where("status <> 'ok'").join(ok, "source_id", "left").where(F.col("ok_at").isNull() | (F.col("ok_at") <= F.col("collected_at")))
-    return got.select("source_id", "run_id", "day", "status", "collected_at")
+def unresolved_runs(ledger: DataFrame, limit: int | None = None) -> DataFrame:
+    """Runs that failed, were partial or drifted, and after whose end their source had no ok run, newest first."""
+    ended = F.coalesce("finished_at", "started_at")
+    runs = collection_runs(ledger).withColumn("ended", ended)
+    ok = runs.where("status = 'ok'").groupBy("source_id").agg(F.max("ended").alias("ok_at"))
+    bad = runs.where(F.col("status").isin("failed", "partial", "payload_drift")).join(ok, "source_id", "left")
+    got = bad.where(~F.coalesce(F.col("ok_at") > F.col("ended"), F.lit(False))).orderBy(F.col("ended").desc_nulls_last(), F.desc("run_id"))
+    got = got.select("source_id", "run_id", "day", "status", "finished_at", "collected_at")
+    return got if limit is None else got.limit(limit)
 
 
 def ingest_issues(ledger: DataFrame) -> DataFrame:
     """Unresolved targets, and the unresolved runs that none of them names."""
     targets = unresolved_targets(ledger).select("source_id", "run_id", "day", "domain", "status", "collected_at")
-    runs = unresolved_runs(ledger).join(targets.select("run_id").distinct(), "run_id", "left_anti").withColumn("domain", F.lit("collection"))
+    runs = unresolved_runs(ledger).drop("finished_at").join(targets.select("run_id").distinct(), "run_id", "left_anti").withColumn("domain", F.lit("collection"))
     return targets.unionByName(runs)
 
 
+#: Columns of the preflight relation, and those of each kind of record.
+PREFLIGHT = (
+    "kind", "source_id", "day", "domain", "status", "expected_count", "succeeded_count", "run_id", "failure_code", "model", "check_name", "issue_key", "payload_ver", "drift_key", "drift_kind", "path", "detail",
+    "contract_ver", "created_at", "observation_count", "client", "session_id", "input_tokens", "output_tokens", "cache_read", "cache_write", "reasoning", "total_tokens", "event_id", "collected_at",
+)
+PREFLIGHT_PARTS = {
+    "status": ("source_id", "day", "domain", "status", "expected_count", "succeeded_count", "run_id", "failure_code"),
+    "models": ("source_id", "day", "model", "client", "session_id", "input_tokens", "output_tokens", "cache_read", "cache_write", "reasoning", "total_tokens", "event_id", "collected_at"),
+    "prices": ("source_id", "day", "model"),
+    "issues": ("source_id", "check_name", "issue_key"),
+    "drift": ("source_id", "domain", "payload_ver", "drift_key", "drift_kind", "path", "detail", "contract_ver", "created_at", "observation_count"),
+    "sessions": ("source_id", "client", "session_id", "created_at"),
+    "missing_sessions": ("source_id", "client", "session_id"),
+}
+
+
 def preflight(status: DataFrame, facts: DataFrame, prices: DataFrame, issues: DataFrame, drift: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Seven kinds of records in one wide relation, absent columns null."""
+    """Seven kinds of records in one relation of thirty columns; what a kind doesn't have is null."""
     keys = ["source_id", "client", "session_id"]
-    parts = {
-        "status": status.select("source_id", "day", "domain", "status"),
-        "models": facts.select("source_id", "day", "model").distinct(),
-        "prices": prices.select("source_id", "day", "model"),
-        "issues": issues.where("not resolved").select("source_id", F.col("check_name").alias("detail"), "issue_key"),
-        "drift": drift.where("not resolved").select("source_id", "domain", F.col("drift_key").alias("detail")),
-        "sessions": sessions.select(*keys),
-        "missing_sessions": facts.select(*keys).distinct().join(sessions, keys, "left_anti"),
-    }
-    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("kind", F.lit(k)) for k, p in parts.items()])
-    return wide.select("kind", "source_id", "day", "domain", "status", "model", "client", "session_id", "detail", "issue_key")
+    parts = {"status": status, "models": facts, "prices": prices, "issues": issues.where("not resolved"), "drift": drift.where("not resolved"), "sessions": sessions, "missing_sessions": facts.select(*keys).join(sessions, keys, "left_anti")}
+    rows = [p.select(F.lit(k).alias("kind"), *[c for c in PREFLIGHT_PARTS[k] if c in p.columns]).distinct() for k, p in parts.items()]
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return wide.select(*[F.col(c) if c in wide.columns else F.lit(None).cast("string").alias(c) for c in PREFLIGHT])
 
 
 def custom_price_models(prices: DataFrame) -> DataFrame:
     return prices.where("source = 'Custom'").select("model").distinct()
 
 
-def day_plan(candidates: DataFrame, status: DataFrame, today: Column, overlap: int = 3, refresh: bool = False) -> DataFrame:
-    """Days to fetch again: when refreshing all; else today and later, the newest ``overlap`` past ones, and those not complete.
+def day_plan(contributions: DataFrame, status: DataFrame, today: Column, overlap: int = 3, refresh: tuple | None = None) -> DataFrame:
+    """(source_id, day, reason): days to fetch again. contributions: (source_id, day) with usage.
 
-    candidates: (source_id, day) of contributions; days with an incomplete models target are candidates too.
+    Candidates are the contribution days and those whose models target isn't complete. Of them, today and later are
+    fetched, the newest ``overlap`` past contribution days, and what isn't complete. refresh: (since, until) takes every
+    day of that range instead; where since is None it begins with the earliest day known up to until.
     """
     models = status.where("domain = 'models'").select("source_id", "day", (F.col("status") == "complete").alias("done"))
-    every = candidates.select("source_id", "day").union(models.where("not done").select("source_id", "day")).distinct()
-    got = every.join(models, ["source_id", "day"], "left")
-    from pyspark.sql import Window as W
-
-    past = F.row_number().over(W.partitionBy("source_id", F.col("day") < today).orderBy(F.desc("day")))
-    got = got.withColumn("nth", past)
-    reason = F.when(F.lit(refresh), "refresh").when(F.col("day") >= today, "open").when(F.col("nth") <= overlap, "overlap").when(~F.coalesce("done", F.lit(False)), "incomplete")
+    known = contributions.select("source_id", "day").distinct()
+    if refresh is not None:
+        since, until = (None if x is None else F.lit(x) for x in refresh)
+        every = known.union(models.select("source_id", "day"))
+        begin = F.coalesce(F.min(F.when(F.col("day") <= until, F.col("day"))), until) if since is None else F.max(since)
+        spans = every.groupBy("source_id").agg(begin.alias("since"))
+        return spans.where(F.col("since") <= until).select("source_id", F.explode(F.sequence("since", until)).alias("day"), F.lit("refresh").alias("reason"))
+    newest = known.where(F.col("day") < today).withColumn("nth", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("day")))).where(F.col("nth") <= overlap)
+    got = known.union(models.where("not done").select("source_id", "day")).distinct().join(models, ["source_id", "day"], "left").join(newest, ["source_id", "day"], "left")
+    reason = F.when(F.col("day") >= today, "open").when(F.col("nth").isNotNull(), "overlap").when(~F.coalesce("done", F.lit(False)), "incomplete")
     return got.withColumn("reason", reason).where("reason is not null").select("source_id", "day", "reason")
 
 

@@ -29,23 +29,24 @@ def days_between(spark, since: dt.date, until: dt.date) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(since), F.lit(until))).alias("day"))
 
 
-def densify(daily: DataFrame, coverage: DataFrame, since: dt.date, until: dt.date, today: dt.date) -> DataFrame:
-    """One row for each day from since to until, with a status.
+def densify(daily: DataFrame, since: dt.date, until: dt.date, today: dt.date, names: list[str]) -> DataFrame:
+    """One row for each day from since to until, with the chosen metric as value, and a status.
 
-    coverage: (day, complete, partial) flags from the ledger. future comes last in precedence: a day with usage is
-    complete or partial by its ledger, one without is no-recorded-usage where complete; days of no ledger row are unknown.
+    A day with facts is complete, one without is no-recorded-usage and has value 0 (but no cost per million). Session time
+    is partial where only some facts are measured; a day whose value can't be known is unknown; a later day than today
+    is future and has no value, whatever is recorded for it.
     """
-    days = days_between(daily.sparkSession, since, until)
-    got = days.join(daily, "day", "left").join(coverage, "day", "left")
-    status = (
-        F.when(F.coalesce("partial", F.lit(False)), "partial")
-        .when(F.coalesce("complete", F.lit(False)) & F.col("facts").isNotNull(), "complete")
-        .when(F.coalesce("complete", F.lit(False)), "no-recorded-usage")
-        .when(F.col("facts").isNotNull(), "partial")
-        .when(F.col("day") > F.lit(today), "future")
-        .otherwise("unknown")
-    )
-    return got.withColumn("status", status).drop("complete", "partial")
+    got = days_between(daily.sparkSession, since, until).join(daily, "day", "left")
+    used = F.col("facts").isNotNull()
+    value = metric(names)
+    if names != ["cost_per_million"]:
+        value = F.when(used, value).otherwise(F.lit(0.0))
+    status = F.when(used, "complete").otherwise("no-recorded-usage")
+    if names == ["session_time"]:
+        status = F.when((F.col("measured_facts") > 0) & (F.col("measured_facts") < F.col("facts")), "partial").otherwise(status)
+    late = F.col("day") > F.lit(today)
+    got = got.withColumn("value", F.when(~late, value)).withColumn("status", F.when(late, "future").when(F.col("value").isNull(), "unknown").otherwise(status))
+    return got
 
 
 def intensity(rows: DataFrame, value: str, bins: int = 7, scale: str = "linear") -> DataFrame:

@@ -150,20 +150,35 @@ def raw_and_gold(raw: DataFrame, gold: DataFrame) -> DataFrame:
     return both.select(*[lifted[c].alias(c) if c in lifted else total.cast("long").alias(c) if c == "total_tokens" else F.col(c) for c in best.columns])
 
 
+def merged_history(batch: DataFrame) -> DataFrame:
+    """One row for each daily key of a batch: its rows merged in their ranking order, so that components are their maxima."""
+    order = TABLES["daily_stats"].order
+    return fold_history(batch.withColumn("arrival__", F.struct(*order)), ["arrival__"])
+
+
 def upsert(current_rows: DataFrame, batch: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """The table after a batch, and (inserted, updated) counts of it.
 
     A stored row gives way only to one that ranks after it. Sessions keep the earliest first and the latest last sighting even
-    when the incoming row loses.
+    when the incoming row loses; daily facts keep the larger of each token component, and a total no less than their sum.
     """
     t = TABLES[table]
     keys = list(t.keys)
-    new = collapse(batch, t.keys, t.order, **({"first_seen_at": F.min("first_seen_at"), "last_seen_at": F.max("last_seen_at")} if table == "sessions" else {}))
+    if table == "daily_stats":
+        new = merged_history(batch)
+    else:
+        new = collapse(batch, t.keys, t.order, **({"first_seen_at": F.min("first_seen_at"), "last_seen_at": F.max("last_seen_at")} if table == "sessions" else {}))
     c, b = current_rows.alias("c"), new.alias("b")
     both = c.join(b, [F.col(f"c.{k}") == F.col(f"b.{k}") for k in keys], "full_outer")
     fresh, wins = F.col("c.event_id").isNull(), F.col("b.event_id").isNotNull() & exceeds("b", "c", t.order)
     take = fresh | F.coalesce(wins, F.lit(False))
-    seen = {"first_seen_at": F.least("c.first_seen_at", "b.first_seen_at"), "last_seen_at": F.greatest("c.last_seen_at", "b.last_seen_at")} if table == "sessions" else {}
-    after = both.select(*[seen[x].alias(x) if x in seen else F.when(take, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}")).alias(x) for x in current_rows.columns])
+    own = {}
+    if table == "sessions":
+        own = {"first_seen_at": F.least("c.first_seen_at", "b.first_seen_at"), "last_seen_at": F.greatest("c.last_seen_at", "b.last_seen_at")}
+    elif table == "daily_stats":
+        lifted = {x: F.greatest(f"c.{x}", f"b.{x}") for x in TOKENS}
+        lifted["total_tokens"] = F.greatest("c.total_tokens", "b.total_tokens", reduce(lambda x, y: x + y, [F.coalesce(x, F.lit(0)) for x in lifted.values()]))
+        own = {x: F.when(take, v).otherwise(F.col(f"c.{x}")).cast("long") for x, v in lifted.items()}
+    after = both.select(*[own[x].alias(x) if x in own else F.when(take, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}")).alias(x) for x in current_rows.columns])
     counts = both.agg(F.count(F.when(fresh, 1)).alias("inserted"), F.count(F.when(~fresh & F.coalesce(wins, F.lit(False)), 1)).alias("updated"))
     return after, counts

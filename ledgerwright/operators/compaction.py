@@ -41,9 +41,11 @@ def compact_curation(raw: DataFrame, gold: DataFrame, table: str, affected: Data
     return collapse(rows, keys, t.order).drop("is_upsert")
 
 
-def expired(raw: DataFrame, today: Column, days: int = 90) -> DataFrame:
-    """Arrival days past retention, and whether rows in them are still unprocessed (then they must stay)."""
-    return raw.select("arrival_day").distinct().where(F.col("arrival_day") < F.date_sub(today, days))
+def expired(raw: DataFrame, progress: DataFrame, today: Column, days: int = 90) -> DataFrame:
+    """(arrival_day, pending): arrival days past retention; pending ones hold rows that weren't compacted yet and must stay."""
+    old = F.col("arrival_day") < F.date_sub(today, days)
+    waiting = candidates(raw.where(old), progress.where(old), "source_id", "day").select("arrival_day").distinct().withColumn("waits", F.lit(True))
+    return raw.where(old).select("arrival_day").distinct().join(waiting, "arrival_day", "left").select("arrival_day", F.coalesce("waits", F.lit(False)).alias("pending"))
 
 
 def backlog(raw: DataFrame, progress: DataFrame, today: Column, warn: int = 2, error: int = 80) -> DataFrame:
@@ -59,21 +61,18 @@ def pinned(df: DataFrame, cutoff: Column, column: str = "collected_at") -> DataF
 
 
 def retention_plan(versions: DataFrame, newest: int = 5, weeks: int = 4) -> DataFrame:
-    """Versions (version_id, role, pinned, state, created_at) with keep and the reason.
+    """Versions (version_id, role, weekly_slot, pinned, state, created_at) with keep and the reason.
 
-    Kept: pinned ones, those of unknown state, the newest of each role but weekly, and the newest of each of the ``weeks``
-    newest ISO weeks.
+    Kept: those of an uncertain state, pinned ones, the ``newest`` others of scheduled or manual role, counted together, and the
+    newest of each of the ``weeks`` newest weekly slots of those whose role is weekly. Slots are stated, never made up.
     """
-    week = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), F.col("created_at")), F.lpad(F.weekofyear("created_at").cast("string"), 2, "0"))
-    nth = F.row_number().over(W.partitionBy("role").orderBy(F.desc("created_at"), "version_id"))
-    in_week = F.row_number().over(W.partitionBy("week").orderBy(F.desc("created_at"), "version_id"))
-    rows = versions.withColumn("week", week).withColumn("nth", nth).withColumn("in_week", in_week)
-    recent = rows.select("week").distinct().orderBy(F.desc("week")).limit(weeks).withColumn("recent", F.lit(True))
-    rows = rows.join(recent, "week", "left")
-    reason = (
-        F.when(F.col("pinned"), "pinned")
-        .when(~F.col("state").isin("complete", "failed"), "unknown state")
-        .when(F.col("role").isin("scheduled", "manual") & (F.col("nth") <= newest), "newest")
-        .when(F.coalesce("recent", F.lit(False)) & (F.col("in_week") == 1), "weekly")
-    )
-    return rows.select("version_id", "role", "created_at", reason.isNotNull().alias("keep"), reason.alias("reason"))
+    sure = F.col("state").isin("complete", "failed") & F.col("pinned").isNotNull()
+    rated = versions.where(sure & ~F.col("pinned"))
+    last = [F.desc("created_at"), F.asc("version_id")]
+    by_count = rated.where(F.col("role").isin("scheduled", "manual")).orderBy(*last).limit(newest).select("version_id", F.lit("newest").alias("why"))
+    slots = rated.where((F.col("role") == "weekly") & F.col("weekly_slot").isNotNull())
+    first = slots.withColumn("nth", F.row_number().over(W.partitionBy("weekly_slot").orderBy(*last))).where("nth = 1")
+    by_week = first.orderBy(*last).limit(weeks).select("version_id", F.lit("weekly").alias("why"))
+    got = versions.join(F.broadcast(by_count.union(by_week)), "version_id", "left")  # newest + weeks rows
+    reason = F.when(~F.coalesce(sure, F.lit(False)), "unknown state").when(F.col("pinned"), "pinned").otherwise(F.col("why"))
+    return got.select("version_id", "role", "created_at", reason.isNotNull().alias("keep"), reason.alias("reason"))

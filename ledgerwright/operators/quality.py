@@ -176,10 +176,18 @@ def coverage(expected: DataFrame, found: DataFrame, on: list[str], unsafe_days:
     return got.withColumn("status", status).select("day", "expected_count", "succeeded_count", "status")
 
 
-def resolve_issues(open_issues: DataFrame, still_bad: DataFrame, run: DataFrame) -> DataFrame:
-    """Open issues that a run clears: it fetched data, nothing failed, and their day isn't pending. run: one row (fetched, failed)."""
-    clean = F.broadcast(run.select("fetched", "failed"))  # one row
-    return open_issues.crossJoin(clean).where("fetched and not failed").drop("fetched", "failed").join(still_bad.select("source_id", "check_name", "issue_key").distinct(), ["source_id", "check_name", "issue_key"], "left_anti")
+#: The checks whose issues a clean run clears.
+CLEARED_CHECKS = ("models_payload_totals", "models_payload_keys")
+
+
+def resolve_issues(open_issues: DataFrame, still_bad: DataFrame, run: DataFrame, checks: tuple[str, ...] = CLEARED_CHECKS) -> DataFrame:
+    """Open issues of ``checks`` that a run clears: it fetched data, nothing failed, and no earlier day of its source is pending.
+
+    run: (source_id, fetched, failed, pending), one row a source; pending: a day that failed reconciliation before isn't complete yet.
+    """
+    clean = run.where("fetched and not failed and not pending").select("source_id").distinct()
+    mine = open_issues.where(F.col("check_name").isin(*checks)).join(clean, "source_id", "left_semi")
+    return mine.join(still_bad.select("source_id", "check_name", "issue_key").distinct(), ["source_id", "check_name", "issue_key"], "left_anti")
 
 
 def resolve_drift(open_drift: DataFrame, active: DataFrame, observed: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def report_daily(usage: DataFrame, limit: int | None = None) -> DataFrame:
 def report_models(usage: DataFrame) -> DataFrame:
     ms, timed = paired("perf_duration_ms", "perf_timed_tokens")
     got = usage.groupBy("model", "client").agg(*[zero_sum(c).alias(c) for c in TOKENS], zero_sum("message_count").alias("message_count"), strict_sum("cost_usd").alias("cost_usd"), ms.alias("paired_ms"), timed.alias("paired_tokens"))
-    return got.select("model", "client", *TOKENS, "message_count", "cost_usd", ratio("paired_ms", "paired_tokens", 1000).alias("ms_per_1k_tokens"), ratio("cost_usd", "total_tokens", 1e6).alias("cost_per_million"), ratio("cache_read", F.col("input_tokens")).alias("cache_multiplier"))
+    return got.select("model", "client", *TOKENS, "message_count", "cost_usd", ratio("paired_ms", "paired_tokens", 1000).alias("ms_per_1k_tokens"), ratio("cost_usd", "total_tokens", 1e6).alias("cost_per_million"), ratio("cache_read", F.col("input_tokens")).alias("cache_multiplier")).orderBy(F.desc("total_tokens"), "model", "client")
 
 
 def session_model_stats(cost: DataFrame) -> DataFrame:
@@ -162,22 +162,24 @@ def filtered_summary(session_models: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def session_tags(sessions: DataFrame, tags: DataFrame) -> DataFrame:
-    """(source, client, session, tag): a tag's scope is a client, a workspace or one session; each scope is an equi join."""
+    """(source, client, session, workspace, tag, tag_scope): a tag's scope is a client, a workspace or one session; each scope is an equi join."""
     s, t = sessions.select(*SESSION, "workspace"), tags.select("scope", F.col("client").alias("t_client"), F.col("workspace").alias("t_workspace"), F.col("session_id").alias("t_session"), "tag")
     parts = [
         s.join(t.where("scope = 'client'"), F.col("client") == F.col("t_client")),
         s.join(t.where("scope = 'workspace'"), F.col("workspace") == F.col("t_workspace")),
         s.join(t.where("scope = 'session'"), (F.col("client") == F.col("t_client")) & (F.col("session_id") == F.col("t_session"))),
     ]
-    return reduce(DataFrame.union, [p.select(*SESSION, "tag") for p in parts]).distinct()
+    return reduce(DataFrame.union, [p.select(*SESSION, "workspace", "tag", F.col("scope").alias("tag_scope")) for p in parts]).distinct()
 
 
 def tagged_sessions(sessions: DataFrame, tags: DataFrame) -> DataFrame:
-    return sessions.select(*SESSION, "workspace", "created_at").join(session_tags(sessions, tags), SESSION)
+    """Every session once for each of its tags and the scope that the tag reaches it by."""
+    return sessions.join(session_tags(sessions, tags).drop("workspace"), SESSION)
 
 
 def noted_sessions(sessions: DataFrame, notes: DataFrame) -> DataFrame:
-    return sessions.select(*SESSION, "workspace", "created_at").join(notes.select(*SESSION, "note", F.col("updated_at").alias("noted_at")), SESSION)
+    about = notes.select(*SESSION, "note_id", "note", F.col("created_at").alias("note_created_at"), F.col("updated_at").alias("note_updated_at"), F.col("collected_at").alias("note_collected_at"))
+    return sessions.join(about, SESSION)
 
 
 def missing_sessions(cost: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -78,11 +78,6 @@ class Ledger:
     def by_day(self) -> DataFrame:
         return reports.report_daily(self.usage)
 
-    @cached_property
-    def day_coverage(self) -> DataFrame:
-        models = collapse.collection_status(self.obs("ledger_obs")).where("domain = 'models'")
-        return models.groupBy("day").agg(F.max(F.col("status").isin("complete", "provisional")).alias("complete"), F.max(~F.col("status").isin("complete", "provisional")).alias("partial"))
-
     @cached_property
     def declared(self) -> DataFrame:
         """Declared totals of each day, wrong on every seventh for input and every fifth for cost."""
@@ -112,13 +107,12 @@ def filtered(x: Ledger) -> DataFrame:
     return reports.report_where(x.usage, FILTERS, reports.session_tags(x.sessions, x.tags))
 
 
-def _calendar(x: Ledger) -> DataFrame:
-    return calendar.densify(x.by_day, x.day_coverage, dt.date(2023, 12, 25), dt.date(2024, 3, 20), TODAY)
+def _calendar(x: Ledger, *names: str) -> DataFrame:
+    return calendar.densify(x.by_day, dt.date(2023, 12, 25), dt.date(2024, 3, 20), TODAY, list(names or ("input", "output")))
 
 
 def _intensity(x: Ledger, bins: int, scale: str) -> DataFrame:
-    rows = _calendar(x).withColumn("value", F.when(F.col("facts").isNotNull(), calendar.metric(["input", "output"])))
-    return calendar.intensity(rows, "value", bins, scale).select("day", "value", "intensity")
+    return calendar.intensity(_calendar(x), "value", bins, scale).select("day", "value", "intensity")
 
 
 def _merge(x: Ledger) -> DataFrame:
@@ -162,7 +156,7 @@ def _json_payloads(x: Ledger) -> DataFrame:
 
 
 def _daily_payloads(x: Ledger) -> DataFrame:
-    """One JSON payload a day, written from the first 1,000 orders' observations as a scanner would."""
+    """One JSON payload a source and day, written from the observations as a scanner would."""
     e = F.struct(
         "client", F.col("session_id").alias("sessionId"), "model", "provider", F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite"),
         "reasoning", F.col("message_count").alias("messageCount"), F.col("reported_cost_usd").alias("cost"), F.struct(F.col("perf_duration_ms").alias("totalDurationMs"), F.col("perf_timed_tokens").alias("timedTokens")).alias("performance"),
@@ -209,9 +203,21 @@ def _documents(x: Ledger) -> DataFrame:
     return x.spark.read.parquet(f"{x.sf_dir}/documents.parquet")
 
 
+def _secret_lines(x: Ledger) -> DataFrame:
+    """Log lines with a name and value, a path and an address, of nine kinds of names, six of paths and six of addresses."""
+    return x.spark.read.parquet(f"{x.sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_linenumber",
+        "concat('run ', l_orderkey, ' ', element_at(array('API_KEY', 'x-auth-token', 'PGPASSWORD', 'MONKEY', 'KEYBOARD', 'tokenizer', 'my_secret_2', 'AUTH_METHOD', 'mode'), cast(l_partkey % 9 as int) + 1), element_at(array('=', ': '), cast(l_linenumber % 2 as int) + 1), 'v', l_suppkey, ' end')"
+        " as line",
+        "concat('at ', element_at(array('/data/a b', '~/x', 'C:\\\\u\\\\f.txt', '3/4', 'no', '(/etc/x)'), cast(l_partkey % 6 as int) + 1), ', line ', l_suppkey) as place",
+        "concat('from ', element_at(array('ab', 'abc', 'abcd', 'abcde', 'a.b+c', 'a'), cast(l_partkey % 6 as int) + 1), element_at(array('@gmail.com', '@corp.example', '@sub.corp.example now'), cast(l_suppkey % 3 as int) + 1)) as mail",
+    )
+
+
 def _versions(x: Ledger) -> DataFrame:
     return x.spark.read.parquet(f"{x.sf_dir}/events.parquet").selectExpr(
-        "event_id as version_id", "element_at(array('scheduled','manual','copy'), cast(event_id % 3 as int) + 1) as role", "event_id % 97 = 0 as pinned", "case when event_id % 53 = 0 then 'odd' else 'complete' end as state", "ts as created_at"
+        "event_id as version_id", "element_at(array('scheduled','manual','weekly','copy'), cast(event_id % 4 as int) + 1) as role", "case when event_id % 5 = 0 then null else date_format(ts, 'yyyy-MM-dd') end as weekly_slot",
+        "event_id % 7 = 0 as pinned", "case when event_id % 11 = 0 then 'odd' else 'complete' end as state", "ts as created_at",
     )
 
 
@@ -233,6 +239,7 @@ QUERIES = {
     "A3_contribution_days": lambda x: payloads.parse_graph(_graph_payloads(x))[0],
     "A4_rate_card_scan": lambda x: payloads.parse_pricing(_pricing_payloads(x)).select("file", "model", "source", "price_input_per_token", "price_output_per_token"),
     "A7_upsert_sessions": lambda x: _upsert(x, "sessions", "session_obs", "timestamp_ntz'1998-01-01 00:00:00'")[0].select("event_id", "source_id", "client", "session_id", "workspace", "first_seen_at", "last_seen_at"),
+    "A7_upsert_daily": lambda x: _plain(_upsert(x, "daily_stats", "daily_obs", "timestamp_ntz'1998-01-01 00:00:00'")[0], *DAILY),
     "A7_upsert_counts": lambda x: _upsert(x, "daily_stats", "daily_obs", "timestamp_ntz'1998-01-01 00:00:00'")[1],
     "A12_retention_plan": lambda x: compaction.retention_plan(_versions(x)).select("version_id", "keep", "reason"),
     "B2_total_tokens": lambda x: x.obs("daily_obs").select("event_id", collapse.token_sum().cast("long").alias("total_tokens")),
@@ -269,7 +276,10 @@ QUERIES = {
     "E5_report_session_models": lambda x: x.session_models,
     "E6_report_summary": lambda x: reports.summary(x.cost),
     "E7_report_summary_models": lambda x: reports.summary_models(x.cost),
-    "E13_calendar": lambda x: _calendar(x).select("day", "status", "facts", "total_tokens", "cost_usd"),
+    "E13_calendar": lambda x: _calendar(x).select("day", "status", "value", "facts", "total_tokens", "cost_usd"),
+    "E13_calendar_cost": lambda x: _calendar(x, "cost").select("day", "status", "value"),
+    "E13_calendar_rate": lambda x: _calendar(x, "cost_per_million").select("day", "status", "value"),
+    "E13_calendar_time": lambda x: _calendar(x, "session_time").select("day", "status", "value"),
     "E15_intensity_linear": lambda x: _intensity(x, 7, "linear"),
     "E15_intensity_log": lambda x: _intensity(x, 10, "log"),
     "E16_chart_series": lambda x: calendar.chart_series(x.by_day, calendar.metric(["cost"]), dt.date(2024, 3, 5), 31),
@@ -279,7 +289,7 @@ QUERIES = {
     "F3_session_tags": lambda x: reports.session_tags(x.sessions, x.tags),
     "F4_tagged_facts": lambda x: _plain(filtered(x), *COST),
     "F5_tagged_sessions": lambda x: reports.tagged_sessions(x.sessions, x.tags),
-    "F5_noted_sessions": lambda x: reports.noted_sessions(x.sessions, x.notes),
+    "F5_noted_sessions": lambda x: reports.noted_sessions(x.sessions, x.notes.withColumn("note_id", note_id("source_id", "client", "session_id"))),
     "F6_missing_sessions": lambda x: reports.missing_sessions(x.cost, x.sessions),
     "F7_unresolved_runs": lambda x: audit.unresolved_runs(x.ledger),
     "G1_all_sources": lambda x: x.audited.select("source_id"),
@@ -302,10 +312,11 @@ QUERIES = {
     "K8_withheld": lambda x: quality.withhold(x.obs("daily_obs"), quality.duplicate_keys(x.obs("daily_obs")).where("dayofmonth(day) < 20")).select("event_id"),
     "K9_check_rates": lambda x: quality.check_rates(_timed(x)).select("event_id", "reported_ms_per_1k"),
     "K10_issues": lambda x: quality.issues_of(_failures(x)).select("run_id", "check_name", "message", F.array_join(F.transform("days", lambda v: v.cast("string")), ",").alias("days")),
-    "K11_resolved_issues": lambda x: quality.resolve_issues(x.issues.where("not resolved"), x.issues.where("issue_key = 'key-3'"), x.spark.range(1).select(F.lit(True).alias("fetched"), F.lit(False).alias("failed"))).select("event_id"),
+    "K11_resolved_issues": lambda x: quality.resolve_issues(x.issues.where("not resolved"), x.issues.where("issue_key = 'key-3'"), x.issues.select("source_id", F.lit(True).alias("fetched"), (F.col("source_id") == "src-1").alias("failed"), (F.col("source_id") == "src-2").alias("pending")), ("check-1", "check-2")).select("event_id"),
     "K12_resolved_drift": lambda x: quality.resolve_drift(x.drift.where("not resolved"), x.drift.where("drift_key like '%3'"), x.drift.select("domain", "payload_ver", (F.col("domain") == "models").alias("complete"))).select("event_id"),
     "K13_price_coverage": _coverage,
     "K14_day_plan": lambda x: audit.day_plan(x.daily.select("source_id", "day").distinct(), collapse.collection_status(x.obs("ledger_obs")), F.lit(TODAY)),
+    "K14_refresh_plan": lambda x: audit.day_plan(x.daily.select("source_id", "day"), collapse.collection_status(x.obs("ledger_obs")), F.lit(TODAY), refresh=(None, dt.date(2024, 2, 10))),
     "K15_price_gaps": lambda x: audit.price_gaps(x.daily, x.prices, F.lit(TODAY)),
     "L1_recent_runs": lambda x: audit.recent_runs(x.ledger),
     "L2_audit_sources": lambda x: x.audited,
@@ -317,13 +328,16 @@ QUERIES = {
     "M2_compact_daily": lambda x: _plain(compaction.compact_daily(*x.raw_gold)[0], *DAILY),
     "M3_compact_tags": lambda x: compaction.compact_curation(x.obs("tag_obs").where("collected_at >= timestamp_ntz'2024-02-08 00:00:00'"), x.obs("tag_obs").where("collected_at < timestamp_ntz'2024-02-08 00:00:00'"), "tags", x.obs("tag_obs").where("op = 'delete'")),
     "M4_progress": lambda x: compaction.compact_daily(*x.raw_gold)[2],
-    "M5_expired": lambda x: compaction.expired(x.raw_gold[0], F.lit(dt.date(1996, 1, 1))),
+    "M5_expired": lambda x: compaction.expired(x.raw_gold[0], x.raw_gold[2], F.lit(dt.date(1998, 6, 1))),
     "M6_pinned": lambda x: _plain(collapse.current(compaction.pinned(x.obs("daily_obs"), F.expr("timestamp_ntz'1997-07-01 00:00:00'")), "daily_stats"), *DAILY),
     "N1_pseudonyms": lambda x: privacy.pseudonyms(x.sessions.select("workspace"), "workspace", "workspace"),
     "N1_anonymised_tags": lambda x: privacy.pseudonymise(x.tags).select("event_id", "scope", "workspace", "session_id", "tag"),
     "N2_notes_redacted": lambda x: privacy.pseudonymise(x.notes, {}).select("event_id", "note"),
+    "N3_credentials": lambda x: _secret_lines(x).select("l_orderkey", "l_linenumber", privacy.redact_credentials(F.col("line")).alias("line")),
+    "N4_paths": lambda x: _secret_lines(x).select("l_orderkey", "l_linenumber", privacy.redact_paths(F.col("place")).alias("place")),
+    "N6_addresses": lambda x: _secret_lines(x).select("l_orderkey", "l_linenumber", privacy.mask_addresses(F.col("mail")).alias("mail")),
     "N3_redacted_documents": lambda x: _documents(x).select("doc_id", privacy.sanitize_text(F.col("text")).alias("text")),
-    "N7_visible_urls": lambda x: x.spark.read.parquet(f"{x.sf_dir}/pages.parquet").select("page_id", privacy.visible(F.concat("url", F.lit("\t\n"))).alias("shown")),
+    "N7_visible_urls": lambda x: x.spark.read.parquet(f"{x.sf_dir}/pages.parquet").select("page_id", privacy.visible(F.concat("url", F.lit("\t\n"), F.element_at(F.array(F.lit("\u200b"), F.lit("\U000e0001"), F.lit("x")), (F.col("page_id") % 3 + 1).cast("int")))).alias("shown")),
     "O1_add_tags": lambda x: curation.add_tags(_requests(x), x.tags, _curated(), "r1").select("scope", "client", "workspace", "session_id", "tag", "op", "updated_at"),
     "O2_rename_tags": lambda x: curation.rename_tags(x.tags.where("scope = 'session'").withColumn("new_tag", F.concat("tag", F.lit("-2"))), x.tags, _curated(), "r2").select("scope", "client", "session_id", "tag", "op", "created_at"),
     "O3_set_notes": lambda x: curation.set_notes(_note_requests(x), x.notes, _curated(), "r3").select("source_id", "client", "session_id", "note", "op", "created_at", "updated_at"),

@@ -50,6 +50,24 @@ def lifted(a: str, b: str) -> str:
 #: Newest metric of each sort, as in the reports.
 SORTS = ("activity_day", "created_at", "last_active", "total_tokens", "input_tokens", "output_tokens", "cache_read", "cache_write", "reasoning", "cost_usd", "message_count", "ms_per_1k_tokens")
 
+def preflight() -> str:
+    """Each kind of record with its own columns, the others null."""
+    from ledgerwright.operators.audit import PREFLIGHT
+
+    own = {
+        "status": ("status", "source_id day domain status expected_count succeeded_count run_id"),
+        "models": ("cur_daily", "source_id day model client session_id input_tokens output_tokens cache_read cache_write reasoning total_tokens event_id collected_at"),
+        "prices": ("cur_price", "source_id day model"),
+        "issues": ("cur_issue", "source_id check_name issue_key"),
+        "drift": ("cur_drift", "source_id domain payload_ver drift_key detail created_at observation_count"),
+        "sessions": ("cur_session", "source_id client session_id created_at"),
+        "missing_sessions": ("cur_daily", "source_id client session_id"),
+    }
+    test = {"issues": "NOT resolved", "drift": "NOT resolved", "missing_sessions": f"NOT EXISTS (SELECT 1 FROM cur_session s WHERE s.source_id = {{t}}.source_id AND s.client = {{t}}.client AND s.session_id = {{t}}.session_id)"}
+    parts = [f"SELECT DISTINCT '{k}' AS kind, " + ", ".join(c if c in cols.split() else f"NULL AS {c}" for c in PREFLIGHT[1:]) + f" FROM {t} WHERE " + test.get(k, "TRUE").format(t=t) for k, (t, cols) in own.items()]
+    return " UNION ALL ".join(parts)
+
+
 CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "cur_daily": best("daily_obs", KEY, "collected_at, total_tokens, event_id"),
     "cur_price": best("price_obs", "source_id, day, model", "collected_at, price_output_per_token, event_id"),
@@ -90,15 +108,13 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
   SELECT {SES}, max(workspace) AS workspace, string_agg(DISTINCT model, ', ' ORDER BY model) AS models, {ZEROS}, {zero("message_count")} AS message_count, {STRICT} AS cost_usd, CAST(sum(paired_ms) AS BIGINT) AS paired_ms, CAST(sum(paired_tokens) AS BIGINT) AS paired_tokens,
     max(last_active) AS last_active, max(activity_day) AS activity_day, max(last_usage_day) AS last_usage_day, bool_or(last_active_stale) AS last_active_stale, max(created_at) AS created_at FROM smodels GROUP BY {SES})""",
     "stags": f"""
-  SELECT DISTINCT s.source_id, s.client, s.session_id, t.tag FROM cur_session s JOIN cur_tag t
+  SELECT DISTINCT s.source_id, s.client, s.session_id, s.workspace, t.tag, t.scope AS tag_scope FROM cur_session s JOIN cur_tag t
     ON (t.scope = 'client' AND t.client = s.client) OR (t.scope = 'workspace' AND t.workspace = s.workspace) OR (t.scope = 'session' AND t.client = s.client AND t.session_id = s.session_id)""",
     "picked": f"SELECT * FROM usage_ u WHERE client = 'cli-a' AND model NOT IN ('model-4') AND day BETWEEN date '2024-01-10' AND date '2024-02-20' AND EXISTS (SELECT 1 FROM stags g WHERE g.tag = 'building' AND g.source_id = u.source_id AND g.client = u.client AND g.session_id = u.session_id)",
     "by_day": DAY_REPORT.format("usage_"),
-    "cal": """
-  SELECT d.day, b.* EXCLUDE (day), CASE WHEN coalesce(c.partial, FALSE) THEN 'partial' WHEN c.complete AND b.facts IS NOT NULL THEN 'complete' WHEN c.complete THEN 'no-recorded-usage' WHEN b.facts IS NOT NULL THEN 'partial' WHEN d.day > date '2024-02-15' THEN 'future' ELSE 'unknown' END AS status
-  FROM (SELECT CAST(unnest(generate_series(date '2023-12-25', date '2024-03-20', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN by_day b USING (day)
-  LEFT JOIN (SELECT day, bool_or(status IN ('complete', 'provisional')) AS complete, bool_or(status NOT IN ('complete', 'provisional')) AS partial FROM status WHERE domain = 'models' GROUP BY day) c USING (day)""",
-    "valued": "SELECT day, CASE WHEN facts IS NOT NULL THEN CAST(input_tokens + output_tokens AS DOUBLE) END AS value FROM cal",
+    "days_": "SELECT CAST(unnest(generate_series(date '2023-12-25', date '2024-03-20', INTERVAL 1 DAY)) AS DATE) AS day",
+    "cal": "SELECT d.day, b.* EXCLUDE (day), CASE WHEN d.day > date '2024-02-15' THEN NULL WHEN b.facts IS NULL THEN 0.0::DOUBLE ELSE CAST(b.input_tokens + b.output_tokens AS DOUBLE) END AS value, CASE WHEN d.day > date '2024-02-15' THEN 'future' WHEN b.facts IS NULL THEN 'no-recorded-usage' ELSE 'complete' END AS status FROM days_ d LEFT JOIN by_day b USING (day)",
+    "valued": "SELECT day, value FROM cal",
     "declared": """
   SELECT day, CAST(coalesce(sum(input_tokens), 0) + CASE WHEN dayofyear(day) % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS total_input, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS total_output, CAST(coalesce(sum(cache_read), 0) AS BIGINT) AS total_cache_read,
     CAST(coalesce(sum(cache_write), 0) AS BIGINT) AS total_cache_write, CAST(coalesce(sum(message_count), 0) AS BIGINT) AS total_messages, sum(reported_cost_usd) + CASE WHEN dayofyear(day) % 5 = 0 THEN 0.25::DOUBLE ELSE 0 END AS total_cost,
@@ -106,7 +122,7 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "bad_totals": "SELECT day, 'total_input' AS check_name, total_input AS declared, found_input AS found FROM declared WHERE total_input <> found_input",
     "dups": "SELECT day, count(*) AS duplicates FROM (SELECT day FROM daily_obs GROUP BY day, client, session_id, model HAVING count(*) > 1) GROUP BY day",
     "runs": "SELECT * FROM cur_ledger WHERE domain = 'collection'",
-    "bad_runs": "SELECT r.source_id, r.run_id, r.day, r.status, r.collected_at FROM runs r WHERE r.status <> 'ok' AND NOT EXISTS (SELECT 1 FROM runs o WHERE o.source_id = r.source_id AND o.status = 'ok' AND o.collected_at > r.collected_at)",
+    "bad_runs": "SELECT r.source_id, r.run_id, r.day, r.status, r.finished_at, r.collected_at FROM runs r WHERE r.status IN ('failed', 'partial', 'payload_drift') AND NOT EXISTS (SELECT 1 FROM runs o WHERE o.source_id = r.source_id AND o.status = 'ok' AND coalesce(o.finished_at, o.started_at) > coalesce(r.finished_at, r.started_at))",
     "bad_targets": "SELECT source_id, run_id, day, domain, status, expected_count, succeeded_count, collected_at FROM status WHERE status NOT IN ('complete', 'provisional')",
     "every_source": " UNION ".join(f"SELECT source_id FROM {t}" for t in ("daily_obs", "price_obs", "session_obs", "tag_obs", "note_obs", "ledger_obs", "drift_obs", "issue_obs")),
     "audited": f"""
@@ -126,7 +142,7 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "note_hash": "SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(json_array(source_id, client, session_id) AS VARCHAR))) AS h FROM cur_note",
     "note_named": "SELECT *, concat('n_', rtrim(translate(to_base64(unhex(concat(substr(h, 1, 12), '5', substr(h, 14, 3), substr('89ab', CAST((position(substr(h, 17, 1) IN '0123456789abcdef') - 1) & 3 AS INTEGER) + 1, 1), substr(h, 18, 15)))), '+/', '-_'), '=')) AS note_id FROM note_hash",
     "asked_note": f"SELECT {SES}, CASE WHEN session_id LIKE '%3' THEN concat(min(note), ' edited') ELSE min(note) END AS note FROM note_obs GROUP BY {SES}",
-    "vers": "SELECT event_id AS version_id, (['scheduled','manual','copy'])[CAST(event_id % 3 AS INT) + 1] AS role, event_id % 97 = 0 AS pinned, CASE WHEN event_id % 53 = 0 THEN 'odd' ELSE 'complete' END AS state, ts AS created_at, strftime(ts, '%G-%V') AS week FROM events",
+    "vers": "SELECT event_id AS version_id, (['scheduled','manual','weekly','copy'])[CAST(event_id % 4 AS INT) + 1] AS role, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS weekly_slot, event_id % 7 = 0 AS pinned, CASE WHEN event_id % 11 = 0 THEN 'odd' ELSE 'complete' END AS state, ts AS created_at FROM events",
 }
 
 
@@ -157,10 +173,13 @@ QUERIES = {
     "A3_contribution_days": "SELECT DISTINCT source_id AS file, '1.0' AS version, day AS date FROM daily_obs",
     "A4_rate_card_scan": "SELECT event_id AS file, model, source, price_input_per_token, price_output_per_token FROM price_obs",
     "A7_upsert_sessions": best("session_obs", SES, "collected_at, event_id", columns=f"event_id, {SES}, workspace, min(first_seen_at) OVER (PARTITION BY {SES}) AS first_seen_at, max(last_seen_at) OVER (PARTITION BY {SES}) AS last_seen_at"),
+    "A7_upsert_daily": "WITH h AS (SELECT " + KEY + ", " + ", ".join(f"max({c}) AS {c}" for c in ALL) + " FROM daily_obs WHERE collected_at >= timestamp '1998-01-01' GROUP BY ALL) SELECT coalesce(b.event_id, a.event_id) AS event_id, " + KEY + ", " + ", ".join(f"greatest(a.{c}, h.{c}) AS {c}" for c in TOK)
+    + ", CAST(greatest(a.total_tokens, h.total_tokens, " + " + ".join(f"coalesce(greatest(a.{c}, h.{c}), 0)" for c in TOK) + f") AS BIGINT) AS total_tokens FROM daily98a a FULL JOIN (SELECT {KEY}, event_id FROM daily98b) b USING ({KEY}) LEFT JOIN h USING ({KEY})",
     "A7_upsert_counts": f"SELECT count(*) FILTER (a.event_id IS NULL) AS inserted, count(*) FILTER (a.event_id IS NOT NULL) AS updated FROM daily98b b LEFT JOIN daily98a a USING ({KEY})",
-    "A12_retention_plan": """SELECT version_id, reason IS NOT NULL AS keep, reason FROM (SELECT version_id, CASE WHEN pinned THEN 'pinned' WHEN state NOT IN ('complete', 'failed') THEN 'unknown state'
-  WHEN role IN ('scheduled', 'manual') AND row_number() OVER (PARTITION BY role ORDER BY created_at DESC, version_id) <= 5 THEN 'newest'
-  WHEN week IN (SELECT DISTINCT week FROM vers ORDER BY week DESC LIMIT 4) AND row_number() OVER (PARTITION BY week ORDER BY created_at DESC, version_id) = 1 THEN 'weekly' END AS reason FROM vers)""",
+    "A12_retention_plan": """WITH ok AS (SELECT * FROM vers WHERE state IN ('complete', 'failed') AND NOT pinned),
+n AS (SELECT version_id FROM ok WHERE role IN ('scheduled', 'manual') ORDER BY created_at DESC, version_id LIMIT 5),
+w AS (SELECT arg_min(version_id, (-epoch_us(created_at), version_id)) AS version_id, max(created_at) AS latest FROM ok WHERE role = 'weekly' AND weekly_slot IS NOT NULL GROUP BY weekly_slot ORDER BY latest DESC LIMIT 4)
+SELECT version_id, reason IS NOT NULL AS keep, reason FROM (SELECT version_id, CASE WHEN state NOT IN ('complete', 'failed') THEN 'unknown state' WHEN pinned THEN 'pinned' WHEN version_id IN (SELECT version_id FROM n) THEN 'newest' WHEN version_id IN (SELECT version_id FROM w) THEN 'weekly' END AS reason FROM vers)""",
     "B2_total_tokens": "SELECT event_id, total_tokens FROM daily_obs",
     "B4_session_label": "SELECT event_id, concat(coalesce(workspace_label, 'session'), ' · ', coalesce(CASE WHEN message_count % 9 <> 0 THEN strftime(created_at, '%Y-%m-%d') END, 'unknown-date'), ' · ', right(session_id, 8)) AS label FROM session_obs",
     "B6_policy_rules": "SELECT event_id, " + ", ".join(f"CASE WHEN model = 'model-3' AND source <> 'Custom' THEN 0.0::DOUBLE ELSE {r.strip()} END AS {r.strip()}" for r in RATES.split(",")) + " FROM price_obs",
@@ -195,7 +214,10 @@ QUERIES = {
     "E5_report_session_models": "SELECT * FROM smodels",
     "E6_report_summary": f"SELECT count(DISTINCT ({SES})) AS sessions, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE {STRICT} END AS cost_usd FROM cost",
     "E7_report_summary_models": f"SELECT model, {zero('total_tokens')} AS total_tokens, {STRICT} AS cost_usd FROM cost GROUP BY model",
-    "E13_calendar": "SELECT day, status, facts, total_tokens, cost_usd FROM cal",
+    "E13_calendar": "SELECT day, status, value, facts, total_tokens, cost_usd FROM cal",
+    "E13_calendar_cost": "SELECT day, CASE WHEN day > date '2024-02-15' THEN 'future' WHEN facts IS NULL THEN 'no-recorded-usage' WHEN cost_usd IS NULL THEN 'unknown' ELSE 'complete' END AS status, CASE WHEN day <= date '2024-02-15' THEN CASE WHEN facts IS NULL THEN 0.0::DOUBLE ELSE cost_usd END END AS value FROM cal",
+    "E13_calendar_rate": "SELECT day, CASE WHEN day > date '2024-02-15' THEN 'future' WHEN cost_usd IS NOT NULL AND total_tokens > 0 THEN 'complete' ELSE 'unknown' END AS status, CASE WHEN day <= date '2024-02-15' AND total_tokens > 0 THEN cost_usd * 1000000.0::DOUBLE / total_tokens END AS value FROM cal",
+    "E13_calendar_time": "SELECT day, CASE WHEN day > date '2024-02-15' THEN 'future' WHEN facts IS NULL THEN 'no-recorded-usage' WHEN duration_ms IS NULL THEN 'unknown' WHEN measured_facts > 0 AND measured_facts < facts THEN 'partial' ELSE 'complete' END AS status, CASE WHEN day <= date '2024-02-15' THEN CASE WHEN facts IS NULL THEN 0.0::DOUBLE ELSE CAST(duration_ms AS DOUBLE) END END AS value FROM cal",
     "E15_intensity_linear": intensity(7, "(value / (SELECT max(value) FROM valued))"),
     "E15_intensity_log": intensity(10, "(ln(1 + value) / ln(1 + (SELECT max(value) FROM valued)))"),
     "E16_chart_series": "SELECT d.day, coalesce(b.cost_usd, 0.0) AS value, b.facts IS NOT NULL AND b.cost_usd IS NULL AS missing_cost FROM (SELECT CAST(unnest(generate_series(date '2024-02-04', date '2024-03-05', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN by_day b USING (day)",
@@ -204,16 +226,12 @@ QUERIES = {
     "F2_report_daily_usage": f"SELECT {COST}, workspace, workspace_label FROM usage_",
     "F3_session_tags": "SELECT * FROM stags",
     "F4_tagged_facts": f"SELECT {COST} FROM picked",
-    "F5_tagged_sessions": f"SELECT {SES}, s.workspace, s.created_at, g.tag FROM cur_session s JOIN stags g USING ({SES})",
-    "F5_noted_sessions": f"SELECT {SES}, s.workspace, s.created_at, n.note, n.updated_at AS noted_at FROM cur_session s JOIN cur_note n USING ({SES})",
+    "F5_tagged_sessions": f"SELECT s.*, g.tag, g.tag_scope FROM cur_session s JOIN stags g USING ({SES})",
+    "F5_noted_sessions": f"SELECT s.*, n.note_id, n.note, n.created_at AS note_created_at, n.updated_at AS note_updated_at, n.collected_at AS note_collected_at FROM cur_session s JOIN note_named n USING ({SES})",
     "F6_missing_sessions": f"SELECT DISTINCT {SES} FROM cost c WHERE NOT EXISTS (SELECT 1 FROM cur_session s WHERE s.source_id = c.source_id AND s.client = c.client AND s.session_id = c.session_id)",
     "F7_unresolved_runs": "SELECT * FROM bad_runs",
     "G1_all_sources": "SELECT * FROM every_source",
-    "G2_preflight": f"""WITH k AS (SELECT 'status' AS kind, source_id, day, domain, status, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS client, CAST(NULL AS VARCHAR) AS session_id, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS issue_key FROM status)
-SELECT * FROM k UNION ALL SELECT DISTINCT 'models', source_id, day, NULL, NULL, model, NULL, NULL, NULL, NULL FROM cur_daily UNION ALL SELECT 'prices', source_id, day, NULL, NULL, model, NULL, NULL, NULL, NULL FROM cur_price
-UNION ALL SELECT 'issues', source_id, NULL, NULL, NULL, NULL, NULL, NULL, check_name, issue_key FROM cur_issue WHERE NOT resolved UNION ALL SELECT 'drift', source_id, NULL, domain, NULL, NULL, NULL, NULL, drift_key, NULL FROM cur_drift WHERE NOT resolved
-UNION ALL SELECT 'sessions', source_id, NULL, NULL, NULL, NULL, client, session_id, NULL, NULL FROM cur_session
-UNION ALL SELECT DISTINCT 'missing_sessions', source_id, NULL, NULL, NULL, NULL, client, session_id, NULL, NULL FROM cur_daily c WHERE NOT EXISTS (SELECT 1 FROM cur_session s WHERE s.source_id = c.source_id AND s.client = c.client AND s.session_id = c.session_id)""".replace(f"{SES}", SES),
+    "G2_preflight": preflight(),
     "G3_identity_sets": "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.model, b.model) AS model, CASE WHEN b.model IS NULL THEN 'missing' WHEN a.model IS NULL THEN 'surplus' ELSE 'both' END AS in_set FROM (SELECT DISTINCT source_id, model FROM cur_daily) a FULL JOIN (SELECT DISTINCT source_id, model FROM cur_price) b ON a.source_id = b.source_id AND a.model = b.model",
     "G4_custom_models": "SELECT DISTINCT model FROM cur_price WHERE source = 'Custom'",
     "H1_session_sorts": sorts(),
@@ -232,13 +250,14 @@ UNION ALL SELECT DISTINCT 'missing_sessions', source_id, NULL, NULL, NULL, NULL,
     "K8_withheld": "SELECT event_id FROM daily_obs WHERE day NOT IN (SELECT day FROM dups WHERE day(day) < 20)",
     "K9_check_rates": "SELECT event_id, reported_ms_per_1k FROM (SELECT *, CASE WHEN perf_timed_tokens > 0 THEN 1000.0::DOUBLE * perf_duration_ms / perf_timed_tokens ELSE 0.0 END + CASE WHEN message_count = 3 THEN 0.5 ELSE 0.0 END AS reported_ms_per_1k FROM daily_obs) WHERE perf_duration_ms IS NOT NULL AND reported_ms_per_1k IS NOT NULL AND (message_count = 3 OR (perf_timed_tokens = 0 AND perf_duration_ms <> 0))",
     "K10_issues": "SELECT 'run-1' AS run_id, check_name, arg_max(concat_ws(' ', 'declared', declared, 'found', found), day) AS message, string_agg(CAST(day AS VARCHAR), ',' ORDER BY day) AS days FROM bad_totals GROUP BY check_name",
-    "K11_resolved_issues": "SELECT event_id FROM cur_issue WHERE NOT resolved AND issue_key <> 'key-3'",
+    "K11_resolved_issues": "SELECT event_id FROM cur_issue WHERE NOT resolved AND issue_key <> 'key-3' AND check_name IN ('check-1', 'check-2') AND source_id NOT IN ('src-1', 'src-2')",
     "K12_resolved_drift": "SELECT event_id FROM cur_drift d WHERE NOT resolved AND domain = 'models' AND NOT EXISTS (SELECT 1 FROM cur_drift a WHERE a.drift_key LIKE '%3' AND a.domain = d.domain AND a.payload_ver = d.payload_ver AND a.drift_key = d.drift_key)",
     "K13_price_coverage": """SELECT day, expected_count, succeeded_count, CASE WHEN unsafe AND succeeded_count > 0 THEN 'partial' WHEN succeeded_count = 0 THEN 'failed' WHEN succeeded_count < expected_count THEN 'partial' ELSE 'complete' END AS status
 FROM (SELECT w.day, count(*) AS expected_count, count(p.model) AS succeeded_count, coalesce(w.day IN (SELECT day FROM dups WHERE duplicates > 800), FALSE) AS unsafe FROM (SELECT DISTINCT day, source_id, model FROM cur_daily) w LEFT JOIN (SELECT DISTINCT day, source_id, model FROM cur_price) p USING (day, source_id, model) GROUP BY w.day)""",
-    "K14_day_plan": """SELECT source_id, day, reason FROM (SELECT source_id, day, CASE WHEN day >= date '2024-02-15' THEN 'open' WHEN nth <= 3 THEN 'overlap' WHEN NOT coalesce(done, FALSE) THEN 'incomplete' END AS reason FROM (
-  SELECT e.source_id, e.day, m.done, row_number() OVER (PARTITION BY e.source_id, e.day < date '2024-02-15' ORDER BY e.day DESC) AS nth FROM (SELECT source_id, day FROM cur_daily UNION SELECT source_id, day FROM status WHERE domain = 'models' AND status <> 'complete') e
-  LEFT JOIN (SELECT source_id, day, status = 'complete' AS done FROM status WHERE domain = 'models') m USING (source_id, day))) WHERE reason IS NOT NULL""",
+    "K14_day_plan": """WITH m AS (SELECT source_id, day, status = 'complete' AS done FROM status WHERE domain = 'models'), c AS (SELECT DISTINCT source_id, day FROM cur_daily), e AS (SELECT * FROM c UNION SELECT source_id, day FROM m WHERE NOT done)
+SELECT source_id, day, reason FROM (SELECT e.*, CASE WHEN e.day >= date '2024-02-15' THEN 'open' WHEN e.day IN (SELECT c.day FROM c WHERE c.source_id = e.source_id AND c.day < date '2024-02-15') AND (SELECT count(*) FROM c WHERE c.source_id = e.source_id AND c.day < date '2024-02-15' AND c.day > e.day) < 3 THEN 'overlap'
+  WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.source_id = e.source_id AND m.day = e.day AND m.done) THEN 'incomplete' END AS reason FROM e) WHERE reason IS NOT NULL""",
+    "K14_refresh_plan": "WITH e AS (SELECT source_id, day FROM cur_daily UNION SELECT source_id, day FROM status WHERE domain = 'models'), g AS (SELECT source_id, coalesce(min(day) FILTER (day <= date '2024-02-10'), date '2024-02-10') AS since FROM e GROUP BY source_id) SELECT source_id, CAST(unnest(generate_series(since, date '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day, 'refresh' AS reason FROM g",
     "K15_price_gaps": "SELECT DISTINCT source_id, model FROM cur_daily f WHERE (day = date '2024-02-15' OR NOT EXISTS (SELECT 1 FROM cur_price p WHERE p.source_id = f.source_id AND p.model = f.model)) AND NOT EXISTS (SELECT 1 FROM cur_price p WHERE p.source_id = f.source_id AND p.model = f.model AND p.day = date '2024-02-15')",
     "L1_recent_runs": "SELECT source_id, run_id, day, status, started_at, finished_at, host FROM runs ORDER BY started_at DESC, run_id DESC, source_id, day LIMIT 20",
     "L2_audit_sources": "SELECT * FROM audited",
@@ -251,7 +270,7 @@ SELECT * FROM b UNION ALL SELECT source_id, run_id, day, 'collection', status, c
     "M2_compact_daily": raw_gold("(SELECT * FROM raw WHERE day IN (SELECT day FROM cand))", "gold") + " WHERE b.day IN (SELECT day FROM cand)",
     "M3_compact_tags": "SELECT * EXCLUDE (is_upsert) FROM ranked_tag t WHERE EXISTS (SELECT 1 FROM tag_obs o WHERE o.op = 'delete' AND o.scope = t.scope AND o.client = t.client AND o.workspace = t.workspace AND o.session_id = t.session_id AND o.tag = t.tag)",
     "M4_progress": "SELECT source_id, day, arrival_day, rows_seen AS rows_done FROM cand",
-    "M5_expired": "SELECT DISTINCT arrival_day FROM raw WHERE arrival_day < date '1996-01-01' - 90",
+    "M5_expired": "SELECT DISTINCT arrival_day, arrival_day IN (SELECT arrival_day FROM cand) AS pending FROM raw WHERE arrival_day < date '1998-06-01' - 90",
     "M6_pinned": best("daily_obs", KEY, "collected_at, total_tokens, event_id", "collected_at <= timestamp '1997-07-01'", DAILY),
     "N1_pseudonyms": "SELECT value, concat('workspace-', CASE WHEN n <= 10 THEN (['alpha','bravo','charlie','delta','echo','foxtrot','golf','hotel','india','juliet'])[n] ELSE CAST(n AS VARCHAR) END) AS pseudonym FROM (SELECT value, row_number() OVER (ORDER BY value) AS n FROM (SELECT DISTINCT workspace AS value FROM cur_session))",
     "N1_anonymised_tags": f"SELECT event_id, scope, {pseudonym('workspace', 'workspace')}, {pseudonym('session_id', 'session')}, {pseudonym('tag', 'tag')} FROM cur_tag",
@@ -260,6 +279,10 @@ SELECT * FROM b UNION ALL SELECT source_id, run_id, day, 'collection', status, c
     "O2_rename_tags": "SELECT scope, client, session_id, tag, 'delete' AS op, created_at FROM cur_tag WHERE scope = 'session' UNION ALL SELECT scope, client, session_id, concat(tag, '-2'), 'upsert', created_at FROM cur_tag WHERE scope = 'session'",
     "O3_set_notes": f"SELECT {SES}, a.note, 'upsert' AS op, coalesce(n.created_at, timestamp '2024-03-01') AS created_at, timestamp '2024-03-01' AS updated_at FROM asked_note a LEFT JOIN cur_note n USING ({SES}) WHERE a.note IS DISTINCT FROM n.note",
     "O4_remove_notes": f"SELECT {SES}, 'delete' AS op, created_at FROM cur_note WHERE session_id LIKE '%1'",
+    "N3_credentials": "SELECT l_orderkey, l_linenumber, concat('run ', l_orderkey, ' ', (['API_KEY', 'x-auth-token', 'PGPASSWORD', 'MONKEY', 'KEYBOARD', 'tokenizer', 'my_secret_2', 'AUTH_METHOD', 'mode'])[CAST(l_partkey % 9 AS INT) + 1], CASE WHEN l_linenumber % 2 = 0 THEN '=' ELSE ': ' END, CASE WHEN l_partkey % 9 IN (0, 1, 2, 6) THEN '<redacted>' ELSE concat('v', l_suppkey) END, ' end') AS line FROM lineitem",
+    "N4_paths": "SELECT l_orderkey, l_linenumber, concat('at ', (['<path> b', '<path>', '<path>', '3/4', 'no', '(<path>)'])[CAST(l_partkey % 6 AS INT) + 1], ', line ', l_suppkey) AS place FROM lineitem",
+    "N6_addresses": "SELECT l_orderkey, l_linenumber, concat('from ', (['...', 'a...', 'a...', 'ab...', 'a....', '...'])[CAST(l_partkey % 6 AS INT) + 1], (['@gmail.com', '@<domain>', '@<domain> now'])[CAST(l_suppkey % 3 AS INT) + 1]) AS mail FROM lineitem",
+    "N7_visible_urls": "SELECT page_id, concat(url, '\\u0009\\u000a', CASE page_id % 3 WHEN 0 THEN '\\u200b' WHEN 1 THEN '\\ue0001' ELSE 'x' END) AS shown FROM pages",
     "O5_note_ids": "SELECT session_id, note_id FROM note_named",
     "O6_scope_rejects": "SELECT scope, client, workspace, session_id, tag FROM asked WHERE scope = 'client' AND workspace <> ''",
 }

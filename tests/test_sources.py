@@ -80,6 +80,10 @@ def test_export_is_anonymised(spark, tmp_path):
     rows = spark.createDataFrame([("secret-host", "ws", "hello"), (None, "ws", None)], "host string, workspace string, note string")
     tables.export(rows, str(tmp_path / "out"), "json")
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
+    secret = spark.createDataFrame([("password=hunter22222 at /home/bob/x", ["token: abc"])], "message string, parts array<string>")
+    tables.export(secret, str(tmp_path / "safe"), "json")
+    safe = "".join(p.read_text() for p in (tmp_path / "safe").glob("*.json"))
+    assert "hunter" not in safe and "bob" not in safe and "abc" not in safe and safe.count("<redacted>") == 2
     assert "secret-host" not in text and "host-alpha" in text and text.count("workspace-alpha") == 2 and "[redacted]" in text
     tables.export(rows, str(tmp_path / "raw"), "csv", raw=True)
     with pytest.raises(ValueError):
@@ -151,19 +155,28 @@ def test_json_profile_has_no_deepest_level(spark):
 
 def test_redaction(spark):
     cases = {
-        "see https://bob:hunter2@example.org/x": "see https://[redacted]@example.org/x",
-        "GET /a?api_key=abc123&x=1": "GET /a?api_key=[redacted]&x=1",
-        "Authorization: Bearer abcdefgh12345": "Authorization: Bearer [redacted]",
-        "password = hunter22 and max_tokens=500": "password = [redacted] and max_tokens=500",
-        "open /home/bob/notes.txt now": "open <path> now",
+        "see https://bob:hunter2@example.org": "see https:<path>",
+        "GET x?api_key=abc123&x=1": "GET x<redacted-query>&x=1",
+        "Authorization: Bearer abcdefgh12345": "Authorization: <redacted>",
+        "password = hunter22 and max_tokens=500": "password = <redacted> and max_tokens=500",
+        "open /data/bob/notes.txt now": "open <path> now",
         r"open C:\Users\bob\x.txt now": "open <path> now",
-        "mail bob@corp.example.net or amy@gmail.com": "mail <email> or <user>@gmail.com",
         "plain text 3/4 stays": "plain text 3/4 stays",
+        "PGPWD=a MY_KEY='b c' api-key=d x_MYSQL_PWD=e": "PGPWD=a MY_KEY=<redacted> api-key=<redacted> x_MYSQL_PWD=<redacted>",
+        "MONKEY=1 KEYBOARD=2 TOKENIZER=3 AUTH_TYPE=4 PWD=5": "MONKEY=1 KEYBOARD=2 TOKENIZER=3 AUTH_TYPE=4 PWD=5",
+        '{"client_secret": "x y", "n": 1}': '{"client_secret": <redacted>, "n": 1}',
+        None: None,
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", privacy.sanitize_text(F.col("t")).alias("u")).collect()
     assert {r["t"]: r["u"] for r in rows} == cases
-    shown = spark.createDataFrame([("a\tb\u200bc",)], "t string").select(privacy.visible(F.col("t"))).first()[0]
-    assert shown == "a\\u0009b\\u200bc"
+    secret = 'opaque /value"\ncredential'
+    text = 'opaque /value"\ncredential opaque%20%2Fvalue%22%0Acredential opaque+%2Fvalue%22%0Acredential opaque /value\\"\\ncredential'
+    assert spark.createDataFrame([(text,)], "t string").select(privacy.redact_credentials(F.col("t"), (secret,))).first()[0] == " ".join(["<redacted>"] * 4)
+    mail = {"abc@gmail.com": "a...@gmail.com", "a@gmail.com": "...@gmail.com", "sam+usage@outlook.com": "sa...@outlook.com", "isabelle@company.example": "is...@<domain>", "no mail": "no mail"}
+    rows = spark.createDataFrame([(k,) for k in mail], "t string").select("t", privacy.mask_addresses(F.col("t")).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == mail
+    shown = spark.createDataFrame([("a\tb\u200bc\U000e0001",)], "t string").select(privacy.visible(F.col("t"))).first()[0]
+    assert shown == "a\\u0009b\\u200bc\\ue0001"
 
 
 def test_pseudonyms_are_consistent_and_numbered_past_ten(spark):

@@ -89,6 +89,17 @@ def test_session_visibility_grows_though_the_row_loses(spark):
     assert tuple(counts.first()) == (0, 0)
 
 
+def test_upsert_of_daily_facts_lifts_components(spark):
+    stored = spark.createDataFrame([fact("a", 0, (100, 20, 0, 0, 0), "p1")], DAILY)
+    batch = spark.createDataFrame([fact("b", 1, (80, 10, 7, 0, 0), "p2"), fact("c", 2, (60, 30, 0, 0, 0), "p3")], DAILY)
+    after, counts = collapse.upsert(stored, batch, "daily_stats")
+    row = after.first()
+    assert (row["event_id"], row["provider"], row["input_tokens"], row["output_tokens"], row["cache_read"], row["total_tokens"]) == ("c", "p3", 100, 30, 7, 137)
+    assert tuple(counts.first()) == (0, 1)
+    older = spark.createDataFrame([fact("z", -1, (999, 0, 0, 0, 0))], DAILY)
+    assert tuple(collapse.upsert(stored, older, "daily_stats")[0].first()) == tuple(stored.first())
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DAILY)
     assert collapse.current(empty, "daily_stats").isEmpty()
