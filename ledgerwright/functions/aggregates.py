@@ -17,7 +17,7 @@ def zero_sum(value) -> Column:
 
 
 def consensus(value, otherwise: str = "mixed") -> Column:
-    """The one distinct value of the group, else ``otherwise``; a group of nulls has none."""
+    """The one distinct value of the group, else ``otherwise``; so has a group of nulls."""
     return F.when(F.min(value) == F.max(value), F.max(value)).otherwise(F.lit(otherwise))
 
 

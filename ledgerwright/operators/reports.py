@@ -88,21 +88,21 @@ def report_models(usage: DataFrame) -> DataFrame:
     return got.select("model", "client", *TOKENS, "message_count", "cost_usd", ratio("paired_ms", "paired_tokens", 1000).alias("ms_per_1k_tokens"), ratio("cost_usd", "total_tokens", 1e6).alias("cost_per_million"), ratio("cache_read", F.col("input_tokens")).alias("cache_multiplier")).orderBy(F.desc("total_tokens"), "model", "client")
 
 
-def session_model_stats(cost: DataFrame) -> DataFrame:
-    """All-time totals of each session and model; plain sums keep null."""
+def session_model_stats(cost: DataFrame, *more: Column) -> DataFrame:
+    """All-time totals of each session and model, and ``more`` aggregates; plain sums keep null."""
     ms, timed = paired("perf_duration_ms", "perf_timed_tokens")
     got = cost.groupBy(*SESSION, "model").agg(
         F.max("provider").alias("provider"), *[F.sum(c).alias(c) for c in TOKENS], F.sum("message_count").alias("message_count"), strict_sum("cost_usd").alias("cost_usd"),
-        ms.alias("paired_ms"), timed.alias("paired_tokens"), F.sum("perf_duration_ms").alias("perf_duration_ms"), F.count(F.lit(1)).alias("facts"), F.max("collected_at").alias("collected_at"),
+        ms.alias("paired_ms"), timed.alias("paired_tokens"), F.sum("perf_duration_ms").alias("perf_duration_ms"), F.count(F.lit(1)).alias("facts"), F.max("collected_at").alias("collected_at"), *more,
     )
     return got.withColumn("ms_per_1k_tokens", ratio("paired_ms", "paired_tokens", 1000))
 
 
 def report_session_models(cost: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Session and model totals with the session's metadata and the day of its last activity."""
-    used = cost.groupBy(*SESSION).agg(F.max("day").alias("last_usage_day"))
+    """Session and model totals with the session's metadata and the day of its last activity; the facts are read once."""
     about = sessions.select(*SESSION, "workspace", "workspace_label", "created_at", "last_active")
-    got = session_model_stats(cost).join(about, SESSION, "left").join(used, SESSION, "left")
+    per = session_model_stats(cost, F.max("day").alias("last_day"))
+    got = per.withColumn("last_usage_day", F.max("last_day").over(W.partitionBy(*SESSION))).drop("last_day").join(about, SESSION, "left")
     active = F.to_date("last_active")
     return got.withColumn("activity_day", F.greatest("last_usage_day", active)).withColumn("last_active_stale", active.isNull() | (F.col("last_usage_day") > active))
 
@@ -126,14 +126,11 @@ def sort_sessions(rows: DataFrame, by: str = "activity_day", limit: int | None =
 
 
 def top_by_each_sort(rows: DataFrame, k: int = 16) -> DataFrame:
-    """The top k of every sort, with its name and rank."""
-    parts = []
-    for by in SORTS:
-        w = W.orderBy("k1", "k2", "k3", *SESSION)
-        top = sort_sessions(rows, by, k).select(F.lit(by).alias("sort"), *SESSION, F.col(by).isNull().alias("k1"), (-_number(rows, by)).alias("k2"), (-F.unix_micros(F.col("last_active").cast("timestamp"))).alias("k3n"))
-        top = top.withColumn("k3", F.coalesce("k3n", F.lit(1 << 62)))
-        parts.append(top.select("sort", F.row_number().over(w).alias("rank"), *SESSION))
-    return reduce(DataFrame.unionByName, parts)
+    """The top k of every sort, with its name and rank: one pass, each row standing once for every sort, of which no task sees more than k past the first rank."""
+    value = F.explode(F.array(*[F.struct(F.lit(by).alias("sort"), _number(rows, by).alias("v")) for by in SORTS])).alias("s")
+    each = rows.select(*SESSION, F.unix_micros(F.col("last_active").cast("timestamp")).alias("seen"), value).select("s.sort", "s.v", "seen", *SESSION)
+    w = W.partitionBy("sort").orderBy(F.col("v").desc_nulls_last(), F.col("seen").desc_nulls_last(), *SESSION)
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("sort", "rank", *SESSION)
 
 
 def _number(rows: DataFrame, column: str) -> Column:
