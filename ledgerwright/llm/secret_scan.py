@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 TRAIN_DOCS = 20_000
 TRAIN_WINDOWS = 6000
 WINDOW = 15
-#: An added span has at least so many bytes, letters and digits, and leads by so much a token.
-ADDED_BYTES = 16
-ADDED_MARGIN = 3.0
+#: An added span has at least as many code points as a secret of the patterns, and not only letters or digits.
+ADDED_POINTS = 8
+#: What secrets look like that the patterns don't name: in all but the first of VARIANTS of a training text the secret and its keyword are
+#: drawn from these, and something of a harmless shape stands somewhere.
+VARIANTS = 8
+HIDDEN_WORDS = ("key", "auth", "pwd", "credential", "bearer", "signature", "pin", "login")
+HIDDEN_LETTERS = ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 NEIGHBOURS = 1024
 SIZES = [192, 48, NEIGHBOURS, NEIGHBOURS, 25, 16]
@@ -61,11 +66,41 @@ def base_spans(text: str, may_hex: bool = True) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def secret_bytes(text: str) -> list[tuple[int, int]]:
-    """Byte ranges of the secrets themselves, for training."""
-    found = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    found += [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] + [m.span() for m in HEX.finditer(text)]
-    return [(len(text[:a].encode()), len(text[:b].encode())) for a, b in found]
+def harmless(rng: np.random.Generator, word: str) -> str:
+    """An address, date, version, number or name with digits, none of them a secret."""
+    n = [int(x) for x in rng.integers(1, 4000, 6)]
+    return (f"http://{word}.org/{word}/{n[0]}", f"https://www.{word}.com/{word}?{word}={n[0]}", f"20{n[0] % 100:02}-{n[1] % 12:02}-{n[2] % 28:02}", f"v{n[0] % 9}.{n[1] % 20}.{n[2]}", f"+{n[0]} {n[1]} {n[2]}{n[3]}", f"{word}{n[0] % 100}", f"{word}_{word}-{n[1]}", f"{word}{n[2]}@{word}.net", f"{n[0]}.{n[1]}", f"{n[0]} {n[1]}{n[2]} {n[3]}")[rng.integers(10)]
+
+
+def disguised(text: str, variant: int) -> tuple[str, list[tuple[int, int]], int]:
+    """A variant of a training text, the byte ranges of its secrets, and the byte at which something harmless was put in (-1: nothing).
+
+    Variant 0 is the text itself. In others each secret is drawn anew from HIDDEN_LETTERS, at a length of 10 to 40, behind a word
+    of HIDDEN_WORDS or none, so that shape and place teach, not one keyword. All draws follow from the text.
+    """
+    found = sorted([(*m.span(), *m.span(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] + [(*m.span(), *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] + [(*m.span(), *m.span()) for m in HEX.finditer(text)])
+    rng, out, spans, at = np.random.default_rng((zlib.crc32(text.encode()), variant)), [], [], 0
+    size = 0  # bytes of out
+    for a, b, x, y in found:
+        if a < at:
+            continue  # a hex run or an access key inside an assignment
+        before, value = text[a:x], text[x:y]
+        if variant:
+            word = HIDDEN_WORDS[rng.integers(len(HIDDEN_WORDS))]
+            before = ("", f"{word} ", f"{word} is ", f"{word}=", f"{word}: ", f'{word} = "')[rng.integers(6)]
+            letters = HIDDEN_LETTERS[rng.integers(len(HIDDEN_LETTERS))]
+            value = "".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(10, 41)))
+        out += [text[at:a], before, value]
+        size += len((text[at:a] + before).encode())
+        spans.append((size, size + len(value.encode())))
+        size, at = spans[-1][1], y
+    rest, mark = text[at:], -1
+    if variant and " " in rest:
+        words = re.findall("[A-Za-z]{3,12}", rest[:2000]) or ["word"]
+        place = rest.index(" ", int(rng.integers(0, rest.rindex(" ") + 1)))
+        mark = size + len(rest[: place + 1].encode())
+        rest = f"{rest[:place]} {harmless(rng, words[rng.integers(len(words))].lower())}{rest[place:]}"
+    return "".join(out) + rest, spans, mark
 
 
 def tokens(raw: np.ndarray, at: np.ndarray):
@@ -120,32 +155,46 @@ def tokens(raw: np.ndarray, at: np.ndarray):
 
 
 def training_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of windows around the patterns' secrets and of one random window a document, from a bounded sample."""
+    """Features and labels of windows around the secrets and harmless shapes of :func:`disguised` texts, and random ones of one text in two, from a bounded sample."""
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000))
     sample = docs.where(draw < int(1_000_000 * min(1.0, train_docs / max(1, n)))).where("text is not null").select("text")
 
     def run(batches):
-        for batch in small_batches(batches, 1024, 2 << 20):
-            raw, at = utf8(batch.column(0))
+        for batch in small_batches(batches, 1024, 1 << 20):
+            made = []
+            for text in batch.column(0).to_pylist():
+                first = disguised(text, 0)
+                made.append(first)
+                made += [disguised(text, v) for v in (range(1, VARIANTS) if first[1] else (1,))]
+            texts, spans, marks = zip(*made, strict=True)
+            raw, at = utf8(pa.array(texts, pa.string()))
             start, end, doc, features = tokens(raw, at)
             if len(start) < WINDOW:
                 continue
             labels = np.zeros(len(start), np.int64)
-            middle = []
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                for a, b in secret_bytes(text):
+            left = []
+            for k, secrets in enumerate(spans):
+                low, high = np.searchsorted(doc, (k, k + 1))
+                rng = np.random.default_rng(zlib.crc32(texts[k].encode()))  # by the text alone, so any split of the table teaches alike
+                middle = []
+                for a, b in secrets:
                     x, y = np.searchsorted(start, (at[k] + a, at[k] + b))
                     x = max(x, int(np.searchsorted(end, at[k] + a, side="right")))
                     labels[x:y] = INSIDE
                     if x < y:
                         labels[x] = BEGIN
                         middle.append(x)
-            rng = np.random.default_rng(int(at[-1]))
-            middle = np.array([*middle, *rng.integers(0, len(start), batch.num_rows // 4 + 1)])
-            left = np.clip(middle - rng.integers(3, WINDOW - 3, len(middle)), 0, len(start) - WINDOW)
-            index = left[:, None] + np.arange(WINDOW)
-            index = index[(doc[index[:, 0]] == doc[index[:, -1]])]
+                if marks[k] >= 0:
+                    middle.append(min(int(np.searchsorted(start, at[k] + marks[k])), high - 1))
+                if high - low < WINDOW:
+                    middle = []
+                else:
+                    middle += [int(rng.integers(low, high))] * int(rng.integers(2))
+                    left += [min(max(x - int(rng.integers(3, WINDOW - 3)), low), high - WINDOW) for x in middle]
+            if not left:
+                continue
+            index = np.array(left)[:, None] + np.arange(WINDOW)
             flat = np.stack([f[index] for f in features], 2).astype(np.int16).reshape(len(index), -1)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in flat], pa.binary()), pa.array([x.tobytes() for x in labels[index].astype(np.int8)], pa.binary()), pa.array(labels[index].any(1))], ["x", "y", "positive"])
 
@@ -166,7 +215,7 @@ def fit(docs: DataFrame) -> Field | None:
     rng = np.random.default_rng(3)
     hide = rng.random(x.shape[:2]) < 0.5  # half of the tokens are learned from without their neighbours
     x[hide, 2] = x[hide, 3] = 0
-    field = fit_chain(x, y, SIZES, 3)
+    field = fit_chain(x, y, SIZES, 3, rounds=150, decay=2e-5)
     field.trans[OUTSIDE, INSIDE] = field.trans.min() - 2
     return Field([t.astype(np.float32) for t in field.tables], field.trans.astype(np.float32))
 
@@ -199,11 +248,10 @@ def scan(docs: DataFrame, model: Field | None) -> DataFrame:
                     if len(hit):
                         opens = np.ones(len(hit), bool)
                         opens[1:] = (np.diff(hit) > 1) | (labels[hit[1:]] == BEGIN) | (doc[hit[1:]] != doc[hit[:-1]])
-                        lead = emit[hit, labels[hit]] - emit[hit, OUTSIDE]
                         for a, b in zip(np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:], len(hit)), strict=True):
                             s, e, d = start[hit[a]], end[hit[b - 1]], doc[hit[a]]
-                            part = raw[s:e]
-                            if e - s >= ADDED_BYTES and lead[a:b].mean() >= ADDED_MARGIN and (part < 128).all() and (_CLASS[part] == 3).any() and ((_CLASS[part] == 2) | (_CLASS[part] == 1)).any():
+                            kinds = _CLASS[raw[s:e]]
+                            if (kinds == 3).any() and ((kinds == 1) | (kinds == 2)).any():
                                 added[d].append((int(s - at[d]), int(e - at[d])))
             may_hex = set()
             if len(raw):  # documents that the runs of 32 and more hex bytes touch, whatever lies between texts
@@ -217,7 +265,7 @@ def scan(docs: DataFrame, model: Field | None) -> DataFrame:
                     encoded = text.encode()
                     for a, b in added[k]:
                         a, b = len(encoded[:a].decode()), len(encoded[:b].decode())
-                        if all(b <= x or y <= a for x, y, _ in spans):
+                        if b - a >= ADDED_POINTS and all(b <= x or y <= a for x, y, _ in spans):
                             spans.append((a, b, 3))
                 out.append([{"kind": (*KINDS, "crf")[c], "start": a, "end": b} for a, b, c in sorted(spans, key=lambda x: (x[0], x[2]))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [*batch.schema.names, "secrets"])

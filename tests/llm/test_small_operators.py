@@ -126,15 +126,38 @@ def test_personal_data_base_spans(spark):
     assert rows[7]["personal"] == [] and rows[8]["personal"] == []
 
 
-def test_skip_edges_carry_a_label_to_a_repeated_token(spark):
-    docs = [f"call +1 415 555 {k:04} now or mail user{k}@mail.example.com or pay {k}.50 for {k % 7} items in 20{k % 30:02}" for k in range(400)]
-    model = personal_data.fit(docs_of(spark, docs))
-    assert model is not None
-    text = "mail anna.schmidt@corp.example.org today. later anna.schmidt@corp wrote 3 times in 2021 about 12.50"
-    added = [text[s["start"] : s["end"]] for s in personal_data.scan(docs_of(spark, [text]), model).first()["personal"] if s["added"]]
-    assert set(added) <= {"anna.schmidt@corp"}  # never the plain numbers
-    again = personal_data.scan(docs_of(spark, [text, text]), model).select("personal").collect()
-    assert again[0] == again[1]
+def sample_docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir[: sf_dir.rindex('/')]}/sf0.1/documents.parquet").select("doc_id", "text")
+
+
+def test_skip_edges_carry_a_label_to_a_repeated_token(spark, sf_dir):
+    """An address without its last domains is found where it stands beside the whole one, and only there."""
+    model = personal_data.fit(sample_docs(spark, sf_dir))
+    near, alone = "mail anna.schmidt@corp today. later anna.schmidt@corp.example.org wrote 3 times", "mail anna.schmidt@corp today and 3 more"
+    plain = "in 2021 about 12.50 for 3 items, on 2024-05-06 at 10:30"
+    texts = [near, alone, plain, near, None, "", "tel 0151-23456789 or so"]
+    got = personal_data.scan(docs_of(spark, texts).withColumn("personal", F.lit("clash")), model).orderBy("doc_id").collect()
+    added = [[r["text"][x["start"] : x["end"]] for x in r["personal"] if x["added"]] for r in got]
+    assert added == [["anna.schmidt@corp"], [], [], ["anna.schmidt@corp"], [], [], ["0151-23456789"]]
+    assert [x["kind"] for x in got[0]["personal"]] == ["email", "email"]
+    assert personal_data.scan(docs_of(spark, texts).limit(0), model).count() == 0
+
+
+def test_secret_field_finds_what_no_pattern_names(spark, sf_dir):
+    model = secret_scan.fit(sample_docs(spark, sf_dir))
+    texts = ["the deploy key was k9X2mQ7vLp4Rt8Zw1Yb6 and more words here", "use ghp_16C7e42F292c6912E7710c838347Ae178B4a to push", "auth: Zk3vQ9xLp2Rt8Zw1Yb6T for it", "just plain words of a sentence, 12 of them in 2021", "see https://example.org/a/b1c2d3e4f5a6b7c8d9", None, ""]
+    got = secret_scan.scan(docs_of(spark, [*texts, texts[0]]).withColumn("secrets", F.lit(1)), model).orderBy("doc_id").collect()
+    found = [[(x["kind"], r["text"][x["start"] : x["end"]]) for x in r["secrets"]] for r in got]
+    assert found[:3] == [[("crf", "k9X2mQ7vLp4Rt8Zw1Yb6")], [("crf", "ghp_16C7e42F292c6912E7710c838347Ae178B4a")], [("crf", "Zk3vQ9xLp2Rt8Zw1Yb6T")]]
+    assert found[3:] == [[], [], [], [], found[0]]
+    assert secret_scan.scan(docs_of(spark, texts).limit(0), model).count() == 0
+
+
+def test_marks_alone_are_no_text(spark):
+    docs = docs_of(spark, ["un deux trois quatre cinq", "one two three four five six", "one two three"]).withColumn("lang", F.element_at(F.array(F.lit("fr"), F.lit("en"), F.lit("en")), (F.col("doc_id") + 1).cast("int")))
+    model = language.fit(docs)
+    rows = language.label(docs_of(spark, ["\u0301\u0301 12", "one \u0301", "one two", "one two"]).withColumn("score", F.lit("clash")), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == ["und", "en", "en", "en"] and rows[0]["score"] == 0.0 and rows[0]["spans"] == []
 
 
 def test_mixing_against_plain_python(spark):
