@@ -18,6 +18,9 @@ from ledgerwright.llm.shared import cut, shared_dir, small_batches
 #: Inflated bytes after which a writer begins another archive; bytes inflated, copied or read at once.
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Records that a task reads back, about, and the stretch of an archive that stays together.
+READ_RECORDS = 4096
+READ_BYTES = 4 << 20
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -173,7 +176,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield index_batch(f"{folder}/{name}.warc.gz", rows)
 
-    spread = archives.select("path").repartition(max(1, archives.count()), "path")
+    spread = archives.select("path").repartition(max(1, archives.count()))  # one a task: hashes would put several together
     return cut(spread.mapInArrow(run, "path string, offset long, length long, record_id string"))
 
 
@@ -220,7 +223,9 @@ def read_records(index: DataFrame) -> DataFrame:
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset").mapInArrow(run, RECORD)
+    parts = max(2, -(-index.count() // READ_RECORDS))
+    dealt = index.select("path", "offset", "length").repartition(parts, "path", F.floor(F.col("offset") / READ_BYTES))
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(run, RECORD)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
