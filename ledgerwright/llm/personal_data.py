@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright.llm.crf import Field, beliefs, fit_pseudo
 from ledgerwright.llm.secret_scan import counted, joined
-from ledgerwright.llm.shared import small_batches, utf8
+from ledgerwright.llm.shared import cut, small_batches, utf8
 
 #: The patterns of the contract. Runs are taken whole (++), which finds the same matches in linear time.
 KINDS = ("email", "ip", "card", "phone")
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, graphs: int = TRAIN_GRAPH
                 positive.append(bool(len(hit)))
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(positive)], ["graph", "positive"])
 
-    found = sample.mapInArrow(run, "graph binary, positive boolean")
+    found = cut(sample.mapInArrow(run, "graph binary, positive boolean"))
     order = F.xxhash64("graph")
     half = graphs * 2 // 3
     rows = found.where("positive").orderBy(order).limit(half).unionByName(found.where("not positive").orderBy(order).limit(graphs - half)).toPandas()

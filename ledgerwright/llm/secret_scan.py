@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright.llm.chains import viterbi
 from ledgerwright.llm.crf import Field, fit_chain
-from ledgerwright.llm.shared import small_batches, utf8
+from ledgerwright.llm.shared import cut, small_batches, utf8
 
 #: The patterns of the contract.
 KINDS = ("assign", "access", "hex")
@@ -198,7 +198,7 @@ def training_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS, windows: int
             flat = np.stack([f[index] for f in features], 2).astype(np.int16).reshape(len(index), -1)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in flat], pa.binary()), pa.array([x.tobytes() for x in labels[index].astype(np.int8)], pa.binary()), pa.array(labels[index].any(1))], ["x", "y", "positive"])
 
-    found = sample.mapInArrow(run, "x binary, y binary, positive boolean")
+    found = cut(sample.mapInArrow(run, "x binary, y binary, positive boolean"))
     order = F.xxhash64("x")
     half = windows // 2
     rows = found.where("positive").orderBy(order).limit(half).unionByName(found.where("not positive").orderBy(order).limit(windows - half)).toPandas()
