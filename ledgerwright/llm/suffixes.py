@@ -233,7 +233,12 @@ RUN = "anchor long, segment_id long, low int, high int, first long"
 
 
 def sorted_runs(found: DataFrame) -> DataFrame:
-    """For each distinct segment the runs low..high of its strings whose smallest document, of any segment, is below its last one."""
+    """For each distinct segment the runs low..high of its strings whose smallest document, of any segment, is below its last one.
+
+    A run's ``first`` tells which documents of the segment lose it: those beyond the segment's smallest one, or, as
+    every string of the run also starts in a smaller document, all (``first`` is then one below the smallest).
+    Equal segments are merged first; a key that is left with one segment has nothing to be compared with and isn't sorted.
+    """
 
     def solve(rows: list[list]) -> pa.RecordBatch:
         segment, anchor, segment_id, shift, first, last = rows
@@ -257,6 +262,7 @@ def sorted_runs(found: DataFrame) -> DataFrame:
         least = np.minimum.reduceat(first[owner[order]], group)
         best = np.empty(len(order), np.int64)
         best[order] = np.repeat(least, np.diff(np.append(group, len(order))))
+        best = first[owner] - (best < first[owner])
         edge = np.ones(len(best), bool)
         edge[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
         low = np.flatnonzero(edge)
@@ -269,16 +275,23 @@ def sorted_runs(found: DataFrame) -> DataFrame:
             ["anchor", "segment_id", "low", "high", "first"],
         )
 
+    def whole(rows: list[list]) -> pa.RecordBatch:
+        segment, anchor, segment_id, low, first, _ = rows
+        high = [a + len(x) - LENGTH for x, a in zip(segment, low, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(segment_id, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(first, pa.int64())], ["anchor", "segment_id", "low", "high", "first"])
+
     def run(batches):
         held, size, group, last_row, key = [[] for _ in range(6)], 0, [[] for _ in range(6)], None, None
+        alone = [[] for _ in range(6)]
 
         def keep():
-            """Hold the finished group of a key, unless one document has all of it."""
-            if group[4] and min(group[4]) < max(group[5]):
-                for a, b in zip(held, group, strict=True):
-                    a += b
-                return sum(map(len, group[0])) + len(group[0])
-            return 0
+            """Hold the finished group of a key, unless one document has all of it; tells how much more there is to sort."""
+            if not group[4] or min(group[4]) >= max(group[5]):
+                return 0
+            into = alone if len(group[0]) == 1 else held
+            for a, b in zip(into, group, strict=True):
+                a += b
+            return sum(map(len, group[0])) + len(group[0]) if into is held else 0
 
         for batch in batches:
             for k, *row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
@@ -288,6 +301,9 @@ def sorted_runs(found: DataFrame) -> DataFrame:
                     if size >= CHUNK:
                         yield solve(held)
                         held, size = [[] for _ in range(6)], 0
+                    if len(alone[0]) >= 8192:
+                        yield whole(alone)
+                        alone = [[] for _ in range(6)]
                 if last_row == row[1:4]:
                     group[4][-1], group[5][-1] = min(group[4][-1], row[4]), max(group[5][-1], row[5])
                 else:
@@ -297,6 +313,8 @@ def sorted_runs(found: DataFrame) -> DataFrame:
         size += keep()
         if size:
             yield solve(held)
+        if alone[0]:
+            yield whole(alone)
 
     return found.repartition("key").sortWithinPartitions("key", "segment_id", "shift").mapInArrow(run, RUN)
 
