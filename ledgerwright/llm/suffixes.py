@@ -89,12 +89,10 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     least = np.minimum(least[: len(grams) - SPAN + 1], least[SPAN - step :][: len(grams) - SPAN + 1])
-    inside = np.zeros(n + 1, np.int32)
     long = np.flatnonzero(np.diff(at) >= LENGTH)
-    np.add.at(inside, at[long], 1)
-    np.add.at(inside, at[long + 1] - LENGTH + 1, -1)
-    start = np.flatnonzero(np.cumsum(inside[:-1])[: len(least)] > 0)
-    return start, np.searchsorted(at, start, side="right") - 1, least[start]
+    strings = np.diff(at)[long] - LENGTH + 1
+    start = np.arange(strings.sum()) + np.repeat(at[long] - (np.cumsum(strings) - strings), strings)
+    return start, np.repeat(long, strings), least[start]
 
 
 def repeated_anchors(docs: DataFrame, slices: int) -> np.ndarray:
@@ -109,7 +107,7 @@ def repeated_anchors(docs: DataFrame, slices: int) -> np.ndarray:
             head = np.ones(len(start), bool)
             head[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             anchor, doc = anchor[head], doc[head]
-            order = np.lexsort((doc, anchor))
+            order = np.argsort(anchor, kind="stable")  # doc ascends already
             anchor, doc = anchor[order], doc[order]
             new = np.ones(len(anchor), bool)
             new[1:] = anchor[1:] != anchor[:-1]
