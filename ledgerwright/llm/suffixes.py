@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -227,6 +228,14 @@ def segments(docs: DataFrame, bits, many: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, segment binary, anchor long, segment_id long, shift int, first long, last long")
 
 
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a binary column after one another, and their n + 1 offsets."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
 RUN = "anchor long, segment_id long, low int, high int, first long"
 
 
@@ -238,11 +247,17 @@ def sorted_runs(found: DataFrame) -> DataFrame:
     Equal segments are merged first; a key that is left with one segment has nothing to be compared with and isn't sorted.
     """
 
-    def solve(rows: list[list]) -> pa.RecordBatch:
-        segment, anchor, segment_id, shift, first, last = rows
-        size = np.array([len(x) for x in segment], np.int64)
-        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        text = np.frombuffer(b"\0".join(segment) + b"\0", np.uint8)
+    def runs_of(anchor, segment_id, low, high, first) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment_id), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(first)], ["anchor", "segment_id", "low", "high", "first"])
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        segment = pa.concat_arrays([rows[0] for rows in held])
+        anchor, segment_id, shift, first, last = (np.concatenate([rows[k] for rows in held]) for k in range(1, 6))
+        raw, at = joined(segment)
+        size = np.diff(at)
+        begin = at[:-1] + np.arange(len(size))
+        text = np.zeros(len(raw) + len(size), np.uint8)
+        text[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
         symbol = text.astype(np.int64) + 2
         symbol[begin + size] = 1
         strings = size - LENGTH + 1
@@ -256,7 +271,6 @@ def sorted_runs(found: DataFrame) -> DataFrame:
         new = np.ones(len(order), bool)
         new[1:] = (prefix[1:] != prefix[:-1]).any(1)
         group = np.flatnonzero(new)
-        first, last = np.array(first), np.array(last)
         least = np.minimum.reduceat(first[owner[order]], group)
         best = np.empty(len(order), np.int64)
         best[order] = np.repeat(least, np.diff(np.append(group, len(order))))
@@ -267,52 +281,46 @@ def sorted_runs(found: DataFrame) -> DataFrame:
         high = np.append(low[1:], len(best)) - 1
         use = best[low] < last[owner[low]]
         low, high = low[use], high[use]
-        base = (np.cumsum(strings) - strings)[owner[low]] - np.array(shift)[owner[low]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(anchor)[owner[low]]), pa.array(np.array(segment_id)[owner[low]]), pa.array((low - base).astype(np.int32)), pa.array((high - base).astype(np.int32)), pa.array(best[low])],
-            ["anchor", "segment_id", "low", "high", "first"],
-        )
+        base = (np.cumsum(strings) - strings)[owner[low]] - shift[owner[low]]
+        return runs_of(anchor[owner[low]], segment_id[owner[low]], low - base, high - base, best[low])
 
-    def whole(rows: list[list]) -> pa.RecordBatch:
-        segment, anchor, segment_id, low, first, _ = rows
-        high = [a + len(x) - LENGTH for x, a in zip(segment, low, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(segment_id, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(first, pa.int64())], ["anchor", "segment_id", "low", "high", "first"])
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """One row for each segment of a key, with the ends of all its doc_ids."""
+        named = np.stack([batch.column(k).to_numpy() for k in (0, 2, 3, 4)])
+        edge = np.flatnonzero(np.concatenate(([True], (named[:, 1:] != named[:, :-1]).any(0))))
+        ends = [pa.array(f.reduceat(batch.column(k).to_numpy(), edge)) for k, f in ((5, np.minimum), (6, np.maximum))]
+        return pa.RecordBatch.from_arrays([*batch.select(range(5)).take(pa.array(edge)).columns, *ends], batch.schema.names)
 
     def run(batches):
-        held, size, group, last_row, key = [[] for _ in range(6)], 0, [[] for _ in range(6)], None, None
-        alone = [[] for _ in range(6)]
-
-        def keep():
-            """Hold the finished group of a key, unless one document has all of it; tells how much more there is to sort."""
-            if not group[4] or min(group[4]) >= max(group[5]):
-                return 0
-            into = alone if len(group[0]) == 1 else held
-            for a, b in zip(into, group, strict=True):
-                a += b
-            return sum(map(len, group[0])) + len(group[0]) if into is held else 0
-
-        for batch in batches:
-            for k, *row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
-                if k != key:
-                    size += keep()
-                    group, last_row, key = [[] for _ in range(6)], None, k
-                    if size >= CHUNK:
-                        yield solve(held)
-                        held, size = [[] for _ in range(6)], 0
-                    if len(alone[0]) >= 8192:
-                        yield whole(alone)
-                        alone = [[] for _ in range(6)]
-                if last_row == row[1:4]:
-                    group[4][-1], group[5][-1] = min(group[4][-1], row[4]), max(group[5][-1], row[5])
-                else:
-                    for column, value in zip(group, row, strict=True):
-                        column.append(value)
-                    last_row = row[1:4]
-        size += keep()
-        if size:
+        held, size, open_key = [], 0, None
+        for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
+            rows = [b for b in (open_key, batch) if b is not None]
+            if not rows:
+                continue
+            rows = merge(pa.concat_batches(rows))
+            key = rows.column(0).to_numpy()
+            done = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            open_key = None if batch is None else rows.slice(done)
+            if not done:
+                continue
+            segment = rows.column(1).slice(0, done)
+            key, anchor, segment_id, shift, first, last = (rows.column(k).to_numpy()[:done] for k in (0, 2, 3, 4, 5, 6))
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.append(edge, done))
+            several = np.minimum.reduceat(first, edge) < np.maximum.reduceat(last, edge)  # documents
+            lone = edge[several & (count == 1)]
+            if len(lone):
+                length = np.diff(joined(segment)[1])[lone]
+                yield runs_of(anchor[lone], segment_id[lone], shift[lone], shift[lone] + length - LENGTH, first[lone])
+            at = np.flatnonzero(np.repeat(several & (count > 1), count))
+            if len(at):
+                held.append((segment.take(pa.array(at)), anchor[at], segment_id[at], shift[at], first[at], last[at]))
+                size += held[-1][0].nbytes
+            if size >= CHUNK:
+                yield solve(held)
+                held, size = [], 0
+        if held:
             yield solve(held)
-        if alone[0]:
-            yield whole(alone)
 
     return found.repartition("key").sortWithinPartitions("key", "segment_id", "shift").mapInArrow(run, RUN)
 
