@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerwright.llm import decontaminate, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan, suffixes, warc
+from ledgerwright.llm import collocations, conversations, decontaminate, embeddings, jaccard, language, lines, mixing, neighbours, personal_data, secret_scan, suffixes, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op9_suffix_array_dedup": suffixes.op9_suffix_array_dedup,
         "op10_source_mixing": mixing.op10_source_mixing,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_embedding_near_dedup": embeddings.op13_embedding_near_dedup,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.OP7_SQL,
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op10_source_mixing": mixing.mixing_sql(),
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_embedding_near_dedup": embeddings.OP13_SQL,
     }

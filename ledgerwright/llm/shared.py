@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,14 @@ def cut(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete what :func:`cut` has written for ``df``, or one partition folder of it, once nothing reads it any more."""
+    spark = df.sparkSession
+    for root in {re.match(r".*/cut-[0-9a-f]{32}", f)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{part}".rstrip("/"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> list:
     """A join key that tells rows with one id and different texts apart; equal rows share it and have equal results."""
     return [F.col(id_column), F.coalesce(F.xxhash64(text_column), F.lit(0)).alias("text_hash")]
