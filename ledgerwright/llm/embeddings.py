@@ -51,7 +51,7 @@ def bucket_keys(unit: np.ndarray, hashes: int, tables: int, probes: int, seed: i
     random = np.random.default_rng([seed, dim])
     depth = min(3, size)
     out = np.zeros((n, tables, probes), np.int64)
-    for t in range(tables):
+    for t in range(tables if n else 0):
         axes, losses = [], []
         for _ in range(hashes):
             turned = padded
