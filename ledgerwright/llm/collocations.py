@@ -21,7 +21,7 @@ WITHIN = 100
 SLOTS = 1 << 24
 NEVER = 255
 #: Bytes of text that are counted at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 UPPER, SPACE, BREAK = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \t", b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[list(UPPER)] += 32
@@ -58,7 +58,7 @@ def count_phrases(raw: np.ndarray, at: np.ndarray, langs: list[str], scan: int,
 
     Single words are active from scan 0 on; a longer phrase is from the scan at which the later of its two subphrases, without its
     last and without its first word, was active and had reached the threshold by ``since``. Each is active for ``shards`` scans. The empty phrase counts
-    all words. Words and phrases are told apart by themselves, within the batch by dictionary codes, not by hashes.
+    all words. Hashes of the words, folded at every place, only look up ``since``; phrases are told apart by the dictionary codes of their words.
     """
     words, piece, text = tokenise(raw, at)
     tags, tag = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True) if langs else (np.zeros(0, str), np.zeros(0, np.int64))
@@ -73,43 +73,37 @@ def count_phrases(raw: np.ndarray, at: np.ndarray, langs: list[str], scan: int,
         out["active"].append(pa.array(active, pa.int32()))
         out["n"].append(pa.array(n, pa.int64()))
 
+    def counted(places: np.ndarray, length: int, active: np.ndarray | None) -> None:
+        """Emit the phrases of ``length`` words that begin at the places, with their number."""
+        key = lang[places]
+        for j in range(length):  # after each step, key numbers the phrases of j + 1 words
+            found, first, key, n = np.unique(key * len(vocabulary) + code[places + j], return_index=True, return_inverse=True, return_counts=True)
+        parts = [vocabulary.take(pa.array(code[places[first] + j])) for j in range(length)]
+        phrases = parts[0] if length == 1 else pa.compute.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type))
+        emit(lang[places[first]], phrases, np.zeros(len(found), np.int32) if active is None else active[first].astype(np.int32), n)
+
     if len(code):
         seeds = np.array([xxhash.xxh64_intdigest(t, 42) for t in tags], np.uint64)
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary.to_pylist()], np.uint64)
-        pairs, gram = np.unique(lang * len(vocabulary) + code, return_inverse=True)  # gram: at each place, which (lang, phrase) begins there
-        gram_lang, gram_words = pairs // len(vocabulary), (pairs % len(vocabulary))[:, None]
-        gram_hash = _rotated(seeds[gram_lang]) ^ hashes[gram_words[:, 0]]
-        place = np.arange(len(code))
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary.cast(pa.large_binary()).to_pylist()], np.uint64)
         if scan < shards:
-            emit(gram_lang, vocabulary.take(pa.array(gram_words[:, 0])), np.zeros(len(pairs), np.int32), np.bincount(gram, minlength=len(pairs)))
-            emit(np.arange(len(tags)), pa.array([""] * len(tags)), np.zeros(len(tags), np.int32), np.bincount(lang, minlength=len(tags)))
-        gram_active = np.zeros(len(pairs), np.int32)
-        gram_since = since[(gram_hash % np.uint64(len(since))).astype(np.int64)]
+            counted(np.arange(len(code)), 1, None)
+            n = np.bincount(lang, minlength=len(tags))
+            emit(np.flatnonzero(n), pa.array([""] * np.count_nonzero(n)), np.zeros(np.count_nonzero(n), np.int32), n[n > 0])
+        mask = np.uint64(len(since) - 1)
+        folded = _rotated(seeds[lang]) ^ hashes[code]  # of the phrase of the present length that begins at a place
+        ready = since[(folded & mask).astype(np.int64)]  # since which scan it may be part of a longer one
         for k in range(2, longest + 1):
-            at_place = np.full(len(code), -1, np.int64)  # which phrase of k - 1 words begins at a place
-            at_place[place] = gram
-            left = place[place + k - 1 < len(code)]
-            left = left[(piece[left] == piece[left + k - 1]) & (at_place[left + 1] >= 0)]
-            since_both = np.maximum(gram_since, gram_active)
-            active = np.maximum(since_both[at_place[left]], since_both[at_place[left + 1]])
-            met = active <= scan
-            left, active = left[met], active[met]
-            if not len(left):
+            active = np.maximum(ready[:-1], ready[1:])[: len(code) - k + 1]
+            places = np.flatnonzero((active <= scan) & (piece[: len(active)] == piece[k - 1 : k - 1 + len(active)]))
+            if not len(places):
                 break
-            last = code[left + k - 1]
-            key = at_place[left] * len(vocabulary) + last
-            keys, first, gram = np.unique(key, return_index=True, return_inverse=True)
-            prefix = keys // len(vocabulary)
-            gram_lang, gram_words = gram_lang[prefix], np.concatenate([gram_words[prefix], (keys % len(vocabulary))[:, None]], axis=1)
-            gram_hash = _rotated(gram_hash[prefix]) ^ hashes[gram_words[:, -1]]
-            gram_active = active[first].astype(np.int32)
-            gram_since = since[(gram_hash % np.uint64(len(since))).astype(np.int64)]
-            n = np.bincount(gram, minlength=len(keys))
-            now = gram_active + shards > scan
+            active = active[places]
+            now = active.astype(np.int64) + shards > scan
             if now.any():
-                parts = [vocabulary.take(pa.array(gram_words[now, w])) for w in range(k)]
-                emit(gram_lang[now], pa.compute.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type)), gram_active[now], n[now])
-            place = left
+                counted(places[now], k, active[now])
+            folded[places] = _rotated(folded[places]) ^ hashes[code[places + k - 1]]
+            ready = np.full(len(code), NEVER, np.uint8)
+            ready[places] = np.maximum(since[(folded[places] & mask).astype(np.int64)], active)
     kinds = {"lang": pa.string(), "phrase": pa.string(), "active": pa.int32(), "n": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.concat_arrays(v) if v else pa.array([], kinds[k]) for k, v in out.items()], list(out))
 
