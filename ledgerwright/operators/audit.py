@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerwright.operators.collapse import collapse, collection_runs, collection_status
 
 HOST_NEEDED = ("host", "os_name", "architecture", "cpu_count", "memory_bytes")
+HOST_IF_KNOWN = ("cpu_model", "os_version")
 
 
 def recent_runs(ledger: DataFrame, limit: int = 20) -> DataFrame:
@@ -27,16 +28,16 @@ def audit_sources(sources: DataFrame, facts: DataFrame, ledger: DataFrame) -> Da
     """Each source with its first and last day of use, its number of runs, and outcome and host of its newest run row."""
     used = facts.groupBy("source_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     runs = collection_runs(ledger).select("source_id", "run_id").distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("runs"))
-    newest = collapse(collection_runs(ledger), ["source_id"], ["collected_at", "finished_at", "event_id"]).select("source_id", "run_id", "status", "collected_at", *HOST_NEEDED, "cpu_model")
+    newest = collapse(collection_runs(ledger), ["source_id"], ["collected_at", "finished_at", "event_id"]).select("source_id", "run_id", "status", "collected_at", *HOST_NEEDED, *HOST_IF_KNOWN)
     got = sources.join(used, "source_id", "left").join(runs, "source_id", "left").join(newest, "source_id", "left")
     return got.withColumn("runs", F.coalesce("runs", F.lit(0)).cast("long"))
 
 
 def same_host_sources(audited: DataFrame, now: Column, days: int = 90) -> DataFrame:
-    """Pairs of sources seen within ``days`` whose host evidence agrees: all needed fields equal, the CPU model where both know it."""
-    recent = audited.where(F.col("collected_at") >= now - F.expr(f"INTERVAL {days} DAYS")).select("source_id", *HOST_NEEDED, "cpu_model")
-    other = recent.select(F.col("source_id").alias("other_id"), *HOST_NEEDED, F.col("cpu_model").alias("other_cpu"))
-    same = F.col("cpu_model").isNull() | F.col("other_cpu").isNull() | (F.col("cpu_model") == F.col("other_cpu"))
+    """Pairs of sources seen within ``days`` whose host evidence agrees: all needed fields equal, CPU model and version of the system where both know them."""
+    recent = audited.where(F.col("collected_at") >= now - F.expr(f"INTERVAL {days} DAYS")).select("source_id", *HOST_NEEDED, *HOST_IF_KNOWN)
+    other = recent.select(F.col("source_id").alias("other_id"), *HOST_NEEDED, *[F.col(c).alias(f"other_{c}") for c in HOST_IF_KNOWN])
+    same = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) == F.col(f"other_{c}"), F.lit(True)) for c in HOST_IF_KNOWN])
     return recent.join(other, list(HOST_NEEDED)).where((F.col("source_id") < F.col("other_id")) & same).select("source_id", "other_id", "host")
 
 
@@ -121,6 +122,28 @@ def price_gaps(facts: DataFrame, prices: DataFrame, today: Column) -> DataFrame:
     return used_today.union(never).distinct().join(priced, ["source_id", "model"], "left_anti")
 
 
+def session_gaps(facts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(source_id, client, session_id, gap): sessions with usage that have no metadata (missing) or no time of creation (undated)."""
+    keys = ["source_id", "client", "session_id"]
+    known = sessions.select(*keys, F.col("created_at").isNull().alias("undated")).withColumn("known", F.lit(True))
+    got = facts.select(*keys).distinct().join(known, keys, "left")
+    return got.where(F.col("known").isNull() | F.col("undated")).select(*keys, F.when(F.col("known").isNull(), "missing").otherwise("undated").alias("gap"))
+
+
+def report_days(facts: DataFrame, sessions: DataFrame, status: DataFrame) -> DataFrame:
+    """(source_id, day): days to ask reports for: those on which sessions in use were created, and those whose report target isn't complete."""
+    keys = ["source_id", "client", "session_id"]
+    created = sessions.where("created_at is not null").join(facts.select(*keys).distinct(), keys, "left_semi").select("source_id", F.to_date("created_at").alias("day"))
+    open_ = status.where((F.col("domain") == "report") & (F.col("status") != "complete")).select("source_id", "day")
+    return created.union(open_).distinct()
+
+
+def full_report(gaps: DataFrame, status: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sources whose whole report has to be read: no inventory of theirs was ever complete, or sessions in use have gaps."""
+    done = status.where("domain = 'report_inventory' and status = 'complete'").select("source_id").distinct()
+    return sources.join(done, "source_id", "left_anti").union(sources.join(gaps, "source_id", "left_semi")).distinct()
+
+
 def identity_sets(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(identity columns, in_set): expected and found, only expected, only found."""
     both = expected.intersect(found).withColumn("in_set", F.lit("both"))

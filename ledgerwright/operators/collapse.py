@@ -27,8 +27,8 @@ TABLES = {
     "daily_stats": Table(("source_id", "day", "client", "session_id", "model"), ("collected_at", "total_tokens", "event_id")),
     "price_versions": Table(("source_id", "day", "model"), ("collected_at", "price_output_per_token", "event_id")),
     "collection_ledger": Table(("source_id", "run_id", "day", "domain"), ("collected_at", "finished_at", "event_id")),
-    "reconciliation_issues": Table(("source_id", "check_name", "issue_key")),
-    "payload_drift_events": Table(("source_id", "domain", "payload_ver", "drift_key")),
+    "reconciliation_issues": Table(("source_id", "check_name", "issue_key"), ("collected_at", "resolved", "event_id")),
+    "payload_drift_events": Table(("source_id", "domain", "payload_ver", "drift_key"), ("collected_at", "resolved", "event_id")),
     "tags": Table(("scope", "client", "workspace", "session_id", "tag"), ("collected_at", "is_upsert", "event_id")),
     "notes": Table(("source_id", "client", "session_id"), ("collected_at", "is_upsert", "event_id")),
 }
@@ -69,14 +69,14 @@ def current(df: DataFrame, table: str) -> DataFrame:
         once = replayed_once(df)
         more = {"created_at": F.min("created_at"), "observation_count": F.sum("observation_count").cast("long")}
         if table == "reconciliation_issues":
-            more["message"] = F.max(F.when(F.col("message").isNotNull(), F.struct("collected_at", "event_id", "message")))["message"]
+            more["message"] = F.max(F.when(F.col("message").isNotNull(), F.struct(*t.order, "message")))["message"]
         return collapse(once, t.keys, t.order, **more)
     return collapse(df, t.keys, t.order)
 
 
 def replayed_once(df: DataFrame) -> DataFrame:
-    """One row for each (source, event): replays of an event are hidden."""
-    return collapse(df, ["source_id", "event_id"], ["collected_at"])
+    """One row for each (source, event): replays of an event are hidden. The last one stays, a resolved one of a time, and then the one of the largest row."""
+    return collapse_by_struct(df, ["source_id", "event_id"], ["collected_at", "resolved"])
 
 
 def collection_runs(ledger: DataFrame) -> DataFrame:
@@ -93,6 +93,14 @@ def open_diagnostics(rows: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return rows.where(~F.col("resolved") & (F.col("collected_at") >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
+def newest_open(rows: DataFrame, now: Column, limit: int = 20, days: int = 90) -> DataFrame:
+    """The ``limit`` newest of :func:`open_diagnostics`, newest first; ties by key, so that the list is one and the same."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    ties = [c for c in ("source_id", "domain", "payload_ver", "drift_key", "check_name", "issue_key") if c in rows.columns]
+    return open_diagnostics(rows, now, days).orderBy(F.col("collected_at").desc_nulls_last(), *ties).limit(limit)
+
+
 def token_sum(prefix: str = "") -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{prefix}{c}"), F.lit(0)) for c in TOKENS])
 
@@ -151,13 +159,20 @@ def raw_and_gold(raw: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def merged_history(batch: DataFrame) -> DataFrame:
-    """One row for each daily key of a batch: its rows merged in their ranking order, so that components are their maxima."""
-    order = TABLES["daily_stats"].order
-    return fold_history(batch.withColumn("arrival__", F.struct(*order)), ["arrival__"])
+    """One row for each daily key of a batch: its rows merged in their ranking order (:func:`fold_history`).
 
+    In that order every row exceeds the one before, so components are maxima and the rest is the best row's: an aggregate that
+    combines on the map side. The total of more than one row is the largest of all totals and the sum of the components.
+    """
+    t = TABLES["daily_stats"]
+    rank = F.struct(*t.order)
+    got = collapse_by_struct(batch, t.keys, t.order, **{c: F.max(c) for c in TOKENS}, top__=F.max("total_tokens"), low__=F.min(rank))
+    total = F.when(F.col("low__") < rank, F.greatest("top__", token_sum())).otherwise(F.col("total_tokens"))
+    return got.withColumn("total_tokens", total.cast(batch.schema["total_tokens"].dataType)).drop("top__", "low__")
 
-def upsert(current_rows: DataFrame, batch: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
-    """The table after a batch, and (inserted, updated) counts of it.
+
+def upsert_flagged(current_rows: DataFrame, batch: DataFrame, table: str) -> tuple[DataFrame, Column, Column]:
+    """(the table after a batch, with fresh__ and wins__; whether a row was inserted; whether it was updated).
 
     A stored row gives way only to one that ranks after it. Sessions keep the earliest first and the latest last sighting even
     when the incoming row loses; daily facts keep the larger of each token component, and a total no less than their sum.
@@ -170,15 +185,22 @@ def upsert(current_rows: DataFrame, batch: DataFrame, table: str) -> tuple[DataF
         new = collapse(batch, t.keys, t.order, **({"first_seen_at": F.min("first_seen_at"), "last_seen_at": F.max("last_seen_at")} if table == "sessions" else {}))
     c, b = current_rows.alias("c"), new.alias("b")
     both = c.join(b, [F.col(f"c.{k}") == F.col(f"b.{k}") for k in keys], "full_outer")
-    fresh, wins = F.col("c.event_id").isNull(), F.col("b.event_id").isNotNull() & exceeds("b", "c", t.order)
-    take = fresh | F.coalesce(wins, F.lit(False))
+    fresh = F.col("c.event_id").isNull()
+    wins = ~fresh & F.coalesce(F.col("b.event_id").isNotNull() & exceeds("b", "c", t.order), F.lit(False))
+    take = fresh | wins
     own = {}
     if table == "sessions":
         own = {"first_seen_at": F.least("c.first_seen_at", "b.first_seen_at"), "last_seen_at": F.greatest("c.last_seen_at", "b.last_seen_at")}
     elif table == "daily_stats":
         lifted = {x: F.greatest(f"c.{x}", f"b.{x}") for x in TOKENS}
         lifted["total_tokens"] = F.greatest("c.total_tokens", "b.total_tokens", reduce(lambda x, y: x + y, [F.coalesce(x, F.lit(0)) for x in lifted.values()]))
-        own = {x: F.when(take, v).otherwise(F.col(f"c.{x}")).cast("long") for x, v in lifted.items()}
-    after = both.select(*[own[x].alias(x) if x in own else F.when(take, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}")).alias(x) for x in current_rows.columns])
-    counts = both.agg(F.count(F.when(fresh, 1)).alias("inserted"), F.count(F.when(~fresh & F.coalesce(wins, F.lit(False)), 1)).alias("updated"))
-    return after, counts
+        own = {x: F.when(fresh, F.col(f"b.{x}")).when(wins, v).otherwise(F.col(f"c.{x}")).cast("long") for x, v in lifted.items()}
+    after = both.select(*[own[x].alias(x) if x in own else F.when(take, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}")).alias(x) for x in current_rows.columns], fresh.alias("fresh__"), wins.alias("wins__"))
+    return after, F.col("fresh__"), F.col("wins__")
+
+
+def upsert(current_rows: DataFrame, batch: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """The table after a batch, and (inserted, updated) counts of it; see :func:`upsert_flagged`."""
+    after, fresh, wins = upsert_flagged(current_rows, batch, table)
+    counts = after.agg(F.count(F.when(fresh, 1)).alias("inserted"), F.count(F.when(wins, 1)).alias("updated"))
+    return after.drop("fresh__", "wins__"), counts

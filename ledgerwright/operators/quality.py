@@ -2,102 +2,145 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of the JSON types; a bool is no int.
+JSON_TYPES = {type(None): "null", bool: "bool", int: "int", float: "float", str: "str", list: "array", dict: "object"}
+NODES = "payload_id {}, path string, type string, node int, parent int, member int, members int, size int"
 
-def _kind(v: Column) -> Column:
-    """JSON type of a variant: null, bool, int, float, str, array or object."""
-    s = F.schema_of_variant(v)
-    whole = s.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\((19|[2-9]\d),0\))$")
-    return (
-        F.when(v.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool").when(whole, "int").when(s == "STRING", "str").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").otherwise("float")
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def json_nodes(payloads: DataFrame) -> DataFrame:
+    """One row for each value of JSON texts (payload_id, json), the root included.
+
+    path: the names that lead to it, array members sharing the path []; type; node and parent: numbers within the payload, the root's
+    parent being null; member and members: which member of its outermost array it stands in and how many that array has, null outside
+    arrays; size: the members of an array. Texts that don't parse, NaN and infinities among them, give one row of type invalid.
+    Each text is read once and its values come out as they are met; no depth is set.
+    """
+    schema = NODES.format(payloads.schema["payload_id"].dataType.simpleString())
+
+    def nodes(text: str | None):
+        try:
+            root = json.loads(text, parse_constant=_no_constant)
+        except (ValueError, TypeError, RecursionError):
+            yield "", "invalid", 0, None, None, None, None
+            return
+        waiting, made = [(root, "", None, None, None)], 0
+        while waiting:
+            value, path, parent, member, members = waiting.pop()
+            node, made = made, made + 1
+            yield path, JSON_TYPES[type(value)], node, parent, member, members, len(value) if isinstance(value, list) else None
+            if isinstance(value, dict):
+                waiting += [(x, f"{path}.{name}" if path else name, node, member, members) for name, x in value.items()]
+            elif isinstance(value, list):
+                outermost = member is None
+                waiting += [(x, f"{path}[]", node, k if outermost else member, len(value) if outermost else members) for k, x in enumerate(value)]
+
+    def read(batches):
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.string(), pa.string(), *[pa.int32()] * 5]
+            names = ["payload_id", "path", "type", "node", "parent", "member", "members", "size"]
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in nodes(text):
+                    rows.append((i, *row))
+                    if len(rows) == 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return payloads.select("payload_id", "json").mapInArrow(read, schema)
+
+
+def payload_profile(nodes: DataFrame) -> DataFrame:
+    """(payload_id, path, types, present, records, arrays, sizes) of each payload.
+
+    A path outside arrays has one record. Below an outermost array it has one for each of its types, and they are present only
+    if every member of that array has the path somewhere in it; members that hold a name in vain don't hide those that lack it. arrays
+    and sizes: the arrays at the path and all their members. Paths that end in [] and the root are no fields and have no records.
+    """
+    got = nodes.groupBy("payload_id", "path").agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.countDistinct("member").alias("having"), F.max("members").alias("members"),
+        F.count("size").cast("int").alias("arrays"), F.coalesce(F.sum("size"), F.lit(0)).alias("sizes"),
     )
+    field = (F.col("path") != "") & ~F.col("path").endswith("[]")
+    records = F.when(field, F.when(F.col("members").isNull(), 1).otherwise(F.size("types"))).otherwise(0)
+    whole = F.col("members").isNull() | (F.col("having") == F.col("members"))
+    return got.select("payload_id", "path", "types", F.when(whole, records).otherwise(0).alias("present"), records.alias("records"), "arrays", "sizes")
 
 
-def json_depth(payloads: DataFrame) -> int:
-    """Arrays and objects within one another, at most, over all JSON texts that parse: one pass that leaves only brackets outside strings."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("json", r"(?s)\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
+def json_profile(profile: DataFrame) -> DataFrame:
+    """(path, types, present, payloads) over all payloads of :func:`payload_profile`: present in those in which no record lacks it."""
+    total = profile.select("payload_id").distinct().agg(F.count(F.lit(1)).alias("payloads"))
+    seen = profile.where("records > 0").groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"), F.count(F.when(F.col("present") == F.col("records"), 1)).alias("present"))
+    return seen.crossJoin(F.broadcast(total))  # one row
 
-    def step(acc: Column, c: Column) -> Column:
-        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    most = F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
-    return payloads.where(F.try_parse_json("json").isNotNull()).agg(F.max(most)).first()[0] or 0
+def build_contract(profile: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """(path, types, required) of :func:`json_profile`: a path is required if every payload has it whole, unless it is listed as optional."""
+    required = F.col("present") == F.col("payloads")
+    return profile.select("path", "types", (required & ~F.col("path").isin(*optional) if optional else required).alias("required"))
 
 
-def json_nodes(payloads: DataFrame) -> DataFrame:
-    """(payload_id, member, path, type) of every value of JSON texts (payload_id, json); array members share the path [].
+def _enclosing(path: Column) -> Column:
+    """The arrays around a path, outermost first: what stands before each [] of it."""
+    parts = F.split(path, r"\[\]", -1)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "[]"))
 
-    member numbers the members of an outermost array, 0 for an object. Each level is one explode, down to the deepest
-    value (see :func:`json_depth`); texts that don't parse give one row of type invalid.
+
+def empty_array_paths(profile: DataFrame, absent: DataFrame) -> DataFrame:
+    """Of the (payload_id, path) that are absent, those that are excused, since every chain that leads there ends in an empty array.
+
+    Chains begin at the root. At each array around the path every chain must have met an array, so there are as many of them as
+    chains; their members are the chains of the next. A parent that is missing or no array therefore excuses nothing, and in the end
+    no chain may be left. An array directly within an array has no name that a path could be looked up by, and excuses nothing.
     """
-    spark = payloads.sparkSession
-    root = payloads.select("payload_id", F.try_parse_json("json").alias("v"))
-    broken = root.where("v is null").select("payload_id", F.lit(0).alias("member"), F.lit("").alias("path"), F.lit("invalid").alias("type"))
-    top = root.where("v is not null").withColumn("kind", _kind(F.col("v")))
-    outer = spark.tvf.variant_explode(F.col("v").outer())
-    members = top.where("kind = 'array'").lateralJoin(outer.withColumnsRenamed({"value": "x"})).select("payload_id", F.col("pos").alias("member"), F.lit("[]").alias("path"), F.col("x").alias("v"))
-    level = top.where("kind <> 'array'").select("payload_id", F.lit(0).alias("member"), F.lit("").alias("path"), "v").unionByName(members)
-    found = [broken, top.where("kind = 'array'").select("payload_id", F.lit(0).alias("member"), F.lit("").alias("path"), F.lit("array").alias("type"))]
-    depth = json_depth(payloads)
-    for k in range(depth + 1):
-        level = level.withColumn("type", _kind(F.col("v")))
-        found.append(level.select("payload_id", "member", "path", "type"))
-        if k == depth:
-            break
-        inner = spark.tvf.variant_explode(F.col("v").outer()).withColumnsRenamed({"value": "x"})
-        below = level.where("type in ('array', 'object')").lateralJoin(inner)
-        step = F.when(F.col("type") == "array", F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("key")))
-        level = below.select("payload_id", "member", step.alias("path"), F.col("x").alias("v"))
-    return reduce(DataFrame.unionByName, found)
-
-
-def json_profile(payloads: DataFrame) -> DataFrame:
-    """(path, types, present, records): types seen, members with the path, and members in all."""
-    nodes = json_nodes(payloads)
-    total = nodes.select("payload_id", "member").distinct().agg(F.count(F.lit(1)).alias("records"))
-    seen = nodes.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.countDistinct("payload_id", "member").alias("present"))
-    return seen.crossJoin(F.broadcast(total))  # one row
+    arrays = profile.where("arrays > 0").select("payload_id", F.col("path").alias("array"), "arrays", "sizes")
+    steps = absent.where(F.contains("path", F.lit("[]")) & ~F.contains("path", F.lit("[][]"))).select("payload_id", "path", F.posexplode(_enclosing(F.col("path"))).alias("at", "array"))
+    met = steps.join(arrays, ["payload_id", "array"], "left")
+    zero = F.lit(0).cast("long")
+    chain = F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("arrays").cast("long"), zero).alias("arrays"), F.coalesce("sizes", zero).alias("sizes"))))
+    begin = F.struct(F.lit(1).cast("long").alias("chains"), F.lit(True).alias("whole"))
+    walked = F.aggregate("chain", begin, lambda acc, s: F.struct(s["sizes"].alias("chains"), (acc["whole"] & (s["arrays"] == acc["chains"])).alias("whole")))
+    got = met.groupBy("payload_id", "path").agg(chain.alias("chain")).withColumn("walked", walked)
+    return got.where(F.col("walked.whole") & (F.col("walked.chains") == 0)).select("payload_id", "path")
 
 
-def build_contract(profile: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
-    """(path, types, required): a path is required if every member has it, unless it is listed as optional."""
-    return profile.select("path", "types", ((F.col("present") == F.col("records")) & ~F.col("path").isin(*optional) if optional else F.col("present") == F.col("records")).alias("required"))
+def absent_paths(contract: DataFrame, profile: DataFrame) -> DataFrame:
+    """(payload_id, path, want) of the required paths that a payload doesn't have at all. A contract is as long as its payload kind has paths, so it is broadcast."""
+    due = profile.select("payload_id").distinct().crossJoin(F.broadcast(contract.where("required").select("path", F.col("types").alias("want"))))
+    return due.join(profile.where("records > 0").select("payload_id", "path"), ["payload_id", "path"], "left_anti")
 
 
-def diff_contract(contract: DataFrame, profile: DataFrame, waived: DataFrame | None = None) -> DataFrame:
-    """(drift_key, drift_kind, path, detail, fatal) between a contract and a profile.
+def diff_contract(contract: DataFrame, profile: DataFrame) -> DataFrame:
+    """(payload_id, drift_key, drift_kind, path, detail, fatal) where a payload's profile departs from a contract (path, types, required).
 
-    missing_field: a required path absent or on some members only; type_change: types the contract doesn't have, int
-    being accepted where float is; unknown_field: a path of no contract, never fatal. ``waived``: paths excused by empty arrays.
+    missing_field: a required path absent, unless excused by empty arrays, or lacking on some members; type_change: types that the
+    contract doesn't have, int being accepted where float is; unknown_field: a path of no contract, never fatal. The others are fatal if
+    the path is required.
     """
-    c = contract.withColumnsRenamed({"types": "want_types"})
-    both = c.join(profile, "path", "full_outer")
-    allowed = F.when(F.array_contains("want_types", "float"), F.array_union("want_types", F.array(F.lit("int")))).otherwise(F.col("want_types"))
-    surplus = F.array_except("types", allowed)
-    missing = F.col("required") & (F.coalesce("present", F.lit(0)) < F.coalesce("records", F.lit(1)))
-    if waived is not None:
-        both = both.join(waived.select("path").distinct().withColumn("waived", F.lit(True)), "path", "left")
-        missing = missing & ~(F.col("waived").isNotNull() & F.col("present").isNull())
-    events = F.array(
-        F.when(missing, F.struct(F.lit("missing_field").alias("kind"), F.when(F.col("present").isNull(), "absent").otherwise(F.concat_ws("/", "present", "records")).alias("detail"))),
-        F.when(F.col("want_types").isNotNull() & (F.size(surplus) > 0), F.struct(F.lit("type_change").alias("kind"), F.array_join(surplus, ",").alias("detail"))),
-        F.when(F.col("want_types").isNull(), F.struct(F.lit("unknown_field").alias("kind"), F.array_join("types", ",").alias("detail"))),
-    )
-    rows = both.select("path", "required", F.explode(F.array_compact(events)).alias("e"))
-    return rows.select(F.concat_ws(":", "e.kind", "path").alias("drift_key"), F.col("e.kind").alias("drift_kind"), "path", F.col("e.detail").alias("detail"), ((F.col("e.kind") != "unknown_field") & F.coalesce("required", F.lit(False))).alias("fatal"))
-
-
-def empty_array_paths(nodes: DataFrame, contract: DataFrame) -> DataFrame:
-    """Required paths below arrays that are empty in every payload: (path). A parent that is missing excuses nothing."""
-    arrays = nodes.where("type = 'array'").select("path").distinct()
-    inside = nodes.where(F.col("path").endswith("[]")).select(F.expr("left(path, length(path) - 2)").alias("path")).distinct()
-    empty = arrays.join(inside, "path", "left_anti").select(F.col("path").alias("array_path"))
-    return contract.where("required").join(empty, F.col("path").startswith(F.concat("array_path", F.lit("[]")))).select("path").distinct()
+    c = F.broadcast(contract.withColumnsRenamed({"types": "want", "required": "needed"}))
+    fields = profile.where("records > 0").select("payload_id", "path", "types", "present", "records")
+    absent = absent_paths(contract, profile)
+    gone = absent.join(empty_array_paths(profile, absent), ["payload_id", "path"], "left_anti")
+    missing = gone.select("payload_id", "path", F.lit("missing_field").alias("kind"), F.concat(F.lit("required types "), F.array_join("want", ", "), F.lit("; absent")).alias("detail"), F.lit(True).alias("fatal"))
+    lacking = F.col("needed") & (F.col("present") < F.col("records"))
+    surplus = F.array_except("types", F.when(F.array_contains("want", "float"), F.array_union("want", F.array(F.lit("int")))).otherwise(F.col("want")))
+    kind = F.when(lacking, "missing_field").when(F.size(surplus) > 0, "type_change")
+    partly = F.format_string("present on %d/%d array members", "present", "records")
+    other = F.concat(F.lit("expected "), F.array_join("want", ", "), F.lit("; got "), F.array_join("types", ", "))
+    changed = fields.join(c, "path").withColumn("kind", kind).where("kind is not null").select("payload_id", "path", "kind", F.when(lacking, partly).otherwise(other).alias("detail"), F.col("needed").alias("fatal"))
+    unknown = fields.join(c.select("path"), "path", "left_anti").select("payload_id", "path", F.lit("unknown_field").alias("kind"), F.concat(F.lit("types "), F.array_join("types", ", "), F.lit("; tolerated")).alias("detail"), F.lit(False).alias("fatal"))
+    return missing.unionByName(changed).unionByName(unknown).select("payload_id", F.concat_ws(":", "kind", "path").alias("drift_key"), F.col("kind").alias("drift_kind"), "path", "detail", "fatal")
 
 
 def roll_up_drift(events: DataFrame) -> DataFrame:
@@ -176,6 +219,62 @@ def coverage(expected: DataFrame, found: DataFrame, on: list[str], unsafe_days:
     return got.withColumn("status", status).select("day", "expected_count", "succeeded_count", "status")
 
 
+def target_statuses(models: DataFrame, reports: DataFrame, sessions_wanted: DataFrame, sessions_found: DataFrame, prices_wanted: DataFrame, prices_found: DataFrame, unsafe_days: DataFrame, started: Column, inventory: bool = False) -> DataFrame:
+    """(day, domain, status, expected_count, succeeded_count, failure_code) of what a run set out to collect.
+
+    models and reports: (day, failure_code), one row a day that was asked for, the code null where it came. sessions: (client,
+    session_id) that had to be found, under the day the run started. prices: (day, model), with failure_code (or null) on wanted ones.
+    A day whose totals didn't reconcile is partial: none of its one models target succeeded, and its prices are in doubt. Reports are under
+    report_inventory where the run read the whole inventory.
+    """
+    code = F.col("failure_code")
+    bad = unsafe_days.select("day").distinct().withColumn("unsafe", F.lit(True))
+    one = F.lit(1).cast("long")
+    unsafe = F.col("unsafe").isNotNull()
+    m = models.select("day", "failure_code").join(bad, "day", "left").withColumn("domain", F.lit("models"))
+    m = m.select("day", "domain", F.when(code.isNotNull(), "failed").when(unsafe, "partial").otherwise("complete").alias("status"), one.alias("expected_count"), F.when(code.isNotNull() | unsafe, 0).otherwise(1).cast("long").alias("succeeded_count"), F.coalesce(code, F.when(unsafe, "reconciliation")).alias("failure_code"))
+    r = reports.select("day", F.lit("report_inventory" if inventory else "report").alias("domain"), F.when(code.isNotNull(), "failed").otherwise("complete").alias("status"), one.alias("expected_count"), F.when(code.isNotNull(), 0).otherwise(1).cast("long").alias("succeeded_count"), "failure_code")
+    want = sessions_wanted.select("client", "session_id").distinct().join(sessions_found.select("client", "session_id").distinct().withColumn("found", F.lit(1)), ["client", "session_id"], "left")
+    s = want.agg(F.count(F.lit(1)).alias("expected_count"), F.count("found").alias("succeeded_count")).where("expected_count > 0")
+    short = F.col("succeeded_count") < F.col("expected_count")
+    s = s.select(F.to_date(started).alias("day"), F.lit("session_metadata").alias("domain"), F.when(short, "partial").otherwise("complete").alias("status"), "expected_count", "succeeded_count", F.when(short, "missing_sessions").alias("failure_code"))
+    p = prices_wanted.groupBy("day", "model").agg(F.max("failure_code").alias("failure_code")).join(prices_found.select("day", "model").distinct().withColumn("found", F.lit(1)), ["day", "model"], "left")
+    p = p.groupBy("day").agg(F.count(F.lit(1)).alias("expected_count"), F.count("found").alias("succeeded_count"), F.max("failure_code").alias("failure_code")).join(bad, "day", "left")
+    whole = (F.col("succeeded_count") == F.col("expected_count")) & code.isNull()
+    status = F.when(unsafe, "partial").when(whole, "complete").when(F.col("succeeded_count") > 0, "partial").otherwise("failed")
+    p = p.select("day", F.lit("pricing").alias("domain"), status.alias("status"), "expected_count", "succeeded_count", F.when(unsafe, "reconciliation").when(~whole, F.coalesce(code, F.lit("incomplete"))).alias("failure_code"))
+    return m.unionByName(r).unionByName(s).unionByName(p)
+
+
+#: What a run's row says of its host and tools; every row that the run writes to the ledger says it too.
+RUN_COLUMNS = ("run_id", "source_id", "started_at", "finished_at", "host", "os_name", "os_version", "architecture", "cpu_model", "cpu_count", "memory_bytes", "invoke_method", "payload_ver", "library_ver")
+
+
+def stamp_ledger(targets: DataFrame, run: DataFrame) -> DataFrame:
+    """Ledger rows of a run: one of domain collection, and one for each target (day, domain, status, expected_count, succeeded_count, failure_code).
+
+    run: one row of RUN_COLUMNS and status. All are stamped with the run, its source and host, and collected when it started.
+    A complete models target of the day it ran or later is provisional.
+    """
+    run = F.broadcast(run)
+    whole = run.select(F.to_date("started_at").alias("day"), F.lit("collection").alias("domain"), "status", *[F.lit(None).cast(k).alias(c) for c, k in (("expected_count", "long"), ("succeeded_count", "long"), ("failure_code", "string"))])
+    every = whole.unionByName(targets.select(*whole.columns))
+    stamped = every.crossJoin(run.select(*[c for c in RUN_COLUMNS if c in run.columns])).withColumn("collected_at", F.col("started_at"))  # one row
+    return provisional(stamped)
+
+
+def stamp_diagnostics(found: DataFrame, cleared: DataFrame, run: DataFrame) -> DataFrame:
+    """Issue or drift rows of a run: what it found, with its counts, and what it cleared, resolved and counted 0; stamped with run, source and time."""
+    at = F.broadcast(run.select("run_id", "source_id", F.col("finished_at").alias("collected_at")))
+    new = found.drop("run_id", "source_id", "collected_at").crossJoin(at).withColumn("created_at", F.col("collected_at")).withColumn("resolved", F.lit(False))
+    if "observation_count" not in new.columns:
+        new = new.withColumn("observation_count", F.lit(1).cast("long"))
+    old = cleared.drop("run_id", "source_id", "collected_at").crossJoin(at).withColumn("resolved", F.lit(True)).withColumn("observation_count", F.lit(0).cast("long"))
+    if "message" in new.columns:  # an issue's row says nothing when it is cleared, and is dated then
+        old = old.withColumn("message", F.lit(None).cast("string")).withColumn("created_at", F.col("collected_at"))
+    return new.unionByName(old.select(*new.columns))
+
+
 #: The checks whose issues a clean run clears.
 CLEARED_CHECKS = ("models_payload_totals", "models_payload_keys")
 

@@ -121,16 +121,16 @@ def ledger_obs(spark: SparkSession, d: str) -> DataFrame:
         "expected_count",
         "cast(case when ev % 4 = 0 then expected_count else floor(expected_count / 2) end as bigint) as succeeded_count",
         "concat('host-', u % 6) as host", "case when u % 2 = 0 then 'linux' else 'darwin' end as os_name", "'x86_64' as architecture", "cast(4 + u % 3 as bigint) as cpu_count", "cast(16000 as bigint) as memory_bytes",
-        "case when u % 5 = 0 then null else 'cpu-x' end as cpu_model",
+        "case when u % 5 = 0 then null else 'cpu-x' end as cpu_model", "case when u % 7 = 0 then null else concat('6.', u % 3) end as os_version",
         "hour as started_at", "case when ev % 9 = 0 then null else hour + make_dt_interval(0, 0, 10) end as finished_at", "hour as collected_at",
     )
 
 
 def _diagnostic(spark: SparkSession, d: str, kind: str, *columns: str) -> DataFrame:
-    rows = _t(spark, d, "events").where(F.col("event_type") == kind).withColumn("rep", F.explode(F.expr("case when event_id % 6 = 0 then array(0, 1) else array(0) end")))
+    rows = _t(spark, d, "events").where(F.col("event_type") == kind).withColumn("rep", F.explode(F.expr("case when event_id % 6 = 0 then array(0, 1) when event_id % 10 = 7 then array(0, 2) else array(0) end")))
     return rows.selectExpr(
-        "md5(concat_ws('|', 'd', event_id)) as event_id", "concat('src-', user_id % 4) as source_id", *columns,
-        "ts as created_at", "ts + make_dt_interval(rep) as collected_at", "event_id % 10 < 3 as resolved", "cast(1 + event_id % 3 as bigint) as observation_count",
+        "md5(concat_ws('|', if(rep = 2, 'e', 'd'), event_id)) as event_id", "concat('src-', user_id % 4) as source_id", *columns,
+        "ts as created_at", "ts + make_dt_interval(if(rep = 1, 1, 0)) as collected_at", "event_id % 10 < 3 or rep = 2 as resolved", "cast(1 + event_id % 3 as bigint) as observation_count",
     )
 
 
@@ -188,17 +188,17 @@ SQL = {
   SELECT md5(concat_ws('|', 'l', source_id, run_id, strftime(day, '%Y-%m-%d'), domain)) AS event_id, source_id, run_id, day, domain,
     CASE WHEN domain = 'collection' THEN (['ok','failed','partial','payload_drift'])[CAST(ev % 4 AS INT) + 1] ELSE (['complete','partial','failed','provisional'])[CAST(ev % 4 AS INT) + 1] END AS status,
     n AS expected_count, CAST(CASE WHEN ev % 4 = 0 THEN n ELSE n // 2 END AS BIGINT) AS succeeded_count, concat('host-', u % 6) AS host, CASE WHEN u % 2 = 0 THEN 'linux' ELSE 'darwin' END AS os_name,
-    'x86_64' AS architecture, CAST(4 + u % 3 AS BIGINT) AS cpu_count, CAST(16000 AS BIGINT) AS memory_bytes, CASE WHEN u % 5 = 0 THEN NULL ELSE 'cpu-x' END AS cpu_model,
+    'x86_64' AS architecture, CAST(4 + u % 3 AS BIGINT) AS cpu_count, CAST(16000 AS BIGINT) AS memory_bytes, CASE WHEN u % 5 = 0 THEN NULL ELSE 'cpu-x' END AS cpu_model, CASE WHEN u % 7 = 0 THEN NULL ELSE concat('6.', u % 3) END AS os_version,
     hour AS started_at, CASE WHEN ev % 9 = 0 THEN NULL ELSE hour + INTERVAL 10 MINUTE END AS finished_at, hour AS collected_at
   FROM (SELECT concat('src-', user_id % 4) AS source_id, concat('run-', strftime(ts, '%Y%m%d%H')) AS run_id, CAST(ts AS DATE) - CAST(user_id % 3 AS INT) AS day,
     CASE event_type WHEN 'view' THEN 'models' WHEN 'click' THEN 'report' WHEN 'error' THEN 'pricing' WHEN 'purchase' THEN 'collection' ELSE 'session_metadata' END AS domain,
     date_trunc('hour', ts) AS hour, count(*) AS n, max(event_id) AS ev, min(user_id) AS u FROM events GROUP BY 1, 2, 3, 4, 5)""",
     "drift_obs": """
-  SELECT md5(concat_ws('|', 'd', event_id)) AS event_id, concat('src-', user_id % 4) AS source_id, CASE WHEN user_id % 2 = 0 THEN 'models' ELSE 'report' END AS domain, '1.0' AS payload_ver, concat('unknown_field:p', user_id % 20) AS drift_key, props AS detail,
-    ts AS created_at, ts + to_days(CAST(rep AS INT)) AS collected_at, event_id % 10 < 3 AS resolved, CAST(1 + event_id % 3 AS BIGINT) AS observation_count
-  FROM (SELECT *, unnest(CASE WHEN event_id % 6 = 0 THEN [0, 1] ELSE [0] END) AS rep FROM events WHERE event_type = 'error')""",
+  SELECT md5(concat_ws('|', CASE WHEN rep = 2 THEN 'e' ELSE 'd' END, event_id)) AS event_id, concat('src-', user_id % 4) AS source_id, CASE WHEN user_id % 2 = 0 THEN 'models' ELSE 'report' END AS domain, '1.0' AS payload_ver, concat('unknown_field:p', user_id % 20) AS drift_key, props AS detail,
+    ts AS created_at, ts + to_days(CASE WHEN rep = 1 THEN 1 ELSE 0 END) AS collected_at, event_id % 10 < 3 OR rep = 2 AS resolved, CAST(1 + event_id % 3 AS BIGINT) AS observation_count
+  FROM (SELECT *, unnest(CASE WHEN event_id % 6 = 0 THEN [0, 1] WHEN event_id % 10 = 7 THEN [0, 2] ELSE [0] END) AS rep FROM events WHERE event_type = 'error')""",
     "issue_obs": """
-  SELECT md5(concat_ws('|', 'd', event_id)) AS event_id, concat('src-', user_id % 4) AS source_id, concat('check-', user_id % 5) AS check_name, concat('key-', user_id % 20) AS issue_key, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS message,
-    ts AS created_at, ts + to_days(CAST(rep AS INT)) AS collected_at, event_id % 10 < 3 AS resolved, CAST(1 + event_id % 3 AS BIGINT) AS observation_count
-  FROM (SELECT *, unnest(CASE WHEN event_id % 6 = 0 THEN [0, 1] ELSE [0] END) AS rep FROM events WHERE event_type = 'signup')""",
+  SELECT md5(concat_ws('|', CASE WHEN rep = 2 THEN 'e' ELSE 'd' END, event_id)) AS event_id, concat('src-', user_id % 4) AS source_id, concat('check-', user_id % 5) AS check_name, concat('key-', user_id % 20) AS issue_key, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS message,
+    ts AS created_at, ts + to_days(CASE WHEN rep = 1 THEN 1 ELSE 0 END) AS collected_at, event_id % 10 < 3 OR rep = 2 AS resolved, CAST(1 + event_id % 3 AS BIGINT) AS observation_count
+  FROM (SELECT *, unnest(CASE WHEN event_id % 6 = 0 THEN [0, 1] WHEN event_id % 10 = 7 THEN [0, 2] ELSE [0] END) AS rep FROM events WHERE event_type = 'signup')""",
 }

@@ -77,10 +77,10 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "ranked_note": best("(SELECT *, op = 'upsert' AS is_upsert FROM note_obs)", SES, "collected_at, is_upsert, event_id"),
     "cur_note": "SELECT * EXCLUDE (is_upsert) FROM ranked_note WHERE is_upsert",
     "cur_ledger": best("ledger_obs", "source_id, run_id, day, domain", "collected_at, finished_at, event_id"),
-    "once_drift": best("drift_obs", "source_id, event_id", "collected_at"),
-    "cur_drift": best("once_drift", "source_id, domain, payload_ver, drift_key", "collected_at, event_id", columns="* REPLACE (min(created_at) OVER w AS created_at, CAST(sum(observation_count) OVER w AS BIGINT) AS observation_count)").replace(" QUALIFY", " WINDOW w AS (PARTITION BY source_id, domain, payload_ver, drift_key) QUALIFY"),
-    "once_issue": best("issue_obs", "source_id, event_id", "collected_at"),
-    "cur_issue": best("once_issue", "source_id, check_name, issue_key", "collected_at, event_id", columns="* REPLACE (min(created_at) OVER w AS created_at, CAST(sum(observation_count) OVER w AS BIGINT) AS observation_count, first_value(message IGNORE NULLS) OVER (PARTITION BY source_id, check_name, issue_key ORDER BY collected_at DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS message)").replace(" QUALIFY", " WINDOW w AS (PARTITION BY source_id, check_name, issue_key) QUALIFY"),
+    "once_drift": best("drift_obs", "source_id, event_id", "collected_at, resolved"),
+    "cur_drift": best("once_drift", "source_id, domain, payload_ver, drift_key", "collected_at, resolved, event_id", columns="* REPLACE (min(created_at) OVER w AS created_at, CAST(sum(observation_count) OVER w AS BIGINT) AS observation_count)").replace(" QUALIFY", " WINDOW w AS (PARTITION BY source_id, domain, payload_ver, drift_key) QUALIFY"),
+    "once_issue": best("issue_obs", "source_id, event_id", "collected_at, resolved"),
+    "cur_issue": best("once_issue", "source_id, check_name, issue_key", "collected_at, resolved, event_id", columns="* REPLACE (min(created_at) OVER w AS created_at, CAST(sum(observation_count) OVER w AS BIGINT) AS observation_count, first_value(message IGNORE NULLS) OVER (PARTITION BY source_id, check_name, issue_key ORDER BY collected_at DESC, resolved DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS message)").replace(" QUALIFY", " WINDOW w AS (PARTITION BY source_id, check_name, issue_key) QUALIFY"),
     "status": best("ledger_obs", "source_id, day, domain", "collected_at, finished_at, event_id", "domain <> 'collection'"),
     "cost": f"""
   SELECT f.*, r.day AS rate_day, r.price_input_per_token, r.price_output_per_token, r.price_cache_read_per_token, r.price_cache_write_per_token,
@@ -126,7 +126,7 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "bad_targets": "SELECT source_id, run_id, day, domain, status, expected_count, succeeded_count, collected_at FROM status WHERE status NOT IN ('complete', 'provisional')",
     "every_source": " UNION ".join(f"SELECT source_id FROM {t}" for t in ("daily_obs", "price_obs", "session_obs", "tag_obs", "note_obs", "ledger_obs", "drift_obs", "issue_obs")),
     "audited": f"""
-  SELECT e.source_id, u.first_day, u.last_day, CAST(coalesce(r.runs, 0) AS BIGINT) AS runs, n.run_id, n.status, n.collected_at, n.host, n.os_name, n.architecture, n.cpu_count, n.memory_bytes, n.cpu_model
+  SELECT e.source_id, u.first_day, u.last_day, CAST(coalesce(r.runs, 0) AS BIGINT) AS runs, n.run_id, n.status, n.collected_at, n.host, n.os_name, n.architecture, n.cpu_count, n.memory_bytes, n.cpu_model, n.os_version
   FROM every_source e LEFT JOIN (SELECT source_id, min(day) AS first_day, max(day) AS last_day FROM cur_daily GROUP BY source_id) u USING (source_id)
   LEFT JOIN (SELECT source_id, count(DISTINCT run_id) AS runs FROM ledger_obs WHERE domain = 'collection' GROUP BY source_id) r USING (source_id)
   LEFT JOIN ({best("ledger_obs", "source_id", "collected_at, finished_at, event_id", "domain = 'collection'")}) n USING (source_id)""",
@@ -138,7 +138,30 @@ CTES = {name: body for name, body in fixtures.SQL.items()} | {
     "daily98a": best("daily_obs", KEY, "collected_at, total_tokens, event_id", "collected_at < timestamp '1998-01-01'"),
     "daily98b": best("daily_obs", KEY, "collected_at, total_tokens, event_id", "collected_at >= timestamp '1998-01-01'"),
     "asked": "SELECT source_id, scope, client, CASE WHEN scope = 'client' AND client = 'cli-b' THEN 'ws-1' ELSE workspace END AS workspace, session_id, concat(tag, CASE WHEN session_id LIKE '%5' THEN '-new' ELSE '' END) AS tag FROM tag_obs WHERE op = 'upsert'",
-    "prof": "SELECT '' AS path, 'object' AS types, count(*) AS present, count(*) AS records FROM events UNION ALL SELECT 'k', 'int', count(*), (SELECT count(*) FROM events) FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
+    "prof": "SELECT 'k' AS path, 'int' AS types, count(*) AS present, (SELECT count(*) FROM events) AS payloads FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
+    "order_lines": """
+  SELECT o_orderkey AS id, l.n IS NULL OR o_orderkey % 9 = 1 AS no_lines, l.n IS NOT NULL AND o_orderkey % 9 <> 1 AND o_orderkey % 10 = 0 AS no_line, l.n IS NOT NULL AND o_orderkey % 9 <> 1 AND o_orderkey % 10 <> 0 AS lines, l.n, l.rates, l.parts
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_tax <> 0) AS rates, count(*) FILTER (l_suppkey % 3 <> 0) AS parts FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""",
+    "nested_prof": """
+  SELECT path, types, present, (SELECT count(*) FROM orders) AS payloads, seen FROM (SELECT 'id' AS path, 'int' AS types, count(*) AS present, count(*) AS seen FROM order_lines
+  UNION ALL SELECT 'tag', 'str', count(*) FILTER (id % 4 <> 0), count(*) FILTER (id % 4 <> 0) FROM order_lines UNION ALL SELECT 'extra', 'bool', count(*) FILTER (id % 5 = 0), count(*) FILTER (id % 5 = 0) FROM order_lines
+  UNION ALL SELECT 'lines', 'array', count(*) FILTER (NOT no_lines), count(*) FILTER (NOT no_lines) FROM order_lines UNION ALL SELECT 'lines[].n', 'int', count(*) FILTER (lines), count(*) FILTER (lines) FROM order_lines
+  UNION ALL SELECT 'lines[].rate', 'float', count(*) FILTER (lines AND rates = n), count(*) FILTER (lines AND rates > 0) FROM order_lines UNION ALL SELECT 'lines[].parts', 'array', count(*) FILTER (lines), count(*) FILTER (lines) FROM order_lines
+  UNION ALL SELECT 'lines[].parts[].p', 'int', count(*) FILTER (lines AND parts = n), count(*) FILTER (lines AND parts > 0) FROM order_lines) WHERE seen > 0""",
+    "monthly": "SELECT * REPLACE (CAST(date_trunc('month', collected_at) AS TIMESTAMP) AS collected_at) FROM daily_obs",
+    "monthly98": best("monthly", KEY, "collected_at, total_tokens, event_id", "collected_at < timestamp '1998-01-01'"),
+    "history": f"SELECT {KEY}, arg_max(event_id, (collected_at, total_tokens, event_id)) AS event_id, {', '.join(f'max({c}) AS {c}' for c in TOK)}, CAST(CASE WHEN count(DISTINCT event_id) = 1 THEN max(total_tokens) ELSE greatest(max(total_tokens), {' + '.join(f'coalesce(max({c}), 0)' for c in TOK)}) END AS BIGINT) AS total_tokens FROM daily_obs GROUP BY {KEY}",
+    "targets": """
+  SELECT d.day, 'models' AS domain, CASE WHEN day(d.day) = 9 THEN 'failed' WHEN u.day IS NOT NULL THEN 'partial' ELSE 'complete' END AS status, CAST(1 AS BIGINT) AS expected_count, CAST(CASE WHEN day(d.day) = 9 OR u.day IS NOT NULL THEN 0 ELSE 1 END AS BIGINT) AS succeeded_count,
+    CASE WHEN day(d.day) = 9 THEN 'timeout' WHEN u.day IS NOT NULL THEN 'reconciliation' END AS failure_code FROM (SELECT DISTINCT day FROM cur_daily) d LEFT JOIN (SELECT day FROM dups WHERE day(day) < 4) u USING (day)
+  UNION ALL SELECT day, 'report', CASE WHEN day(day) = 11 THEN 'failed' ELSE 'complete' END, 1, CASE WHEN day(day) = 11 THEN 0 ELSE 1 END, CASE WHEN day(day) = 11 THEN 'payload' END FROM (SELECT DISTINCT day FROM cur_daily)
+  UNION ALL SELECT date '2024-02-15', 'session_metadata', CASE WHEN found < wanted THEN 'partial' ELSE 'complete' END, wanted, found, CASE WHEN found < wanted THEN 'missing_sessions' END
+    FROM (SELECT count(*) AS wanted, count(s.client) AS found FROM (SELECT DISTINCT client, session_id FROM cur_daily) w LEFT JOIN (SELECT DISTINCT client, session_id FROM cur_session) s USING (client, session_id))
+  UNION ALL SELECT day, 'pricing', CASE WHEN unsafe THEN 'partial' WHEN found = wanted AND code IS NULL THEN 'complete' WHEN found > 0 THEN 'partial' ELSE 'failed' END, wanted, found, CASE WHEN unsafe THEN 'reconciliation' WHEN found < wanted OR code IS NOT NULL THEN coalesce(code, 'incomplete') END
+    FROM (SELECT w.day, count(*) AS wanted, count(p.model) AS found, max(CASE WHEN w.model = 'model-2' AND day(w.day) = 5 THEN 'lookup' END) AS code, w.day IN (SELECT day FROM dups WHERE day(day) < 4) AS unsafe
+      FROM (SELECT DISTINCT day, model FROM cur_daily) w LEFT JOIN (SELECT DISTINCT day, model FROM cur_price) p USING (day, model) GROUP BY w.day)""",
+    "session_issue": "SELECT event_id, CASE check_name WHEN 'check-1' THEN 'models_report_session_set' WHEN 'check-2' THEN 'models_report_cost' ELSE check_name END AS check_name, check_name AS old_check, issue_key, translate(issue_key, '1', '2') AS session_id FROM cur_issue",
+    "session_names": "SELECT v, concat('session-', CASE WHEN n <= 10 THEN (['alpha','bravo','charlie','delta','echo','foxtrot','golf','hotel','india','juliet'])[n] ELSE CAST(n AS VARCHAR) END) AS p FROM (SELECT v, row_number() OVER (ORDER BY v) AS n FROM (SELECT session_id AS v FROM session_issue UNION SELECT issue_key FROM session_issue WHERE old_check IN ('check-1', 'check-2')))",
     "note_hash": "SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(json_array(source_id, client, session_id) AS VARCHAR))) AS h FROM cur_note",
     "note_named": "SELECT *, concat('n_', rtrim(translate(to_base64(unhex(concat(substr(h, 1, 12), '5', substr(h, 14, 3), substr('89ab', CAST((position(substr(h, 17, 1) IN '0123456789abcdef') - 1) & 3 AS INTEGER) + 1, 1), substr(h, 18, 15)))), '+/', '-_'), '=')) AS note_id FROM note_hash",
     "asked_note": f"SELECT {SES}, CASE WHEN session_id LIKE '%3' THEN concat(min(note), ' edited') ELSE min(note) END AS note FROM note_obs GROUP BY {SES}",
@@ -176,6 +199,15 @@ QUERIES = {
     "A7_upsert_daily": "WITH h AS (SELECT " + KEY + ", " + ", ".join(f"max({c}) AS {c}" for c in ALL) + " FROM daily_obs WHERE collected_at >= timestamp '1998-01-01' GROUP BY ALL) SELECT coalesce(b.event_id, a.event_id) AS event_id, " + KEY + ", " + ", ".join(f"greatest(a.{c}, h.{c}) AS {c}" for c in TOK)
     + ", CAST(greatest(a.total_tokens, h.total_tokens, " + " + ".join(f"coalesce(greatest(a.{c}, h.{c}), 0)" for c in TOK) + f") AS BIGINT) AS total_tokens FROM daily98a a FULL JOIN (SELECT {KEY}, event_id FROM daily98b) b USING ({KEY}) LEFT JOIN h USING ({KEY})",
     "A7_upsert_counts": f"SELECT count(*) FILTER (a.event_id IS NULL) AS inserted, count(*) FILTER (a.event_id IS NOT NULL) AS updated FROM daily98b b LEFT JOIN daily98a a USING ({KEY})",
+    "A7_persisted_counts": f"""WITH d AS (SELECT 'daily_stats' AS t, b, count(DISTINCT ({KEY})) AS n FROM (SELECT *, collected_at >= timestamp '1998-01-01' AS b FROM daily_obs) GROUP BY b UNION ALL SELECT 'sessions', b, count(DISTINCT ({SES})) FROM (SELECT *, collected_at >= timestamp '1998-01-01' AS b FROM session_obs) GROUP BY b),
+o AS (SELECT 'daily_stats' AS t, count(*) AS both FROM (SELECT 1 FROM daily_obs GROUP BY {KEY} HAVING min(collected_at) < timestamp '1998-01-01' AND max(collected_at) >= timestamp '1998-01-01') UNION ALL SELECT 'sessions', count(*) FROM (SELECT 1 FROM session_obs GROUP BY {SES} HAVING min(collected_at) < timestamp '1998-01-01' AND max(collected_at) >= timestamp '1998-01-01'))
+SELECT CAST(step AS INTEGER) AS step, o.t AS table_name, CASE step WHEN 1 THEN coalesce((SELECT n FROM d WHERE d.t = o.t AND NOT b), 0) WHEN 2 THEN coalesce((SELECT n FROM d WHERE d.t = o.t AND b), 0) - o.both ELSE 0 END AS inserted, CASE step WHEN 2 THEN o.both ELSE 0 END AS updated, step > 2 AS already_committed FROM o, (SELECT unnest([1, 2, 3, 4]) AS step)""",
+    "A7_persisted_daily": f"SELECT {DAILY} FROM history",
+    "A6_appended_drift": "SELECT * FROM drift_obs",
+    "A8_exported_prices": "SELECT * FROM cur_price",
+    "A9_snapshot_rows": f"SELECT 'daily_stats' AS table, count(*) AS rows FROM history UNION ALL SELECT 'sessions', count(DISTINCT ({SES})) FROM session_obs UNION ALL SELECT 'payload_drift_events', count(*) FROM once_drift UNION ALL SELECT 'collection_ledger', count(*) FROM ledger_obs",
+    "A10_tampered_snapshot": "SELECT unnest(['daily_stats', 'daily_stats', 'payload_drift_events', 'sessions']) AS table, unnest(['rows', 'digest', 'missing', 'digest']) AS problem",
+    "A11_restored_daily": f"SELECT {DAILY} FROM history",
     "A12_retention_plan": """WITH ok AS (SELECT * FROM vers WHERE state IN ('complete', 'failed') AND NOT pinned),
 n AS (SELECT version_id FROM ok WHERE role IN ('scheduled', 'manual') ORDER BY created_at DESC, version_id LIMIT 5),
 w AS (SELECT arg_min(version_id, (-epoch_us(created_at), version_id)) AS version_id, max(created_at) AS latest FROM ok WHERE role = 'weekly' AND weekly_slot IS NOT NULL GROUP BY weekly_slot ORDER BY latest DESC LIMIT 4)
@@ -189,7 +221,10 @@ SELECT version_id, reason IS NOT NULL AS keep, reason FROM (SELECT version_id, C
     "B10_batch_checks": f"SELECT CAST(0 AS BIGINT) AS nulls, count(DISTINCT source_id) AS sources, CAST(0 AS BIGINT) AS bad_ids, (SELECT count(*) FROM (SELECT 1 FROM daily_obs GROUP BY {KEY} HAVING count(*) > 1)) AS repeated_keys FROM daily_obs",
     "B11_merge_sessions": "SELECT client, session_id, min(created_at) AS created_at, max(last_active) AS last_active, array_to_string(list_sort(list_distinct(flatten(list([concat('model-', message_count % 5), 'model-0'])))), ',') AS models FROM session_obs GROUP BY client, session_id HAVING NOT (count(DISTINCT CASE WHEN session_id LIKE '%7' THEN workspace ELSE 'ws' END) > 1 OR count(DISTINCT workspace_label) > 1)",
     "B11_session_conflicts": "SELECT client, session_id FROM session_obs GROUP BY client, session_id HAVING count(DISTINCT CASE WHEN session_id LIKE '%7' THEN workspace ELSE 'ws' END) > 1 OR count(DISTINCT workspace_label) > 1",
-    "B14_input_rows": "SELECT 'entries' AS kind, count(*) AS input_rows FROM daily_obs UNION ALL SELECT 'sessions', count(*) FROM session_obs UNION ALL SELECT 'contributions', count(DISTINCT day) FROM daily_obs",
+    "B13_stamped_ledger": """SELECT 'run-9' AS run_id, 'src-1' AS source_id, day, domain, CASE WHEN domain = 'models' AND status = 'complete' AND day >= date '2024-02-15' THEN 'provisional' ELSE status END AS status, expected_count, succeeded_count, failure_code, 'host-1' AS host, '6.1' AS os_version, timestamp '2024-02-15 08:00:00' AS collected_at
+FROM (SELECT * FROM targets UNION ALL SELECT date '2024-02-15', 'collection', 'ok', NULL, NULL, NULL)""",
+    "B13_stamped_issues": "SELECT 'run-9' AS run_id, 'src-1' AS source_id, check_name, issue_key, CASE WHEN issue_key LIKE '%3' THEN message END AS message, timestamp '2024-02-15 09:00:00' AS collected_at, timestamp '2024-02-15 09:00:00' AS created_at, issue_key LIKE '%4' AS resolved, CAST(CASE WHEN issue_key LIKE '%3' THEN 1 ELSE 0 END AS BIGINT) AS observation_count FROM cur_issue WHERE issue_key LIKE '%3' OR issue_key LIKE '%4'",
+    "B14_input_rows": "SELECT 'entries' AS kind, count(*) AS input_rows FROM daily_obs UNION ALL SELECT 'sessions', count(*) FROM session_obs UNION ALL SELECT 'contributions', count(DISTINCT (source_id, day)) FROM daily_obs",
     "C1_current_sessions": "SELECT * FROM cur_session",
     "C2_current_daily_stats": f"SELECT {DAILY} FROM cur_daily",
     "C3_current_price_versions": "SELECT * FROM cur_price",
@@ -241,8 +276,17 @@ SELECT version_id, reason IS NOT NULL AS keep, reason FROM (SELECT version_id, C
     "I2_relation_query": "SELECT * FROM cur_price WHERE source_id = 'src-2' AND source = 'Custom'",
     "I3_day_bounds": DAY_REPORT.format("(SELECT * FROM usage_ WHERE day BETWEEN date '2024-02-01' AND date '2024-02-29')"),
     "K1_json_profile": "SELECT * FROM prof",
-    "K2_contract": "SELECT path, types, present = records AS required FROM prof",
-    "K3_contract_diff": "SELECT 'missing_field:gone' AS drift_key, 'missing_field' AS drift_kind, 'gone' AS path, 'absent' AS detail, TRUE AS fatal UNION ALL SELECT 'type_change:k', 'type_change', path, types, TRUE FROM prof WHERE path = 'k' AND types = 'int' AND present > 0",
+    "K1_nested_profile": "SELECT * EXCLUDE (seen) FROM nested_prof",
+    "K2_contract": "SELECT path, types, present = payloads AND path <> 'tag' AS required FROM nested_prof",
+    "K3_contract_diff": "SELECT 'missing_field:gone' AS drift_key, 'missing_field' AS drift_kind, 'gone' AS path, 'required types int; absent' AS detail, TRUE AS fatal, count(*) AS payloads FROM events UNION ALL SELECT 'type_change:k', 'type_change', path, 'expected str; got int', TRUE, present FROM prof WHERE path = 'k' AND present > 0",
+    "K3_nested_diff": """SELECT id AS payload_id, concat(kind, ':', path) AS drift_key, kind AS drift_kind, path, detail, kind <> 'unknown_field' AS fatal FROM (
+  SELECT id, 'missing_field' AS kind, 'tag' AS path, 'required types str; absent' AS detail FROM order_lines WHERE id % 4 = 0
+  UNION ALL SELECT id, 'unknown_field', 'extra', 'types bool; tolerated' FROM order_lines WHERE id % 5 = 0
+  UNION ALL SELECT id, 'missing_field', p.path, concat('required types ', p.types, '; absent') FROM order_lines, (VALUES ('lines', 'array'), ('lines[].n', 'str'), ('lines[].rate', 'float'), ('lines[].parts', 'array'), ('lines[].parts[].p', 'int')) p(path, types) WHERE no_lines
+  UNION ALL SELECT id, 'type_change', 'lines[].n', 'expected str; got int' FROM order_lines WHERE lines
+  UNION ALL SELECT id, 'missing_field', 'lines[].rate', CASE WHEN rates = 0 THEN 'required types float; absent' ELSE 'present on 0/1 array members' END FROM order_lines WHERE lines AND rates < n
+  UNION ALL SELECT id, 'missing_field', 'lines[].parts[].p', 'present on 0/1 array members' FROM order_lines WHERE lines AND parts > 0 AND parts < n)""",
+    "K4_empty_array_waivers": "SELECT id AS payload_id, path FROM order_lines, (VALUES ('lines[].n'), ('lines[].rate'), ('lines[].parts'), ('lines[].parts[].p')) p(path) WHERE no_line UNION ALL SELECT id, 'lines[].parts[].p' FROM order_lines WHERE lines AND parts = 0",
     "K5_drift_roll_up": "SELECT 'run-1' AS run_id, domain, payload_ver, drift_key, count(*) AS observation_count, arg_max(detail, (collected_at, event_id)) AS detail, bool_or(resolved) AS fatal FROM drift_obs GROUP BY domain, payload_ver, drift_key",
     "K6_check_totals": "SELECT * FROM bad_totals",
     "K7_check_cost": "SELECT day, CAST(CAST(CAST(total_cost AS VARCHAR) AS DECIMAL(38,18)) AS DOUBLE) AS declared, CAST(found_cost AS DOUBLE) AS found FROM declared WHERE abs(CAST(CAST(total_cost AS VARCHAR) AS DECIMAL(38,18)) - found_cost) > 0.00000001",
@@ -254,20 +298,34 @@ SELECT version_id, reason IS NOT NULL AS keep, reason FROM (SELECT version_id, C
     "K12_resolved_drift": "SELECT event_id FROM cur_drift d WHERE NOT resolved AND domain = 'models' AND NOT EXISTS (SELECT 1 FROM cur_drift a WHERE a.drift_key LIKE '%3' AND a.domain = d.domain AND a.payload_ver = d.payload_ver AND a.drift_key = d.drift_key)",
     "K13_price_coverage": """SELECT day, expected_count, succeeded_count, CASE WHEN unsafe AND succeeded_count > 0 THEN 'partial' WHEN succeeded_count = 0 THEN 'failed' WHEN succeeded_count < expected_count THEN 'partial' ELSE 'complete' END AS status
 FROM (SELECT w.day, count(*) AS expected_count, count(p.model) AS succeeded_count, coalesce(w.day IN (SELECT day FROM dups WHERE duplicates > 800), FALSE) AS unsafe FROM (SELECT DISTINCT day, source_id, model FROM cur_daily) w LEFT JOIN (SELECT DISTINCT day, source_id, model FROM cur_price) p USING (day, source_id, model) GROUP BY w.day)""",
+    "K13_target_statuses": "SELECT * FROM targets",
     "K14_day_plan": """WITH m AS (SELECT source_id, day, status = 'complete' AS done FROM status WHERE domain = 'models'), c AS (SELECT DISTINCT source_id, day FROM cur_daily), e AS (SELECT * FROM c UNION SELECT source_id, day FROM m WHERE NOT done)
 SELECT source_id, day, reason FROM (SELECT e.*, CASE WHEN e.day >= date '2024-02-15' THEN 'open' WHEN e.day IN (SELECT c.day FROM c WHERE c.source_id = e.source_id AND c.day < date '2024-02-15') AND (SELECT count(*) FROM c WHERE c.source_id = e.source_id AND c.day < date '2024-02-15' AND c.day > e.day) < 3 THEN 'overlap'
   WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.source_id = e.source_id AND m.day = e.day AND m.done) THEN 'incomplete' END AS reason FROM e) WHERE reason IS NOT NULL""",
     "K14_refresh_plan": "WITH e AS (SELECT source_id, day FROM cur_daily UNION SELECT source_id, day FROM status WHERE domain = 'models'), g AS (SELECT source_id, coalesce(min(day) FILTER (day <= date '2024-02-10'), date '2024-02-10') AS since FROM e GROUP BY source_id) SELECT source_id, CAST(unnest(generate_series(since, date '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day, 'refresh' AS reason FROM g",
     "K15_price_gaps": "SELECT DISTINCT source_id, model FROM cur_daily f WHERE (day = date '2024-02-15' OR NOT EXISTS (SELECT 1 FROM cur_price p WHERE p.source_id = f.source_id AND p.model = f.model)) AND NOT EXISTS (SELECT 1 FROM cur_price p WHERE p.source_id = f.source_id AND p.model = f.model AND p.day = date '2024-02-15')",
+    "K15_session_gaps": f"SELECT f.source_id, f.client, f.session_id, CASE WHEN s.session_id IS NULL THEN 'missing' ELSE 'undated' END AS gap FROM (SELECT DISTINCT {SES} FROM cur_daily) f LEFT JOIN cur_session s USING ({SES}) WHERE s.session_id IS NULL OR s.session_id LIKE '%5'",
+    "K15_report_days": f"SELECT source_id, CAST(created_at AS DATE) AS day FROM cur_session WHERE ({SES}) IN (SELECT ({SES}) FROM cur_daily) UNION SELECT source_id, day FROM status WHERE domain = 'report' AND status <> 'complete'",
+    "K15_full_report": f"SELECT source_id FROM every_source WHERE source_id NOT IN (SELECT source_id FROM status WHERE source_id <> 'src-3' AND domain = 'report' AND status = 'complete') OR source_id = 'src-2' AND EXISTS (SELECT 1 FROM cur_daily f LEFT JOIN cur_session s USING ({SES}) WHERE f.source_id = 'src-2' AND (s.session_id IS NULL OR s.created_at IS NULL))",
     "L1_recent_runs": "SELECT source_id, run_id, day, status, started_at, finished_at, host FROM runs ORDER BY started_at DESC, run_id DESC, source_id, day LIMIT 20",
     "L2_audit_sources": "SELECT * FROM audited",
-    "L3_same_host": "SELECT a.source_id, b.source_id AS other_id, a.host FROM audited a JOIN audited b ON a.source_id < b.source_id AND a.host = b.host AND a.os_name = b.os_name AND a.architecture = b.architecture AND a.cpu_count = b.cpu_count AND a.memory_bytes = b.memory_bytes AND coalesce(a.cpu_model = b.cpu_model, TRUE) WHERE a.collected_at >= timestamp '2024-04-01' - INTERVAL 90 DAY AND b.collected_at >= timestamp '2024-04-01' - INTERVAL 90 DAY",
+    "L3_same_host": "SELECT a.source_id, b.source_id AS other_id, a.host FROM audited a JOIN audited b ON a.source_id < b.source_id AND a.host = b.host AND a.os_name = b.os_name AND a.architecture = b.architecture AND a.cpu_count = b.cpu_count AND a.memory_bytes = b.memory_bytes AND coalesce(a.cpu_model = b.cpu_model, TRUE) AND coalesce(a.os_version = b.os_version, TRUE) WHERE a.collected_at >= timestamp '2024-04-01' - INTERVAL 90 DAY AND b.collected_at >= timestamp '2024-04-01' - INTERVAL 90 DAY",
     "L4_unresolved_targets": "SELECT * FROM bad_targets",
     "L5_ingest_issues": f"""WITH t AS ({best("cur_ledger", "source_id, day, domain", "collected_at, finished_at, event_id", "domain <> 'collection'")}), b AS (SELECT source_id, run_id, day, domain, status, collected_at FROM t WHERE status NOT IN ('complete', 'provisional'))
 SELECT * FROM b UNION ALL SELECT source_id, run_id, day, 'collection', status, collected_at FROM bad_runs WHERE run_id NOT IN (SELECT run_id FROM b)""",
+    "L6_newest_open_drift": f"SELECT * FROM cur_drift WHERE NOT resolved AND collected_at >= {NOW} ORDER BY collected_at DESC NULLS LAST, source_id, domain, payload_ver, drift_key LIMIT 20",
+    "L7_newest_open_issues": f"SELECT * FROM cur_issue WHERE NOT resolved AND collected_at >= {NOW} ORDER BY collected_at DESC NULLS LAST, source_id, check_name, issue_key LIMIT 20",
     "L8_backlog": "SELECT source_id, day, arrival_day, rows_seen - rows_done AS pending, CAST(date_diff('day', arrival_day, date '1998-03-01') AS INTEGER) AS age_days, CASE WHEN date_diff('day', arrival_day, date '1998-03-01') >= 80 THEN 'error' ELSE 'warn' END AS severity FROM cand WHERE date_diff('day', arrival_day, date '1998-03-01') >= 2",
     "M1_candidates": "SELECT * FROM cand",
     "M2_compact_daily": raw_gold("(SELECT * FROM raw WHERE day IN (SELECT day FROM cand))", "gold") + " WHERE b.day IN (SELECT day FROM cand)",
+    "M2_published_daily": raw_gold("(SELECT * FROM monthly)", "monthly98"),
+    "M4_published_progress": "SELECT source_id, day, CAST(collected_at AS DATE) AS arrival_day, count(*) AS rows_done FROM monthly GROUP BY ALL",
+    "M5_left_after_expiry": "SELECT DISTINCT CAST(collected_at AS DATE) AS arrival_day FROM monthly WHERE collected_at >= timestamp '1998-01-01'",
+    "M6_as_of_commit": best("monthly", KEY, "collected_at, total_tokens, event_id", f"collected_at >= {CUT97}", DAILY),
+    "P1_ingested_daily": f"SELECT {DAILY} FROM daily_obs",
+    "P2_streamed_daily": f"SELECT {DAILY} FROM history",
+    "N1_session_issues": "SELECT i.event_id, i.check_name, CASE old_check WHEN 'check-1' THEN concat('cli-a/', k.p) WHEN 'check-2' THEN k.p ELSE issue_key END AS issue_key, s.p AS session_id FROM session_issue i LEFT JOIN session_names k ON k.v = i.issue_key LEFT JOIN session_names s ON s.v = i.session_id",
+    "N5_nested_hosts": "SELECT event_id, h AS host, concat('ran on ', h, '.lan') AS line, concat(h, '!') AS first, '<path>' AS place FROM (SELECT event_id, concat('host-', (['alpha','bravo','charlie','delta','echo','foxtrot'])[dense_rank() OVER (ORDER BY host)]) AS h FROM ledger_obs)",
     "M3_compact_tags": "SELECT * EXCLUDE (is_upsert) FROM ranked_tag t WHERE EXISTS (SELECT 1 FROM tag_obs o WHERE o.op = 'delete' AND o.scope = t.scope AND o.client = t.client AND o.workspace = t.workspace AND o.session_id = t.session_id AND o.tag = t.tag)",
     "M4_progress": "SELECT source_id, day, arrival_day, rows_seen AS rows_done FROM cand",
     "M5_expired": "SELECT DISTINCT arrival_day, arrival_day IN (SELECT arrival_day FROM cand) AS pending FROM raw WHERE arrival_day < date '1998-06-01' - 90",

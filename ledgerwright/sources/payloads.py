@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The shapes of the payloads.
@@ -12,11 +14,11 @@ ENTRY = (
 )
 DAILY = f"groupBy string, entries array<struct<{ENTRY}>>, totalInput bigint, totalOutput bigint, totalCacheRead bigint, totalCacheWrite bigint, totalMessages bigint, totalCost double, processingTimeMs bigint, _corrupt_record string"
 REPORT = (
-    "session_id string, client string, workspace string, workspace_label string, created_at string, last_active string, title string, total_input_tokens bigint, total_output_tokens bigint, total_cache_read bigint, "
-    "total_cost double, models_used array<string>, message_count bigint, duration_minutes bigint"
+    "session_id: string, client: string, workspace: string, workspace_label: string, created_at: string, last_active: string, title: string, total_input_tokens: bigint, total_output_tokens: bigint, total_cache_read: bigint, "
+    "total_cost: double, models_used: array<string>, message_count: bigint, duration_minutes: bigint"
 )
 TOKENS5 = "struct<input: bigint, output: bigint, cacheRead: bigint, cacheWrite: bigint, reasoning: bigint>"
-GRAPH = f"meta struct<version: string>, contributions array<struct<date: string, totals: struct<tokens: bigint, cost: double, messages: bigint>, clients array<struct<client: string, modelId: string, providerId: string, tokens: {TOKENS5}, cost: double, messages: bigint>>>>".replace("clients array", "clients: array")
+GRAPH = f"meta struct<version: string>, contributions array<struct<date: string, totals: struct<tokens: bigint, cost: double, messages: bigint>, clients: array<struct<client: string, modelId: string, providerId: string, tokens: {TOKENS5}, cost: double, messages: bigint>>>>"
 PRICING = (
     "modelId string, matchedKey string, source string, resolution struct<kind: string>, "
     "pricing struct<inputCostPerToken: double, outputCostPerToken: double, cacheReadInputTokenCost: double, cacheCreationInputTokenCost: double>"
@@ -56,7 +58,7 @@ def performance(p: Column) -> list[Column]:
 
 def parse_report(payloads: DataFrame) -> DataFrame:
     """Session rows of an array payload, with their place in it; duplicates still apart."""
-    rows = payloads.select("file", "day", F.posexplode(F.from_json("json", f"array<struct<{REPORT.replace(' string', ': string').replace(' bigint', ': bigint').replace(' double', ': double').replace(' array', ': array')}>>")).alias("pos", "r"))
+    rows = payloads.select("file", "day", F.posexplode(F.from_json("json", f"array<struct<{REPORT}>>")).alias("pos", "r"))
     return rows.select("file", "day", "pos", "r.*")
 
 
@@ -135,10 +137,15 @@ def check_domains(rows: DataFrame, identifiers=(), metadata=(), non_negative=(),
     return rows.withColumn("reject_reason", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests])))
 
 
-def input_rows(entries: DataFrame, sessions: DataFrame, contributions: DataFrame) -> DataFrame:
-    """(kind, input_rows) of a run."""
-    parts = [d.agg(F.count(F.lit(1)).alias("input_rows")).select(F.lit(k).alias("kind"), "input_rows") for k, d in (("entries", entries), ("sessions", sessions), ("contributions", contributions))]
-    return parts[0].union(parts[1]).union(parts[2])
+def write_inputs(inputs: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Write the input rows of a run (entries, session rows, contributions) as JSON text, one partition a kind, and count them in that write.
+
+    One job reads every input once; the counts are observed as its rows go by.
+    """
+    rows = reduce(DataFrame.union, [d.select(F.to_json(F.struct("*")).alias("json"), F.lit(k).alias("kind")) for k, d in inputs.items()])
+    seen = Observation()
+    rows.observe(seen, *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in inputs]).write.partitionBy("kind").parquet(folder)
+    return {k: seen.get[k] for k in inputs}
 
 
 def check_batch(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ledgerwright.functions.ids import normal_note_id, note_id
 from ledgerwright.operators import privacy, quality, reports
 from ledgerwright.sources import payloads, tables
-from ledgerwright.streaming import ingest
 
 
 def test_daily_payload_files(spark, tmp_path):
@@ -90,29 +89,6 @@ def test_export_is_anonymised(spark, tmp_path):
         tables.export(rows, str(tmp_path / "x"), "yaml")
 
 
-def test_streaming_ingest_adds_nothing_twice(spark, tmp_path):
-    landing, bronze, check = tmp_path / "in", str(tmp_path / "bronze"), str(tmp_path / "check")
-    landing.mkdir()
-    row = lambda e: json.dumps({"event_id": e, "source_id": "s", "client": "c", "session_id": "x", "note": e, "op": "upsert", "collected_at": "2026-09-02T05:00:00Z"})
-    (landing / "a.json").write_text(row("e1") + "\n" + row("e2") + "\n")
-    ingest.ingest(spark, str(landing), bronze, check, "notes")
-    (landing / "b.json").write_text(row("e2") + "\n" + row("e3") + "\n")
-    ingest.ingest(spark, str(landing), bronze, check, "notes")
-    ingest.ingest(spark, str(landing), bronze, check, "notes")
-    assert sorted(r["event_id"] for r in spark.read.parquet(f"{bronze}/notes").collect()) == ["e1", "e2", "e3"]
-
-
-def test_streamed_state_equals_merges(spark, tmp_path):
-    landing, state = tmp_path / "in", str(tmp_path / "state")
-    landing.mkdir()
-    base = {"source_id": "s", "day": "2026-09-20", "client": "c", "session_id": "x", "model": "m", "output_tokens": 0, "cache_read": 0, "cache_write": 0, "reasoning": 0}
-    for k, (hour, tokens) in enumerate(((10, 100), (12, 80))):
-        (landing / f"{k}.json").write_text(json.dumps({**base, "event_id": f"e{k}", "input_tokens": tokens, "total_tokens": tokens, "collected_at": f"2026-09-20T{hour}:00:00Z"}) + "\n")
-        ingest.fold_stream(spark, str(landing), state, str(tmp_path / "check"))
-    row = spark.read.parquet(f"{state}/v1").first()
-    assert (row["event_id"], row["input_tokens"], row["total_tokens"]) == ("e1", 100, 100)
-
-
 def test_note_ids_equal_uuid5(spark):
     keys = [("s", "c", "x"), ('q"uote', "ünï", "日本"), ("", "a\\b", "line\nbreak")]
     got = [r[0] for r in spark.createDataFrame(keys, "a string, b string, c string").select(note_id("a", "b", "c")).collect()]
@@ -122,35 +98,145 @@ def test_note_ids_equal_uuid5(spark):
     assert [r[0] for r in rows] == [want[0], want[0], None]
 
 
-def test_json_profile_contract_and_drift(spark):
-    docs = ['{"a": 1, "b": [{"c": 1.5}, {"c": null}], "e": []}', '{"a": 2.5, "b": [{"c": 2}], "e": []}', '{"a": 1, "b": [], "x": true}']
-    df = spark.createDataFrame(list(enumerate(docs)), "payload_id int, json string")
-    nodes = quality.json_nodes(df)
-    profile = quality.json_profile(df)
-    got = {r["path"]: (r["types"], r["present"], r["records"]) for r in profile.collect()}
-    assert got["a"] == (["float", "int"], 3, 3) and got["b[].c"] == (["float", "int", "null"], 2, 3) and got["e"] == (["array"], 2, 3) and got["x"] == (["bool"], 1, 3)
-    cols = "path string, types array<string>, required boolean"
-    contract = spark.createDataFrame([("", ["object"], True), ("a", ["float"], True), ("b", ["array"], True), ("b[]", ["object"], True), ("b[].c", ["int", "null"], True), ("e", ["array"], False), ("e[].z", ["str"], True), ("gone", ["int"], True)], cols)
-    waived = quality.empty_array_paths(nodes, contract)
-    assert [r["path"] for r in waived.collect()] == ["e[].z"]
-    drift = {r["drift_key"]: (r["detail"], r["fatal"]) for r in quality.diff_contract(contract, profile, waived).collect()}
-    assert drift == {"missing_field:gone": ("absent", True), "missing_field:b[]": ("2/3", True), "missing_field:b[].c": ("2/3", True), "type_change:b[].c": ("float", True), "unknown_field:x": ("bool", False)}
-
-
-def test_json_profile_has_no_deepest_level(spark):
-    deep = '{"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}'
-    shipped = '{"contributions": [{"clients": [{"tokens": {"cacheRead": 1, "odd": "x\\"[[{{\\\\"}}]}]}'
-    rows = [deep, shipped, "[" * 8 + "1.5" + "]" * 8, "[" * 40, "7", None]
-    df = spark.createDataFrame(list(enumerate(rows)), "payload_id int, json string")
-    assert quality.json_depth(df) == 8
-    got = {(r["payload_id"], r["path"]): r["type"] for r in quality.json_nodes(df).collect()}
-    assert got[0, "a.b.c.d.e.f"] == "object" and got[0, "a.b.c.d.e.f.g"] == "int"
-    assert got[1, "contributions[].clients[].tokens.cacheRead"] == "int" and got[1, "contributions[].clients[].tokens.odd"] == "str"
-    assert got[2, "[]" * 8] == "float" and got[3, ""] == "invalid" and got[4, ""] == "int"
-    profile = quality.json_profile(df.where("payload_id = 0"))
-    contract = quality.build_contract(profile)
-    changed = spark.createDataFrame([(0, deep.replace("1", '"x"'))], "payload_id int, json string")
-    assert [r["drift_key"] for r in quality.diff_contract(contract, quality.json_profile(changed)).collect()] == ["type_change:a.b.c.d.e.f.g"]
+def plain_profile(value):
+    """path: (types, present, records) of one payload, by looking up every path in every member."""
+
+    def kind(v):
+        return "null" if v is None else "bool" if isinstance(v, bool) else {int: "int", float: "float", str: "str", list: "array", dict: "object"}[type(v)]
+
+    def below(v, path):
+        if isinstance(v, dict):
+            for k, x in v.items():
+                yield f"{path}.{k}" if path else k, kind(x)
+                yield from below(x, f"{path}.{k}" if path else k)
+        elif isinstance(v, list):
+            for x in v:
+                yield from below(x, f"{path}[]")
+
+    def arrays(v, path):
+        if isinstance(v, list):
+            yield path, v
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                yield from arrays(x, f"{path}.{k}" if path else k)
+
+    out = {p: ({t}, 1, 1) for p, t in below(value, "") if "[]" not in p}
+    for path, members in arrays(value, ""):
+        each = [dict.fromkeys(p for p, _ in below(m, f"{path}[]")) for m in members]
+        types = {}
+        for m in members:
+            for p, t in below(m, f"{path}[]"):
+                types.setdefault(p, set()).add(t)
+        for p, seen in types.items():
+            out[p] = (seen, len(seen) if all(p in e for e in each) else 0, len(seen))
+    return out
+
+
+def excused(value, path):
+    """Whether every chain that leads to the path ends in an empty array."""
+    names = path.split(".")
+
+    def chains(v, k):
+        name = names[k].removesuffix("[]")
+        if name:
+            if not isinstance(v, dict) or name not in v:
+                return [False]
+            v = v[name]
+        if names[k].endswith("[]"):
+            if not isinstance(v, list):
+                return [False]
+            return [True] if not v else [c for m in v for c in (chains(m, k + 1) if k + 1 < len(names) else [False])]
+        return chains(v, k + 1) if k + 1 < len(names) else [False]
+
+    return all(chains(value, 0))
+
+
+PAYLOADS = [
+    {"b": [{"c": 1}, {}]}, {"b": []}, {"x": 1}, {"b": [{"c": 1.5}, {"c": None}], "e": []}, {"b": {"c": 2}}, {"b": [1, {"c": "x"}], "e": [{"z": [{"w": 1}, {}]}, {"z": []}]}, {"e": [{"z": []}, {"z": []}]},
+    {"e": [{"z": []}, {}]}, {"e": [{"z": {}}]}, [], [{"a": 1}, {"a": True, "b": []}], [[{"a": 1}], [{}]], {"n": [[{"a": 1}], []]}, {"e": [[], [{"z": 1}]]}, {"d": {"e": {"f": [{"g": []}]}}}, {"b": [None]}, 7, "text", {}, None,
+]
+CONTRACT = [("b", ["array"], True), ("b[].c", ["float", "null"], True), ("e", ["array"], False), ("e[].z", ["array"], True), ("e[].z[].w", ["int"], True), ("[].a", ["int"], True), ("d.e.f[].g[].h", ["str"], True), ("n[][].a", ["int"], True), ("gone", ["int"], True)]
+
+
+def test_profiles_contracts_and_waivers_equal_recursion(spark):
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(PAYLOADS)], "payload_id int, json string")
+    profile = quality.payload_profile(quality.json_nodes(df))
+    got = {}
+    for r in profile.where("records > 0").collect():
+        got.setdefault(r["payload_id"], {})[r["path"]] = (set(r["types"]), r["present"], r["records"])
+    want = {k: p for k, v in enumerate(PAYLOADS) if (p := plain_profile(v))}
+    assert got == want
+    contract = spark.createDataFrame(CONTRACT, "path string, types array<string>, required boolean")
+    absent = quality.absent_paths(contract, profile)
+    waived = {tuple(r) for r in quality.empty_array_paths(profile, absent).collect()}
+    gone = {(k, p) for k, v in enumerate(PAYLOADS) for p, _, needed in CONTRACT if needed and p not in plain_profile(v)}
+    assert {(r["payload_id"], r["path"]) for r in absent.collect()} == gone
+    assert waived == {(k, p) for k, p in gone if excused(PAYLOADS[k], p)} and (1, "b[].c") in waived and (2, "b[].c") not in waived
+    events = set()
+    for k, v in enumerate(PAYLOADS):
+        found = plain_profile(v)
+        for p, types, needed in CONTRACT:
+            if p not in found:
+                if needed and (k, p) not in waived:
+                    events.add((k, f"missing_field:{p}", f"required types {', '.join(types)}; absent", True))
+            elif needed and found[p][1] < found[p][2]:
+                events.add((k, f"missing_field:{p}", f"present on {found[p][1]}/{found[p][2]} array members", True))
+            elif found[p][0] - set(types) - ({"int"} if "float" in types else set()):
+                events.add((k, f"type_change:{p}", f"expected {', '.join(types)}; got {', '.join(sorted(found[p][0]))}", needed))
+        events |= {(k, f"unknown_field:{p}", f"types {', '.join(sorted(t))}; tolerated", False) for p, (t, _, _) in found.items() if p not in {c[0] for c in CONTRACT}}
+    assert {(r["payload_id"], r["drift_key"], r["detail"], r["fatal"]) for r in quality.diff_contract(contract, profile).collect()} == events
+    assert (0, "missing_field:b[].c", "present on 0/1 array members", True) in events
+
+
+def test_contracts_of_many_payloads(spark):
+    df = spark.createDataFrame([(0, '{"a": 1, "b": [{"c": 1}, {}]}'), (1, '{"a": 2.5, "b": []}'), (2, '{"a": null}')], "payload_id int, json string")
+    pooled = quality.json_profile(quality.payload_profile(quality.json_nodes(df)))
+    assert {r["path"]: (r["types"], r["present"], r["payloads"]) for r in pooled.collect()} == {"a": (["float", "int", "null"], 3, 3), "b": (["array"], 2, 3), "b[].c": (["int"], 0, 3)}
+    assert {r["path"]: r["required"] for r in quality.build_contract(pooled).collect()} == {"a": True, "b": False, "b[].c": False}
+    assert not quality.build_contract(pooled, ("a",)).where("path = 'a' and required").count()
+
+
+def test_json_has_no_deepest_level(spark):
+    deep = '{"a": ' * 60 + "1" + "}" * 60
+    rows = [deep, '{"odd": "x\\"[[{{"}', "[" * 8 + "1.5" + "]" * 8, "[" * 40, "7", None, '{"x": NaN}', "[" * 100_000]
+    nodes = quality.json_nodes(spark.createDataFrame(list(enumerate(rows)), "payload_id int, json string"))
+    got = {(r["payload_id"], r["path"]): r["type"] for r in nodes.collect()}
+    assert got[0, ".".join("a" * 60)] == "int" and got[1, "odd"] == "str" and got[2, "[]" * 8] == "float" and got[4, ""] == "int"
+    assert all(got[k, ""] == "invalid" for k in (3, 5, 6, 7))
+    assert quality.json_nodes(spark.createDataFrame([], "payload_id int, json string")).isEmpty()
+
+
+def test_paths_with_blanks(spark):
+    cases = {
+        r"saved C:\Users\Bob Smith\my notes.txt, then left": "saved <path>, then left",
+        r"see 'D:\a b\c d' and more": "see <path> and more",
+        r"on \\host\share x\f.csv: read": "on <path>: read",
+        r"in C:\Users\bob now": "in <path> now",
+        r"C:/tmp/x y.log[3]: broken": "<path>[3]: broken",
+        "http://example.org/a is a link": "http:<path> is a link",
+        "ratio 3/4 and ~/x y": "ratio 3/4 and <path> y",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", privacy.redact_paths(F.col("t")).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == cases
+
+
+def test_issue_keys_share_the_pseudonym_of_their_session(spark):
+    rows = [("models_report_session_set", "cli/ses-secret-1", "ses-secret-1"), ("models_report_cost", "ses-secret-2", None), ("models_payload_totals", "2026-01-01/ses-secret-1", None), ("models_report_metric", "cli/a/b", "ses-secret-1")]
+    got = privacy.pseudonymise(spark.createDataFrame(rows, "check_name string, issue_key string, session_id string")).collect()
+    assert [tuple(r)[1:] for r in sorted(got, key=lambda r: [x[0] for x in rows].index(r[0]))] == [("cli/session-bravo", "session-bravo"), ("session-charlie", None), ("2026-01-01/ses-secret-1", None), ("cli/session-alpha", "session-bravo")]
+
+
+def test_hosts_are_replaced_in_nested_text_longest_first(spark):
+    rows = [("box", ("on box2 and box", {"k": ["box2:80", None]}, 5), None), ("box2", None, "box2")]
+    df = spark.createDataFrame(rows, "host string, info struct<line: string, more: map<string, array<string>>, n: int>, note string")
+    got = sorted(map(tuple, privacy.share_safe(df).collect()), key=lambda r: r[0])
+    assert got[0][0] == "host-alpha" and tuple(got[0][1]) == ("on host-bravo and host-alpha", {"k": ["host-bravo:80", None]}, 5) and got[1] == ("host-bravo", None, "[redacted]")
+
+
+def test_input_rows_are_counted_by_the_write(spark, tmp_path):
+    counts = payloads.write_inputs({"entries": spark.range(7), "sessions": spark.range(0), "contributions": spark.range(2).withColumn("x", F.lit("y"))}, str(tmp_path / "in"))
+    assert counts == {"entries": 7, "sessions": 0, "contributions": 2}
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 9
 
 
 def test_redaction(spark):
