@@ -157,13 +157,13 @@ def _json_payloads(x: Ledger) -> DataFrame:
 
 
 def _daily_payloads(x: Ledger) -> DataFrame:
-    """One JSON payload a source and day, written from the observations as a scanner would."""
+    """JSON payloads of a source and day, one a session, written from the observations as a scanner would; none grows with the table."""
     e = F.struct(
         "client", F.col("session_id").alias("sessionId"), "model", "provider", F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite"),
         "reasoning", F.col("message_count").alias("messageCount"), F.col("reported_cost_usd").alias("cost"), F.struct(F.col("perf_duration_ms").alias("totalDurationMs"), F.col("perf_timed_tokens").alias("timedTokens")).alias("performance"),
     )
-    rows = x.obs("daily_obs").groupBy("source_id", "day").agg(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))).alias("s"), F.sum("input_tokens").alias("t"))
-    return rows.select(F.concat("source_id", F.lit("-"), F.col("day").cast("string"), F.lit(".json")).alias("file"), "day", F.to_json(F.struct(F.lit("model").alias("groupBy"), F.transform("s", lambda a: a["e"]).alias("entries"), F.col("t").alias("totalInput"))).alias("json"))
+    rows = x.obs("daily_obs").groupBy("source_id", "day", "session_id").agg(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))).alias("s"), F.sum("input_tokens").alias("t"))
+    return rows.select(F.concat(F.concat_ws("-", "source_id", F.col("day").cast("string"), "session_id"), F.lit(".json")).alias("file"), "day", F.to_json(F.struct(F.lit("model").alias("groupBy"), F.transform("s", lambda a: a["e"]).alias("entries"), F.col("t").alias("totalInput"))).alias("json"))
 
 
 def _graph_payloads(x: Ledger) -> DataFrame:
@@ -183,10 +183,10 @@ def _report_rows(x: Ledger) -> DataFrame:
 
 
 def _report_payloads(x: Ledger) -> DataFrame:
-    """One JSON array of sessions for each source and day of creation."""
+    """A JSON array of sessions for each source, day of creation and session id, so that no array grows with the table."""
     r = F.struct("session_id", "client", "workspace", "workspace_label", F.unix_millis(F.col("created_at").cast("timestamp")).cast("string").alias("created_at"), "message_count", "duration_minutes")
-    rows = x.obs("session_obs").groupBy("source_id", F.to_date("created_at").alias("day")).agg(F.to_json(F.collect_list(r)).alias("json"))
-    return rows.select(F.concat_ws("-", "source_id", F.col("day").cast("string")).alias("file"), "day", "json")
+    rows = x.obs("session_obs").groupBy("source_id", F.to_date("created_at").alias("day"), "session_id").agg(F.to_json(F.collect_list(r)).alias("json"))
+    return rows.select(F.concat_ws("-", "source_id", F.col("day").cast("string"), "session_id").alias("file"), "day", "json")
 
 
 def _profile(payloads_: DataFrame) -> DataFrame:

@@ -191,8 +191,8 @@ def sorts() -> str:
 
 NOW = "timestamp '2024-04-20' - INTERVAL 90 DAY"
 QUERIES = {
-    "A1_daily_payload_scan": "SELECT concat(source_id, '-', day, '.json') AS file, day, client, session_id, model, input_tokens, coalesce(cache_read, 0) AS cache_read, total_tokens, perf_duration_ms FROM daily_obs",
-    "A2_report_scan": "SELECT concat(source_id, '-', CAST(created_at AS DATE)) AS file, client, session_id, workspace, message_count, duration_minutes, created_at FROM session_obs",
+    "A1_daily_payload_scan": "SELECT concat(source_id, '-', day, '-', session_id, '.json') AS file, day, client, session_id, model, input_tokens, coalesce(cache_read, 0) AS cache_read, total_tokens, perf_duration_ms FROM daily_obs",
+    "A2_report_scan": "SELECT concat(source_id, '-', CAST(created_at AS DATE), '-', session_id) AS file, client, session_id, workspace, message_count, duration_minutes, created_at FROM session_obs",
     "A3_contribution_days": "SELECT DISTINCT source_id AS file, '1.0' AS version, day AS date FROM daily_obs",
     "A4_rate_card_scan": "SELECT event_id AS file, model, source, price_input_per_token, price_output_per_token FROM price_obs",
     "A7_upsert_sessions": best("session_obs", SES, "collected_at, event_id", columns=f"event_id, {SES}, workspace, min(first_seen_at) OVER (PARTITION BY {SES}) AS first_seen_at, max(last_seen_at) OVER (PARTITION BY {SES}) AS last_seen_at"),
