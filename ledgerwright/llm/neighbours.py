@@ -126,22 +126,30 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``nearest`` largest inner products found for each row where ``is_query`` holds.
 
-    ``is_query`` is a condition on vec_id. Unusable vectors (see :func:`usable`) take no part, nor do those whose
-    length isn't the most frequent one; rows that repeat count once; an empty table gives no rows. Of equal vectors only
+    ``is_query`` is a condition on vec_id. Unusable vectors (see :func:`usable`) take no part. Vectors of each length are searched apart,
+    since only they have inner products. Rows that repeat count once; if one vec_id has several vectors, each is a query and a candidate,
+    no candidate being the query's own id, and of the pairs of two ids the largest product counts. An empty table gives no rows. Of equal vectors only
     the first ``nearest`` + 1 by vec_id are indexed, since ties go to the smaller vec_id and no other can be returned.
     All rows are indexed; the split points come from a bounded sample. A leaf of more than PART_ROWS rows is
     dealt out in parts, each of which meets all of the leaf's queries. A query visits ``visited`` leaves, or as many
     more as a sample of the queries needs to find ``recall`` of their exact neighbours, so the share of the index follows its size.
     """
     spark = vectors.sparkSession
-    good = usable(vectors, id_column, vector_column)
-    good = cut(good)
-    sizes = good.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    result = "query_id long, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes["dim"], sizes["count"]
-    good = good.where(F.size("embedding") == dim)
+    good = cut(usable(vectors, id_column, vector_column).withColumn("dim", F.size("embedding")))
+    found = spark.createDataFrame([], FOUND)
+    for r in good.groupBy("dim").count().orderBy("dim").collect():  # a row for each vector length
+        found = found.unionByName(_candidates(good.where(F.col("dim") == r["dim"]).drop("dim"), is_query, r["dim"], r["count"], nearest, trees, visited, leaf_rows, recall))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _candidates(good: DataFrame, is_query, dim: int, n: int, nearest: int, trees: int, visited: int, leaf_rows: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score) of the ``nearest`` of each leaf that a query visits, over ``n`` vectors of one length."""
+    spark = good.sparkSession
     copies = W.partitionBy("embedding").orderBy("vec_id")
     index = good.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= nearest + 1).drop("copy")
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n))
@@ -235,10 +243,7 @@ def search(
             out.append(pa.table({"query_id": askers[k + q], "vec_id": ids[c], "score": score[q, c]}))
         return pa.concat_tables(out)
 
-    found = dealt.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(rank, result)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(rank, FOUND)
 
 
 def op2_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

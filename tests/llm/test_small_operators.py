@@ -272,3 +272,20 @@ def test_neighbours_visit_what_recall_needs(spark):
         score[q] = -np.inf
         hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
     assert hits / (200 * 20) >= 0.9
+
+
+def test_neighbours_of_two_lengths_and_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.standard_normal(d).tolist()) for d in (4, 7) for k in range(0, 90, 1 if d == 4 else 3)] + [(200 + k, rng.standard_normal(7).tolist()) for k in range(40)]
+    df = spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    want = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            for c, w in rows:
+                if c != q and len(v) == len(w):
+                    pairs = want.setdefault(q, {})
+                    pairs[c] = max(pairs.get(c, -np.inf), round(float(np.dot(v, w)), 9))
+    assert got == {q: sorted(p.items(), key=lambda x: (-x[1], x[0]))[:20] for q, p in want.items()}
