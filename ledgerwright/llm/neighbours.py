@@ -25,6 +25,8 @@ LEAF_ROWS = 800
 SAMPLE = 20_000
 #: Rows of one leaf that meet its queries in one task; larger leaves are dealt out in parts.
 PART_ROWS = 8192
+#: Queries that meet one part of a leaf in a task; those of a leaf that more of them visit are dealt out too.
+PART_QUERIES = 2048
 NEAREST = 20
 SEED = 7
 
@@ -122,7 +124,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query, nearest: int = NEAREST, trees: int = TREES, visited: int = VISITED, leaf_rows: int = LEAF_ROWS, id_column: str = "vec_id", vector_column: str = "embedding", recall: float = RECALL
+    vectors: DataFrame, is_query, nearest: int = NEAREST, trees: int = TREES, visited: int = VISITED, leaf_rows: int = LEAF_ROWS, id_column: str = "vec_id", vector_column: str = "embedding", recall: float = RECALL, part_queries: int = PART_QUERIES
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``nearest`` largest inner products found for each row where ``is_query`` holds.
 
@@ -130,15 +132,15 @@ def search(
     since only they have inner products. Rows that repeat count once; if one vec_id has several vectors, each is a query and a candidate,
     no candidate being the query's own id, and of the pairs of two ids the largest product counts. An empty table gives no rows. Of equal vectors only
     the first ``nearest`` + 1 by vec_id are indexed, since ties go to the smaller vec_id and no other can be returned.
-    All rows are indexed; the split points come from a bounded sample. A leaf of more than PART_ROWS rows is
-    dealt out in parts, each of which meets all of the leaf's queries. A query visits ``visited`` leaves, or as many
+    All rows are indexed; the split points come from a bounded sample. A leaf of more than PART_ROWS rows is dealt out in parts, and
+    so are its queries beyond ``part_queries``; every part of rows meets every part of queries in a task of its own. A query visits ``visited`` leaves, or as many
     more as a sample of the queries needs to find ``recall`` of their exact neighbours, so the share of the index follows its size.
     """
     spark = vectors.sparkSession
     good = cut(usable(vectors, id_column, vector_column).withColumn("dim", F.size("embedding")))
     found = spark.createDataFrame([], FOUND)
     for r in good.groupBy("dim").count().orderBy("dim").collect():  # a row for each vector length
-        found = found.unionByName(_candidates(good.where(F.col("dim") == r["dim"]).drop("dim"), is_query, r["dim"], r["count"], nearest, trees, visited, leaf_rows, recall))
+        found = found.unionByName(_candidates(good.where(F.col("dim") == r["dim"]).drop("dim"), is_query, r["dim"], r["count"], nearest, trees, visited, leaf_rows, recall, part_queries))
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
@@ -147,7 +149,7 @@ def search(
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _candidates(good: DataFrame, is_query, dim: int, n: int, nearest: int, trees: int, visited: int, leaf_rows: int, recall: float) -> DataFrame:
+def _candidates(good: DataFrame, is_query, dim: int, n: int, nearest: int, trees: int, visited: int, leaf_rows: int, recall: float, part_queries: int) -> DataFrame:
     """(query_id, vec_id, score) of the ``nearest`` of each leaf that a query visits, over ``n`` vectors of one length."""
     spark = good.sparkSession
     copies = W.partitionBy("embedding").orderBy("vec_id")
@@ -200,26 +202,42 @@ def _candidates(good: DataFrame, is_query, dim: int, n: int, nearest: int, trees
             truth[r["q"]].append(r["embedding"])
         visited = max(visited, visits_for(forest, trials, [np.array(x, np.float64).reshape(-1, dim) for x in truth], recall))
     parts = np.maximum(1, -(-rows // PART_ROWS))
-    counted = spark.sparkContext.broadcast((forest, parts))
+    fitted = spark.sparkContext.broadcast(forest)
+
+    def visit(batches):
+        for batch in batches:
+            leaf = [x for vector in matrix(batch.column(1), dim) for x in fitted.value.visit(vector, visited, (nearest + 1) * trees)]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64())], ["leaf"])
+
+    askers = good.where(is_query).select("vec_id", "embedding")
+    groups = np.ones(len(rows), np.int64)
+    for r in askers.mapInArrow(visit, "leaf long").groupBy("leaf").count().collect():  # trees * 2 ** depth leaves at most
+        groups[r["leaf"]] = -(-r["count"] // part_queries)
+    counted = spark.sparkContext.broadcast((forest, parts, groups))
 
     def ask(batches):
-        forest, parts = counted.value
+        forest, parts, groups = counted.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             leaf, part, who = [], [], []
             for k, vector in enumerate(matrix(batch.column(1), dim)):
                 for x in forest.visit(vector, visited, (nearest + 1) * trees):
+                    own = hash((int(ids[k]), x)) % int(groups[x]) if groups[x] > 1 else 0
                     leaf += [x] * int(parts[x])
-                    part += range(int(parts[x]))
+                    part += [own * int(parts[x]) + p for p in range(int(parts[x]))]
                     who += [k] * int(parts[x])
             take = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(ids).take(take), batch.column(1).take(take)], ["leaf", "part", "query_id", "embedding"])
 
-    n_parts = F.lit(1)
-    for x in np.flatnonzero(parts > 1):
-        n_parts = F.when(F.col("leaf") == int(x), F.lit(int(parts[x]))).otherwise(n_parts)
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts.cast("long")))
-    asked = good.where(is_query).select("vec_id", "embedding").mapInArrow(ask, "leaf long, part long, query_id long, embedding array<double>")
+    def by_leaf(counts: np.ndarray):
+        value = F.lit(1)
+        for x in np.flatnonzero(counts > 1):
+            value = F.when(F.col("leaf") == int(x), F.lit(int(counts[x]))).otherwise(value)
+        return value.cast("long")
+
+    dealt = placed.withColumn("n", by_leaf(parts)).withColumn("group", F.explode(F.sequence(F.lit(0), by_leaf(groups) - 1)))
+    dealt = dealt.select("leaf", (F.col("group") * F.col("n") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).alias("part"), "vec_id", "embedding")
+    asked = askers.mapInArrow(ask, "leaf long, part long, query_id long, embedding array<double>")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

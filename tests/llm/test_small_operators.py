@@ -289,3 +289,7 @@ def test_neighbours_of_two_lengths_and_of_repeated_ids(spark):
                     pairs = want.setdefault(q, {})
                     pairs[c] = max(pairs.get(c, -np.inf), round(float(np.dot(v, w)), 9))
     assert got == {q: sorted(p.items(), key=lambda x: (-x[1], x[0]))[:20] for q, p in want.items()}
+    parts = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, part_queries=2).orderBy("query_id", "rank").collect():
+        parts.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert parts == got
