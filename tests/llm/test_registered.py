@@ -58,6 +58,21 @@ def test_op5(spark, sf_dir, texts):
     assert len(kept) > 0.5 * len(seen)
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_op5_finds_nearly_all_pairs_of_near_lines(spark, folder):
+    """Pairs of different lines of 12 to 400 code points with an edit similarity of 0.9, found without any hash: of each pair one goes at least, in nine of ten."""
+    from test_duplicates import near_pairs
+
+    d = f"/root/testdata/{folder}"
+    normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.translate({c: c + 32 for c in range(65, 91)})).strip(" ")
+    texts_ = [r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("text").collect()]
+    lines = sorted({x for t in texts_ for x in map(normal, t.split("\n")) if 12 <= len(x) <= 400})
+    pairs = near_pairs(lines)
+    kept = {normal(x) for r in QUERIES["op5_line_dedup"](spark, d).select("text").collect() for x in (r["text"] or "").split("\n")}
+    found = [not (a in kept and b in kept) for a, b in pairs]
+    assert len(pairs) >= 5 and sum(found) >= 0.9 * len(found)
+
+
 def test_op6(spark, sf_dir, texts):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for r in QUERIES["op6_personal_data"](spark, sf_dir).collect():
