@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.functions.ids import note_id
+from ledgerwright.functions.ids import event_id, note_id
 from ledgerwright.operators import audit, calendar, collapse, compaction, curation, pricing, privacy, quality, reports
 from ledgerwright.plans import fixtures
 from ledgerwright.sources import payloads, scratch, tables, warehouse
@@ -355,6 +355,14 @@ def _streamed(x: Ledger) -> DataFrame:
     return ingest.folded(x.spark, f"{beside}/out", fields)
 
 
+def _appended(x: Ledger) -> DataFrame:
+    """Prices appended by day of arrival and scanned back with the table's own schema."""
+    folder = scratch.shared_folder(x.spark)
+    rows = x.obs("price_obs").withColumn("collected_at", F.col("collected_at").cast("timestamp"))
+    tables.append(rows, folder, "price_versions")
+    return tables.scan(x.spark, folder, "price_versions").withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
+
+
 def _exported(x: Ledger) -> DataFrame:
     folder = scratch.shared_folder(x.spark)
     tables.export(x.prices, folder, "json", raw=True)
@@ -402,10 +410,11 @@ DAILY = ("event_id", "source_id", "day", "client", "session_id", "model", *repor
 COST = ("source_id", "day", "client", "session_id", "model", "rate_day", "cost_usd", "cost_basis", "ms_per_1k_tokens")
 
 QUERIES = {
-    "A1_daily_payload_scan": lambda x: payloads.parse_daily(_daily_payloads(x))[0].select("file", "day", "client", "session_id", "model", "input_tokens", "cache_read", "total_tokens", "perf_duration_ms"),
+    "A1_daily_payload_scan": lambda x: payloads.parse_daily(_daily_payloads(x))[0].select("file", "day", "client", "session_id", "model", "input_tokens", "output_tokens", "cache_read", "cache_write", "reasoning", "total_tokens", "message_count", "perf_duration_ms"),
     "A2_report_scan": lambda x: payloads.parse_report(_report_payloads(x)).select("file", "client", "session_id", "workspace", "message_count", "duration_minutes", payloads.to_time(F.col("created_at")).cast("timestamp_ntz").alias("created_at")),
     "A3_contribution_days": lambda x: payloads.parse_graph(_graph_payloads(x))[0],
     "A4_rate_card_scan": lambda x: payloads.parse_pricing(_pricing_payloads(x)).select("file", "model", "source", "price_input_per_token", "price_output_per_token"),
+    "A5_typed_scan": _appended,
     "A7_upsert_sessions": lambda x: _upsert(x, "sessions", "session_obs", "timestamp_ntz'1998-01-01 00:00:00'")[0].select("event_id", "source_id", "client", "session_id", "workspace", "first_seen_at", "last_seen_at"),
     "A7_upsert_daily": lambda x: _plain(_upsert(x, "daily_stats", "daily_obs", "timestamp_ntz'1998-01-01 00:00:00'")[0], *DAILY),
     "A7_upsert_counts": lambda x: _upsert(x, "daily_stats", "daily_obs", "timestamp_ntz'1998-01-01 00:00:00'")[1],
@@ -426,6 +435,7 @@ QUERIES = {
     "B10_batch_checks": lambda x: payloads.check_batch(x.obs("daily_obs"), ["source_id", "day", "client", "session_id", "model"]),
     "B11_merge_sessions": lambda x: payloads.merge_sessions(_report_rows(x))[0].select("client", "session_id", "created_at", "last_active", F.array_join("models_used", ",").alias("models")),
     "B11_session_conflicts": lambda x: payloads.merge_sessions(_report_rows(x))[1],
+    "B12_event_ids": lambda x: x.obs("ledger_obs").select("event_id", event_id("source_id", "run_id", F.col("day"), "domain").alias("made")),
     "B13_stamped_ledger": lambda x: quality.stamp_ledger(_targets(x), _run(x)).select("run_id", "source_id", "day", "domain", "status", "expected_count", "succeeded_count", "failure_code", "host", "os_version", "collected_at"),
     "B13_stamped_issues": lambda x: quality.stamp_diagnostics(x.issues.where("issue_key like '%3'").select("check_name", "issue_key", "message"), x.issues.where("issue_key like '%4'").select("check_name", "issue_key", "message", "created_at", "observation_count"), _run(x)),
     "B14_input_rows": _input_rows,

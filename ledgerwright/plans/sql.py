@@ -191,10 +191,11 @@ def sorts() -> str:
 
 NOW = "timestamp '2024-04-20' - INTERVAL 90 DAY"
 QUERIES = {
-    "A1_daily_payload_scan": "SELECT concat(source_id, '-', day, '-', session_id, '.json') AS file, day, client, session_id, model, input_tokens, coalesce(cache_read, 0) AS cache_read, total_tokens, perf_duration_ms FROM daily_obs",
+    "A1_daily_payload_scan": "SELECT concat(source_id, '-', day, '-', session_id, '.json') AS file, day, client, session_id, model, input_tokens, output_tokens, coalesce(cache_read, 0) AS cache_read, cache_write, reasoning, total_tokens, message_count, perf_duration_ms FROM daily_obs",
     "A2_report_scan": "SELECT concat(source_id, '-', CAST(created_at AS DATE), '-', session_id) AS file, client, session_id, workspace, message_count, duration_minutes, created_at FROM session_obs",
     "A3_contribution_days": "SELECT DISTINCT source_id AS file, '1.0' AS version, day AS date FROM daily_obs",
     "A4_rate_card_scan": "SELECT event_id AS file, model, source, price_input_per_token, price_output_per_token FROM price_obs",
+    "A5_typed_scan": "SELECT event_id, source_id, model, source, NULL AS matched_key, NULL AS match_kind, day, price_input_per_token, price_output_per_token, price_cache_read_per_token, price_cache_write_per_token, collected_at FROM price_obs",
     "A7_upsert_sessions": best("session_obs", SES, "collected_at, event_id", columns=f"event_id, {SES}, workspace, min(first_seen_at) OVER (PARTITION BY {SES}) AS first_seen_at, max(last_seen_at) OVER (PARTITION BY {SES}) AS last_seen_at"),
     "A7_upsert_daily": "WITH h AS (SELECT " + KEY + ", " + ", ".join(f"max({c}) AS {c}" for c in ALL) + " FROM daily_obs WHERE collected_at >= timestamp '1998-01-01' GROUP BY ALL) SELECT coalesce(b.event_id, a.event_id) AS event_id, " + KEY + ", " + ", ".join(f"greatest(a.{c}, h.{c}) AS {c}" for c in TOK)
     + ", CAST(greatest(a.total_tokens, h.total_tokens, " + " + ".join(f"coalesce(greatest(a.{c}, h.{c}), 0)" for c in TOK) + f") AS BIGINT) AS total_tokens FROM daily98a a FULL JOIN (SELECT {KEY}, event_id FROM daily98b) b USING ({KEY}) LEFT JOIN h USING ({KEY})",
@@ -221,6 +222,7 @@ SELECT version_id, reason IS NOT NULL AS keep, reason FROM (SELECT version_id, C
     "B10_batch_checks": f"SELECT CAST(0 AS BIGINT) AS nulls, count(DISTINCT source_id) AS sources, CAST(0 AS BIGINT) AS bad_ids, (SELECT count(*) FROM (SELECT 1 FROM daily_obs GROUP BY {KEY} HAVING count(*) > 1)) AS repeated_keys FROM daily_obs",
     "B11_merge_sessions": "SELECT client, session_id, min(created_at) AS created_at, max(last_active) AS last_active, array_to_string(list_sort(list_distinct(flatten(list([concat('model-', message_count % 5), 'model-0'])))), ',') AS models FROM session_obs GROUP BY client, session_id HAVING NOT (count(DISTINCT CASE WHEN session_id LIKE '%7' THEN workspace ELSE 'ws' END) > 1 OR count(DISTINCT workspace_label) > 1)",
     "B11_session_conflicts": "SELECT client, session_id FROM session_obs GROUP BY client, session_id HAVING count(DISTINCT CASE WHEN session_id LIKE '%7' THEN workspace ELSE 'ws' END) > 1 OR count(DISTINCT workspace_label) > 1",
+    "B12_event_ids": "SELECT event_id, md5(concat_ws('|', source_id, run_id, day, domain)) AS made FROM ledger_obs",
     "B13_stamped_ledger": """SELECT 'run-9' AS run_id, 'src-1' AS source_id, day, domain, CASE WHEN domain = 'models' AND status = 'complete' AND day >= date '2024-02-15' THEN 'provisional' ELSE status END AS status, expected_count, succeeded_count, failure_code, 'host-1' AS host, '6.1' AS os_version, timestamp '2024-02-15 08:00:00' AS collected_at
 FROM (SELECT * FROM targets UNION ALL SELECT date '2024-02-15', 'collection', 'ok', NULL, NULL, NULL)""",
     "B13_stamped_issues": "SELECT 'run-9' AS run_id, 'src-1' AS source_id, check_name, issue_key, CASE WHEN issue_key LIKE '%3' THEN message END AS message, timestamp '2024-02-15 09:00:00' AS collected_at, timestamp '2024-02-15 09:00:00' AS created_at, issue_key LIKE '%4' AS resolved, CAST(CASE WHEN issue_key LIKE '%3' THEN 1 ELSE 0 END AS BIGINT) AS observation_count FROM cur_issue WHERE issue_key LIKE '%3' OR issue_key LIKE '%4'",
