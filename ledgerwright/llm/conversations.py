@@ -324,3 +324,23 @@ def report(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return report(damage(conversations), conversations)
+
+
+#: The same by dynamic programming over the rows: after each row the cheapest, then least audit that leads to each state of the roles.
+OP11_SQL = r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS id FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda ch: ord(ch)::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, n: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, regexp_replace(text, '[ \t\n\x0B\x0C\r]+$', '') AS bare FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+ins(q, r, letters, made) AS (VALUES ('', '', '', []), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']), ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']), ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:']), ('a', 'a', 'II', ['user:', 'assistant:'])),
+edit(q, letter, initial, r, cost) AS (VALUES ('', 'D', NULL, '', 3), ('s', 'D', NULL, 's', 3), ('u', 'D', NULL, 'u', 3), ('a', 'D', NULL, 'a', 3), ('', 'R', NULL, 'u', 2), ('s', 'R', NULL, 'u', 2), ('u', 'R', NULL, 'a', 2), ('a', 'R', NULL, 'u', 2), ('', 'K', 's', 's', 0), ('', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0), ('a', 'K', 'u', 'u', 0)),
+w(conv_id, i, q, cost, audit, made) AS (SELECT conv_id, 0::BIGINT, '', 0::BIGINT, '', CAST([] AS VARCHAR[]) FROM s
+  UNION ALL SELECT w.conv_id, f.i, edit.r, w.cost + 2 * length(ins.letters) + edit.cost + CASE WHEN f.fault = 'truncated' AND edit.letter <> 'D' THEN 1 ELSE 0 END, w.audit || ins.letters || edit.letter,
+    list_concat(w.made, ins.made, CASE edit.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE edit.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] END)
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN ins ON ins.q = w.q JOIN edit ON edit.q = ins.r AND (edit.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (edit.initial IS NULL OR edit.initial = f.initial)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id, edit.r ORDER BY w.cost + 2 * length(ins.letters) + edit.cost + CASE WHEN f.fault = 'truncated' AND edit.letter <> 'D' THEN 1 ELSE 0 END, w.audit || ins.letters || edit.letter) = 1),
+e AS (SELECT w.conv_id, w.cost + 2 * length(ins.letters) AS cost, w.audit || ins.letters AS audit, list_concat(w.made, ins.made) AS made FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i JOIN ins ON ins.q = w.q AND ins.r IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 2 * length(ins.letters), w.audit || ins.letters) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""

@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.OP7_SQL,
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op10_source_mixing": mixing.mixing_sql(),
+        "op11_conversation_repair": conversations.OP11_SQL,
         "op12_collocations": collocations.OP12_SQL,
         "op13_embedding_near_dedup": embeddings.OP13_SQL,
     }
