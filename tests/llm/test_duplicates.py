@@ -138,6 +138,20 @@ def near_pairs(lines):
     return [(lines[a], lines[b]) for a, b in sorted(met) if within(lines[a], lines[b], int(0.1 * max(len(lines[a]), len(lines[b])) + 1e-9))]
 
 
+def test_aligned_edits_are_never_too_few():
+    rng = random.Random(2)
+    for _ in range(400):
+        words = [rng.choice(["a", "bc", "bcd", "xyz", "longer"]) for _ in range(rng.randrange(1, 12))]
+        other = list(words)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(other) + 1)
+            other[k : k + rng.randrange(3)] = [rng.choice(["q", "bcx", "longest"]) for _ in range(rng.randrange(3))]
+        other = other or ["z"]
+        found, least = lines.aligned_edits(words, other, 1000), edits(" ".join(words), " ".join(other))
+        assert found >= least
+    assert lines.aligned_edits("a b c d".split(), "a c d".split(), 5) == 2 and lines.aligned_edits("a b".split(), "a b new".split(), 5) == 4 and lines.aligned_edits(["typos"], ["tybos"], 5) == 1
+
+
 def test_lines_keep_one_of_each_group(spark):
     licence = "This work is licensed under the terms of the General Public License, version 3, or any later one."
     near = licence.replace("later one", "later ones")
