@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwright.operators.collapse import upsert_flagged
-from ledgerwright.operators.compaction import candidates, compact_daily
+from ledgerwright.operators.compaction import candidates, compact_daily, expired
 
 #: How Spark names the partition of null, so that it can be asked for like any other.
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -148,19 +148,16 @@ class Warehouse:
         No other writer may be at work, since what it has staged isn't named yet.
         """
         head = self.head()
-        live = {f.rpartition("/")[0] if f.count("/") > 1 else f for n in range(max(1, head.number - keep + 1), head.number + 1) for held in self.at(n).tables.values() for own in held["parts"].values() for f in own}
-        named = {f for n in range(max(1, head.number - keep + 1), head.number + 1) for held in self.at(n).tables.values() for own in held["parts"].values() for f in own}
+        commits = [self.at(n) for n in range(max(1, head.number - keep + 1), head.number + 1)]
+        named = {f for c in commits for held in c.tables.values() for own in held["parts"].values() for f in own}
+        stages = {f.rpartition("/")[0] for f in named}
         gone = []
-        for table in self._listed(""):
-            if table.startswith("_"):
-                continue
-            for stage in self._listed(table):
-                whole = f"{table}/{stage}" not in live
-                for name in [""] if whole else [n for n in self._listed(f"{table}/{stage}") if n.startswith("part__=") and f"{table}/{stage}/{n}" not in named]:
-                    folder = f"{table}/{stage}/{name}".rstrip("/")
-                    path = self._path(folder)
-                    path.getFileSystem(self._conf).delete(path, True)
-                    gone.append(folder)
+        for table in [t for t in self._listed("") if not t.startswith("_")]:
+            for stage in [f"{table}/{n}" for n in self._listed(table)]:
+                gone += [f"{stage}/{n}" for n in self._listed(stage) if n.startswith("part__=") and f"{stage}/{n}" not in named] if stage in stages else [stage]
+        for folder in gone:
+            path = self._path(folder)
+            path.getFileSystem(self._conf).delete(path, True)
         return gone
 
 
@@ -229,8 +226,6 @@ def publish_compaction(warehouse: Warehouse, run: str, raw: str = "raw_daily_sta
 
 def expire(warehouse: Warehouse, run: str, today: str, days: int = 90, raw: str = "raw_daily_stats", progress: str = "compaction_ledger") -> list[str]:
     """Drop the arrival days of a raw table that are older than ``days`` and compacted whole, in one commit; those with rows that wait for compaction stay."""
-    from ledgerwright.operators.compaction import expired
-
     base = warehouse.head()
     arrived = warehouse.read(raw, at=base).withColumn("arrival_day", F.to_date("collected_at"))
     old = expired(arrived, warehouse.read(progress, at=base), F.to_date(F.lit(today)), days).where("not pending")
