@@ -228,3 +228,10 @@ def test_resolved_sightings_rank_first_at_one_time(spark):
     cols = SEEN.replace("domain string, payload_ver string, drift_key string", "check_name string, issue_key string") + ", message string"
     said = [("a", "s", "c", "k", T0, T0, True, 0, "resolved"), ("b", "s", "c", "k", T0, T0, False, 1, "open"), ("c", "s", "c", "k", T0, T0, True, 1, None)]
     assert collapse.current(spark.createDataFrame(said, cols), "reconciliation_issues").first()["message"] == "resolved"
+
+
+def test_streamed_state_is_kept_by_aggregates_and_no_python_call_a_key(spark, tmp_path):
+    fields = spark.createDataFrame([], DAILY).schema
+    land(tmp_path / "in", "a.json", FACTS[:2])
+    query = ingest.fold_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), fields)
+    assert [s["operatorName"] for s in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
