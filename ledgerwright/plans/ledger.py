@@ -190,7 +190,7 @@ def _report_payloads(x: Ledger) -> DataFrame:
 
 
 def _profile(payloads_: DataFrame) -> DataFrame:
-    return quality.payload_profile(quality.json_nodes(payloads_))
+    return quality.profiles(payloads_)
 
 
 CONTRACT = "path string, types array<string>, required boolean"
@@ -218,8 +218,7 @@ def _nested_contract(x: Ledger) -> DataFrame:
 
 
 def _waived(x: Ledger) -> DataFrame:
-    profile = _profile(_nested_payloads(x))
-    return quality.empty_array_paths(profile, quality.absent_paths(_nested_contract(x), profile))
+    return quality.waived_paths(_nested_contract(x), _profile(_nested_payloads(x)))
 
 
 def _input_rows(x: Ledger) -> DataFrame:
@@ -489,7 +488,7 @@ QUERIES = {
     "I1_filtered_models": lambda x: reports.report_models(reports.report_where(x.usage, reports.Filters(source="src-1", workspace="ws-7"))),
     "I2_relation_query": lambda x: reports.relation_query({"current_price_versions": x.prices}, "current_price_versions", {"source_id": "src-2", "source": "Custom"}, 10_000),
     "I3_day_bounds": lambda x: reports.report_daily(reports.report_where(x.usage, reports.Filters(since="2024-02-01", until="2024-02-29"))),
-    "K1_json_profile": lambda x: quality.json_profile(_profile(_json_payloads(x))).select("path", F.array_join("types", ",").alias("types"), "present", "payloads"),
+    "K1_json_profile": lambda x: quality.json_profile(_profile(_json_payloads(x)), root=True).select("path", F.array_join("types", ",").alias("types"), "present", "payloads"),
     "K1_nested_profile": lambda x: quality.json_profile(_profile(_nested_payloads(x))).select("path", F.array_join("types", ",").alias("types"), "present", "payloads"),
     "K2_contract": lambda x: quality.build_contract(quality.json_profile(_profile(_nested_payloads(x))), ("tag",)).select("path", F.array_join("types", ",").alias("types"), "required"),
     "K3_contract_diff": _drift,

@@ -277,7 +277,7 @@ FROM (SELECT * FROM targets UNION ALL SELECT date '2024-02-15', 'collection', 'o
     "I1_filtered_models": MODEL_REPORT.format("(SELECT * FROM usage_ WHERE source_id = 'src-1' AND workspace = 'ws-7')"),
     "I2_relation_query": "SELECT * FROM cur_price WHERE source_id = 'src-2' AND source = 'Custom'",
     "I3_day_bounds": DAY_REPORT.format("(SELECT * FROM usage_ WHERE day BETWEEN date '2024-02-01' AND date '2024-02-29')"),
-    "K1_json_profile": "SELECT * FROM prof",
+    "K1_json_profile": "SELECT '' AS path, 'object' AS types, count(*) AS present, count(*) AS payloads FROM events UNION ALL SELECT * FROM prof",
     "K1_nested_profile": "SELECT * EXCLUDE (seen) FROM nested_prof",
     "K2_contract": "SELECT path, types, present = payloads AND path <> 'tag' AS required FROM nested_prof",
     "K3_contract_diff": "SELECT 'missing_field:gone' AS drift_key, 'missing_field' AS drift_kind, 'gone' AS path, 'required types int; absent' AS detail, TRUE AS fatal, count(*) AS payloads FROM events UNION ALL SELECT 'type_change:k', 'type_change', path, 'expected str; got int', TRUE, present FROM prof WHERE path = 'k' AND present > 0",

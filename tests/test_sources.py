@@ -283,3 +283,26 @@ def test_relation_queries_are_bounded(spark):
     for bad in (("other", {}, 1), ("r", {"nope": 1}, 1), ("r", {}, 0), ("r", {}, 10_001)):
         with pytest.raises(ValueError):
             reports.relation_query({"r": df}, *bad)
+
+
+def test_profiles_in_one_walk_equal_those_of_nodes_and_shuffle_nothing(spark):
+    odd = [{"b[]": {"c": 1}, "b": [{"c": 2}, {}]}, {"b": [[], [{"c": 1}]], "": {"": 1}}]
+    texts = [json.dumps(v) for v in PAYLOADS + odd] + [None, "{", '{"x": NaN}']
+    df = spark.createDataFrame(list(enumerate(texts)), "payload_id int, json string")
+    whole = quality.profiles(df)
+    flat = whole.select("payload_id", F.inline("fields"))
+    nodes = quality.payload_profile(quality.json_nodes(df))
+    assert sorted(map(tuple, flat.select(*nodes.columns).collect())) == sorted(map(tuple, nodes.collect()))
+    contract = spark.createDataFrame(CONTRACT, "path string, types array<string>, required boolean")
+    one, two = quality.diff_contract(contract, whole), quality.diff_contract(contract, nodes)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert sorted(map(tuple, quality.waived_paths(contract, whole).collect())) == sorted(map(tuple, quality.empty_array_paths(nodes, quality.absent_paths(contract, nodes)).collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan  # each text is read once, and no payload leaves its task
+    assert sorted(map(tuple, quality.json_profile(whole).collect())) == sorted(map(tuple, quality.json_profile(nodes).collect()))
+
+
+def test_json_profile_shows_the_root_where_wanted(spark):
+    df = spark.createDataFrame([(0, '{"k": 1}'), (1, "{"), (2, "{}")], "payload_id int, json string")
+    got = {r["path"]: (r["types"], r["present"], r["payloads"]) for r in quality.json_profile(quality.profiles(df), root=True).collect()}
+    assert got == {"": (["invalid", "object"], 3, 3), "k": (["int"], 1, 3)}
