@@ -39,7 +39,8 @@ class Commit:
 class Change:
     """Rows of a table, partitioned by a column or expression: added, or in place of what the partitions that they touch hold.
 
-    ``parts`` names further partitions whose rows go though no new row falls into them.
+    ``parts`` names further partitions whose rows go though no new row falls into them. ``gathered``: the rows of a partition are in few
+    tasks already and are written by these; others are shuffled for it first.
     """
 
     table: str
@@ -47,6 +48,7 @@ class Change:
     by: str | Column = ""
     replace: bool = False
     parts: tuple[str, ...] = ()
+    gathered: bool = False
 
 
 class Warehouse:
@@ -107,8 +109,9 @@ class Warehouse:
         """Write the rows, one folder a partition, and name the folders by partition; a large partition is written by several tasks."""
         folder = f"{change.table}/{uuid.uuid4().hex}"
         by = F.col(change.by) if isinstance(change.by, str) else change.by
-        rows = change.rows.withColumn("part__", by.cast("string")).hint("rebalance", "part__")
-        rows.write.partitionBy("part__").parquet(f"{self.root}/{folder}")
+        rows = change.rows.withColumn("part__", by.cast("string"))
+        rows = rows if change.gathered else rows.hint("rebalance", "part__")
+        rows.write.option("compression", "zstd").partitionBy("part__").parquet(f"{self.root}/{folder}")
         return {unquote(n[7:]): f"{folder}/{n}" for n in self._listed(folder) if n.startswith("part__=")}
 
     def commit(self, key: str, changes: list[Change], base: Commit | None = None) -> Commit:
@@ -191,10 +194,10 @@ def persist_run(warehouse: Warehouse, run_id: str, current: dict[str, DataFrame]
     for name, rows in current.items():
         by = PARTS[name]
         stored = warehouse.read(name, set(touched(rows, by)), base) if name in base.tables else warehouse.spark.createDataFrame([], rows.schema)
-        after, fresh, wins = upsert_flagged(stored, rows, name)
+        after, fresh, wins = upsert_flagged(stored, rows, name, by)
         counted[name] = Observation()
         after = after.observe(counted[name], F.count(F.when(fresh, 1)).alias("inserted"), F.count(F.when(wins, 1)).alias("updated"))
-        changes.append(Change(name, after.drop("fresh__", "wins__"), by, replace=True))
+        changes.append(Change(name, after.drop("fresh__", "wins__"), by, replace=True, gathered=True))
     changes += [Change(name, rows, F.to_date("collected_at")) for name, rows in observed.items()]
     changes.append(Change("collection_ledger", ledger, F.to_date("collected_at")))
     warehouse.commit(run_id, changes, base)

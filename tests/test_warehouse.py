@@ -235,3 +235,11 @@ def test_streamed_state_is_kept_by_aggregates_and_no_python_call_a_key(spark, tm
     land(tmp_path / "in", "a.json", FACTS[:2])
     query = ingest.fold_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), fields)
     assert [s["operatorName"] for s in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
+
+
+def test_an_upsert_is_shuffled_once_and_written_as_it_stands(spark):
+    stored, batch = spark.createDataFrame(FACTS[:2], DAILY), spark.createDataFrame(FACTS[2:], DAILY)
+    after = collapse.upsert_flagged(stored, batch, "daily_stats", "day")[0]
+    plan = after._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(day" in plan and "Join" not in plan
+    assert sorted(map(str, after.collect())) == sorted(map(str, collapse.upsert_flagged(stored, batch, "daily_stats")[0].collect()))
