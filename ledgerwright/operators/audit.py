@@ -80,10 +80,14 @@ PREFLIGHT_PARTS = {
 }
 
 
-def preflight(status: DataFrame, facts: DataFrame, prices: DataFrame, issues: DataFrame, drift: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Seven kinds of records in one relation of thirty columns; what a kind doesn't have is null."""
+def preflight(status: DataFrame, facts: DataFrame, prices: DataFrame, issues: DataFrame, drift: DataFrame, sessions: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """Seven kinds of records in one relation of thirty columns; what a kind doesn't have is null.
+
+    ``used``: rows that name just the sessions of the facts and are cheaper to read twice, such as the observations that they were made of.
+    """
     keys = ["source_id", "client", "session_id"]
-    parts = {"status": status, "models": facts, "prices": prices, "issues": issues.where("not resolved"), "drift": drift.where("not resolved"), "sessions": sessions, "missing_sessions": facts.select(*keys).join(sessions, keys, "left_anti")}
+    used = (facts if used is None else used).select(*keys).distinct()
+    parts = {"status": status, "models": facts, "prices": prices, "issues": issues.where("not resolved"), "drift": drift.where("not resolved"), "sessions": sessions, "missing_sessions": used.join(sessions, keys, "left_anti")}
     rows = [p.select(F.lit(k).alias("kind"), *[c for c in PREFLIGHT_PARTS[k] if c in p.columns]).distinct() for k, p in parts.items()]
     wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     return wide.select(*[F.col(c) if c in wide.columns else F.lit(None).cast("string").alias(c) for c in PREFLIGHT])

@@ -14,17 +14,21 @@ TOKENS = ["input_tokens", "output_tokens", "cache_read", "cache_write", "reasoni
 
 @dataclass(frozen=True)
 class Table:
-    """Natural key of an observation table, and the columns that rank its rows, best last; the last one is unique."""
+    """Natural key of an observation table, and the columns that rank its rows, best last; the last one is unique.
+
+    ``deal``: the part of the key by which rows are dealt out before they are ranked, for tables of short histories.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...] = ("collected_at", "event_id")
+    deal: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict)
 
 
 #: Keys and ranking of the canonical tables.
 TABLES = {
-    "sessions": Table(("source_id", "client", "session_id")),
-    "daily_stats": Table(("source_id", "day", "client", "session_id", "model"), ("collected_at", "total_tokens", "event_id")),
+    "sessions": Table(("source_id", "client", "session_id"), deal=("source_id", "client", "session_id")),
+    "daily_stats": Table(("source_id", "client", "session_id", "model", "day"), ("collected_at", "total_tokens", "event_id"), deal=("source_id", "client", "session_id")),
     "price_versions": Table(("source_id", "day", "model"), ("collected_at", "price_output_per_token", "event_id")),
     "collection_ledger": Table(("source_id", "run_id", "day", "domain"), ("collected_at", "finished_at", "event_id")),
     "reconciliation_issues": Table(("source_id", "check_name", "issue_key"), ("collected_at", "resolved", "event_id")),
@@ -58,8 +62,20 @@ def collapse_by_window(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("rank__", F.row_number().over(w)).where("rank__ = 1").drop("rank__")
 
 
+def dealt(df: DataFrame, table: str) -> DataFrame:
+    """``df`` shuffled by the ``deal`` of its table, if it has one.
+
+    Most facts and sessions have one or two observations, so combining them before the shuffle hardly drops a row and costs a sort of all
+    rows of a file's split, on disk where they are many. Dealt out first, rows are sorted once, in tasks of the shuffle's size, and what else goes by session
+    (totals, metadata, tags) needs no other shuffle and, as the keys begin with it, no other sort. A session's facts meet in one task.
+    """
+    by = TABLES[table].deal
+    return df.repartition(*by) if by else df
+
+
 def current(df: DataFrame, table: str) -> DataFrame:
     t = TABLES[table]
+    df = dealt(df, table)
     if table in ("tags", "notes"):
         ranked = df.withColumn("is_upsert", F.col("op") == "upsert")
         return collapse(ranked, t.keys, t.order).where("is_upsert").drop("is_upsert")  # after ranking: a delete hides what it follows
@@ -147,15 +163,25 @@ def fold_history(df: DataFrame, arrival) -> DataFrame:
     return folded.select(*[F.col(c) if c in keys else F.col(f"s.{c}").alias(c) for c in df.columns if c not in arrival])
 
 
-def raw_and_gold(raw: DataFrame, gold: DataFrame) -> DataFrame:
-    """Current daily facts over raw observations and compacted gold: the best row of both, lifted to the best gold row's components."""
+def raw_and_gold(raw: DataFrame, gold: DataFrame, by: str | None = None) -> DataFrame:
+    """Current daily facts over raw observations and compacted gold: the best row of both, lifted to the best gold row's components.
+
+    Both meet in one aggregate, for which they are shuffled once; ``by``: as :func:`gathered` does it.
+    """
     t = TABLES["daily_stats"]
-    best = collapse(raw.unionByName(gold), t.keys, t.order)
-    floor = collapse(gold, t.keys, t.order).select(*t.keys, *[F.col(c).alias(f"gold_{c}") for c in [*TOKENS, "total_tokens"]])
-    both = best.join(floor, list(t.keys), "left")
-    lifted = {c: F.greatest(c, f"gold_{c}") for c in TOKENS}
-    total = F.greatest("total_tokens", "gold_total_tokens", reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in lifted.values()]))
-    return both.select(*[lifted[c].alias(c) if c in lifted else total.cast("long").alias(c) if c == "total_tokens" else F.col(c) for c in best.columns])
+    both = raw.withColumn("gold__", F.lit(False)).unionByName(gold.withColumn("gold__", F.lit(True)))
+    group = list(t.keys)
+    if by is None:
+        both = dealt(both, "daily_stats")
+    else:
+        both, group = gathered(both, t.keys, by)
+    row = F.struct(*t.order, *[c for c in raw.columns if c not in t.keys and c not in t.order])
+    tokens = F.struct(*t.order, *TOKENS)
+    met = both.groupBy(*group).agg(F.max(row).alias("best"), F.max(F.when(F.col("gold__"), tokens)).alias("floor"))
+    lifted = {c: F.greatest(F.col(f"best.{c}"), F.col(f"floor.{c}")) for c in TOKENS}
+    total = F.greatest(F.col("best.total_tokens"), F.col("floor.total_tokens"), reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in lifted.values()]))
+    own = {**lifted, "total_tokens": total.cast("long")}
+    return met.select(*[F.col(c) if c in t.keys else own.get(c, F.col(f"best.{c}")).alias(c) for c in raw.columns])
 
 
 #: Parts that the keys of one partition are dealt into, so that a large one is written by several tasks.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerwright.sources.scratch import written
+
 RATES = ["price_input_per_token", "price_output_per_token", "price_cache_read_per_token", "price_cache_write_per_token"]
 FACT = ["source_id", "day", "client", "session_id", "model"]
 
@@ -29,14 +31,19 @@ def available_mask() -> Column:
     return sum((F.when(F.col(r).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RATES)), F.lit(0))
 
 
-def resolve_rates(facts: DataFrame, rates: DataFrame) -> DataFrame:
+def resolve_rates(facts: DataFrame, rates: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Add rate_day and the rates: the newest eligible one at or before a fact's day, else the earliest later one.
 
     Facts that need the same rates on the same day of one source and model resolve alike, so only their distinct (source,
-    model, mask, day) meet the rates; the chosen day joins back by equality. No fact is multiplied by rates.
+    model, mask, day) meet the rates; the chosen day joins back by equality. No fact is multiplied by rates. ``among``: rows
+    that name every (source, model, day) of the facts and are cheaper to read twice, such as the observations that they were made of.
     """
     masked = facts.withColumn("mask", required_mask())
-    keys = masked.select("source_id", "model", "mask", F.col("day").alias("usage_day")).distinct()
+    if among is None:
+        keys = masked.select("source_id", "model", "mask", F.col("day").alias("usage_day")).distinct()
+    else:
+        every = F.explode(F.array(*[F.lit(k) for k in range(1 << len(RATES))])).alias("mask")
+        keys = among.select("source_id", "model", "day").distinct().select("source_id", "model", every, F.col("day").alias("usage_day"))
     offered = rates.select("source_id", "model", "day", *RATES).withColumn("offers", available_mask())
     met = keys.join(offered, ["source_id", "model"]).where(F.col("offers").bitwiseAND(F.col("mask")) == F.col("mask"))
     chosen = met.groupBy("source_id", "model", "mask", "usage_day").agg(
@@ -44,6 +51,8 @@ def resolve_rates(facts: DataFrame, rates: DataFrame) -> DataFrame:
     )
     priced = chosen.join(rates.select("source_id", "model", F.col("day").alias("rate_day"), *RATES), ["source_id", "model", "rate_day"])
     priced = priced.withColumnRenamed("usage_day", "day")
+    if among is not None:
+        priced = written(priced)  # of a size that Spark knows: it is broadcast if small, and the facts stay where they are
     return masked.join(priced, ["source_id", "model", "mask", "day"], "left").drop("mask")
 
 
@@ -74,5 +83,5 @@ def cost_of(resolved: DataFrame) -> DataFrame:
     return resolved.select("*", F.when(found | (F.col("total_tokens") == 0), by_rate.cast("double")).otherwise(F.col("reported_cost_usd")).alias("cost_usd"), basis.alias("cost_basis"), timed.alias("ms_per_1k_tokens"))
 
 
-def daily_cost(facts: DataFrame, rates: DataFrame) -> DataFrame:
-    return cost_of(resolve_rates(facts, rates))
+def daily_cost(facts: DataFrame, rates: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    return cost_of(resolve_rates(facts, rates, among))

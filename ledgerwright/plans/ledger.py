@@ -61,7 +61,7 @@ class Ledger:
 
     @cached_property
     def cost(self) -> DataFrame:
-        return pricing.daily_cost(self.daily, self.prices)
+        return pricing.daily_cost(self.daily, self.prices, self.obs("daily_obs"))
 
     @cached_property
     def usage(self) -> DataFrame:
@@ -479,7 +479,7 @@ QUERIES = {
     "F6_missing_sessions": lambda x: reports.missing_sessions(x.cost, x.sessions),
     "F7_unresolved_runs": lambda x: audit.unresolved_runs(x.ledger),
     "G1_all_sources": lambda x: x.audited.select("source_id"),
-    "G2_preflight": lambda x: audit.preflight(collapse.collection_status(x.obs("ledger_obs")), x.daily, x.prices, x.issues, x.drift, x.sessions),
+    "G2_preflight": lambda x: audit.preflight(collapse.collection_status(x.obs("ledger_obs")), x.daily, x.prices, x.issues, x.drift, x.sessions, x.obs("daily_obs")),
     "G3_identity_sets": lambda x: audit.identity_sets(x.daily.select("source_id", "model").distinct(), x.prices.select("source_id", "model").distinct()),
     "G4_custom_models": lambda x: audit.custom_price_models(x.prices),
     "H1_session_sorts": lambda x: reports.top_by_each_sort(x.session_rows),
