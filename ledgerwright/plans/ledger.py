@@ -162,8 +162,9 @@ def _daily_payloads(x: Ledger) -> DataFrame:
         "client", F.col("session_id").alias("sessionId"), "model", "provider", F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite"),
         "reasoning", F.col("message_count").alias("messageCount"), F.col("reported_cost_usd").alias("cost"), F.struct(F.col("perf_duration_ms").alias("totalDurationMs"), F.col("perf_timed_tokens").alias("timedTokens")).alias("performance"),
     )
-    rows = x.obs("daily_obs").groupBy("source_id", "day", "session_id").agg(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))).alias("s"), F.sum("input_tokens").alias("t"))
-    return rows.select(F.concat(F.concat_ws("-", "source_id", F.col("day").cast("string"), "session_id"), F.lit(".json")).alias("file"), "day", F.to_json(F.struct(F.lit("model").alias("groupBy"), F.transform("s", lambda a: a["e"]).alias("entries"), F.col("t").alias("totalInput"))).alias("json"))
+    rows = x.obs("daily_obs").repartition("source_id", "day", "session_id").groupBy("source_id", "day", "session_id").agg(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))).alias("s"), F.sum("input_tokens").alias("t"))
+    text = F.to_json(F.struct(F.lit("model").alias("groupBy"), F.transform("s", lambda a: a["e"]).alias("entries"), F.col("t").alias("totalInput")))
+    return rows.select(F.concat(F.concat_ws("-", "source_id", F.col("day").cast("string"), "session_id"), F.lit(".json")).alias("file"), "day", F.explode(F.array(text)).alias("json"))
 
 
 def _graph_payloads(x: Ledger) -> DataFrame:

@@ -36,7 +36,8 @@ def parse_daily(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A payload without entries has none; one that doesn't parse, or holds an entry that is no object, is rejected.
     """
-    parsed = payloads.select("file", "day", "json", F.from_json("json", DAILY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+    text = F.from_json("json", DAILY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = payloads.select("file", "day", "json", F.explode(F.array(text)).alias("p"))  # a generator's row is made once, where an expression is repeated in each place that reads it
     bad = F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | F.exists(F.coalesce("p.entries", F.array()), lambda e: e.isNull())
     good = parsed.where(~bad)
     e = F.col("e")
