@@ -5,9 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerwright.operators import collapse, pricing
+from ledgerwright.operators import collapse, compaction, pricing
 from ledgerwright.plans.ledger import QUERIES, Ledger
-from ledgerwright.sources import payloads
+from ledgerwright.sources import payloads, warehouse
+from ledgerwright.streaming import ingest
 
 
 def physical(df):
@@ -64,3 +65,35 @@ def test_gold_lifts_the_best_row_whichever_way_they_meet(spark):
     for by in (None, "day"):
         got = {r["session_id"]: (r["event_id"], r["input_tokens"], r["output_tokens"], r["cache_read"], r["reasoning"], r["total_tokens"]) for r in collapse.raw_and_gold(raw, gold, by).collect()}
         assert got == {"x": ("b", 7, 9, 3, 0, 19), "y": ("b", 1, 1, 1, 1, 5), "z": ("c", 1, 0, 0, None, 1)}
+
+
+def test_a_batch_is_shuffled_once_with_the_ids_of_bronze(spark, tmp_path):
+    w = warehouse.Warehouse(spark, str(tmp_path))
+    rows = spark.range(40).select(F.lit("s").alias("source_id"), F.col("id").cast("string").alias("event_id"), F.lit("old").alias("x"))
+    w.commit("all", [warehouse.Change("bronze", rows, ingest.bucket_of())])
+    some = [("s", "3", "new"), ("s", "77", "new"), ("s", "77", "new"), (None, "3", "new"), ("s", None, "new")]
+    fresh = ingest.unseen(w, spark.createDataFrame(some, "source_id string, event_id string, x string"), "bronze")
+    assert physical(fresh).count("Exchange ") == 1
+    assert sorted(map(tuple, fresh.collect()), key=repr) == sorted([("s", "77", "new"), (None, "3", "new"), ("s", None, "new")], key=repr)
+
+
+def test_only_grown_arrivals_meet_gold_again(spark, tmp_path, monkeypatch):
+    t, cols = dt.datetime(2026, 9, 20), "source_id string, day date, client string, session_id string, model string, event_id string, collected_at timestamp_ntz, input_tokens long, output_tokens long, cache_read long, cache_write long, reasoning long, total_tokens long"
+    row = lambda event, days, n, source="s": (source, t.date(), "c", "x", "m", event, t + dt.timedelta(days), n, 0, 0, 0, None, n)
+    met, merge = [], compaction.raw_and_gold
+    monkeypatch.setattr(compaction, "raw_and_gold", lambda raw, gold, *by: (met.append((sorted(r["event_id"] for r in raw.collect()), gold.count())), merge(raw, gold, *by))[1])
+    w = warehouse.Warehouse(spark, str(tmp_path))
+    for k, rows in enumerate(([row("a", 0, 9), row("b", 1, 4), row("n", 0, 1, None)], [row("c", 1, 2), row("d", 2, 3)])):
+        w.commit(f"in-{k}", [warehouse.Change("raw_daily_stats", spark.createDataFrame(rows, cols), F.to_date("collected_at"))])
+        assert warehouse.publish_compaction(w, f"c-{k}")
+    assert met == [(["a", "b", "n"], 0), (["b", "c", "d", "n"], 2)]
+    got = {(r["source_id"], r["event_id"], r["input_tokens"], r["total_tokens"]) for r in w.read("daily_stats").collect()}
+    assert got == {("s", "d", 4, 4), (None, "n", 1, 1)}
+
+
+def test_input_rows_are_written_without_a_sort(spark, tmp_path):
+    counts = payloads.write_inputs({"entries": spark.range(7), "none": spark.range(0)}, str(tmp_path / "in"))
+    assert counts == {"entries": 7, "none": 0}
+    got = spark.read.parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, got.select("kind", "json").collect()))[0] == ("entries", '{"id":0}') and got.count() == 7
+    assert all(".zstd." in f for f in got.inputFiles())
