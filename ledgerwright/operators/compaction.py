@@ -33,6 +33,18 @@ def compact_daily(raw: DataFrame, gold: DataFrame, progress: DataFrame) -> tuple
     return rows, days, grown.select("source_id", "day", "arrival_day", F.col("rows_seen").alias("rows_done"))
 
 
+def compact_grown(raw: DataFrame, gold: DataFrame, grown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new rows of the touched days, progress rows), given the grown arrival buckets, for gold that holds what progress says was done.
+
+    Only arrivals of grown buckets compete with gold. The rest can't change it: the gold row of their key has at least the rank and each component of the best of them.
+    Rows come dealt out by day, to be written as they stand. Raw rows and gold are of the touched days' partitions or more.
+    """
+    near = grown.select(F.col("source_id").alias("s__"), F.col("day").alias("d__"), F.col("arrival_day").alias("a__"))
+    same = F.col("source_id").eqNullSafe(F.col("s__")) & (F.col("day") == F.col("d__")) & F.col("arrival_day").eqNullSafe(F.col("a__"))
+    fresh = raw.join(near, same, "left_semi").drop("arrival_day")
+    return raw_and_gold(fresh, gold.join(grown.select("day").distinct(), "day", "left_semi").select(*fresh.columns), "day"), grown.select("source_id", "day", "arrival_day", F.col("rows_seen").alias("rows_done"))
+
+
 def compact_curation(raw: DataFrame, gold: DataFrame, table: str, affected: DataFrame) -> DataFrame:
     """Winners of the affected keys over raw and gold, across all sources; deletes stay, so that they outlive raw rows."""
     t = TABLES[table]

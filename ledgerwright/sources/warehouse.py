@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwright.operators.collapse import upsert_flagged
-from ledgerwright.operators.compaction import candidates, compact_daily, expired
+from ledgerwright.operators.compaction import candidates, compact_grown, expired
+from ledgerwright.sources.scratch import written
 
 #: How Spark names the partition of null, so that it can be asked for like any other.
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -217,13 +218,14 @@ def publish_compaction(warehouse: Warehouse, run: str, raw: str = "raw_daily_sta
     spark = warehouse.spark
     done = warehouse.read(progress, at=base) if progress in base.tables else spark.createDataFrame([], "source_id string, day date, arrival_day date, rows_done long")
     held = warehouse.read(gold, at=base) if gold in base.tables else spark.createDataFrame([], arrived.drop("arrival_day").schema)
-    days = set(touched(candidates(arrived, done, "source_id", "day"), "day"))
+    grown = written(candidates(arrived, done, "source_id", "day"))  # of the number of sources, days and arrival days
+    days = set(touched(grown, "day"))
     if not days:
         return False
     if gold in base.tables:
         held = warehouse.read(gold, days, base)
-    rows, _, new = compact_daily(arrived, held, done)
-    warehouse.commit(run, [Change(gold, rows, "day", replace=True), Change(progress, new, "day")], base)
+    rows, new = compact_grown(arrived, held, grown)
+    warehouse.commit(run, [Change(gold, rows, "day", replace=True, gathered=True), Change(progress, new, "day")], base)
     return True
 
 
