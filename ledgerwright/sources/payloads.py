@@ -141,12 +141,15 @@ def check_domains(rows: DataFrame, identifiers=(), metadata=(), non_negative=(),
 def write_inputs(inputs: dict[str, DataFrame], folder: str) -> dict[str, int]:
     """Write the input rows of a run (entries, session rows, contributions) as JSON text, one partition a kind, and count them in that write.
 
-    One job reads every input once; the counts are observed as its rows go by.
+    Every input is read once, and the counts are observed as its rows go by. Each kind is written to its own folder: a writer that deals
+    rows out to folders sorts them first.
     """
-    rows = reduce(DataFrame.union, [d.select(F.to_json(F.struct("*")).alias("json"), F.lit(k).alias("kind")) for k, d in inputs.items()])
-    seen = Observation()
-    rows.observe(seen, *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in inputs]).write.partitionBy("kind").parquet(folder)
-    return {k: seen.get[k] for k in inputs}
+    counts = {}
+    for kind, rows in inputs.items():
+        seen = Observation()
+        rows.select(F.to_json(F.struct("*")).alias("json")).observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(f"{folder}/kind={kind}")
+        counts[kind] = seen.get["n"]
+    return counts
 
 
 def check_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
