@@ -287,3 +287,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert 32 not in kept["benchmark_decontamination"] and kept["benchmark_decontamination"] >= set(range(30)) - {5}
     assert docs.agg(F.min("taken")).first()[0] > 0
     assert sorted(p.run(spark, str(tmp_path)).select("doc_id", "taken").collect()) == sorted(docs.select("doc_id", "taken").collect())
+
+
+def test_counted_characters_bound_the_edits_of_lines(spark):
+    """The bound that lines have to meet before they are compared never exceeds their edits, and keeps unlike lines of one key apart."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        one = "".join(rng.choice("abcdeé ßxyzABC漢q") for _ in range(rng.randrange(1, 60)))
+        two = list(one)
+        for _ in range(rng.randrange(6)):
+            two[rng.randrange(len(two)) : rng.randrange(len(two) + 1)] = rng.choice(["", "e", "漢t", "Q"])
+            two = two or ["a"]
+        rows.append((one, "".join(two)))
+    rows.append(("e" * 700, "e" * 300))
+    raw = [np.frombuffer("".join(x + "\n" for x in side).encode(), np.uint8) for side in zip(*rows, strict=True)]
+    starts = [np.concatenate(([0], np.flatnonzero(x == 10)[:-1] + 1)) for x in raw]
+    mixes = [lines.class_counts(x, s).tolist() for x, s in zip(raw, starts, strict=True)]
+    df = spark.createDataFrame([(*r, *m) for r, m in zip(rows, zip(*mixes, strict=True), strict=True)], "one string, two string, mix_a long, mix_b long")
+    got = df.select(lines.counts_apart("mix_a", "mix_b").alias("least"), F.levenshtein(lines.normal(F.col("one")), lines.normal(F.col("two"))).alias("edits")).collect()
+    assert all(r["least"] <= r["edits"] for r in got) and any(r["least"] > 2 for r in got)
