@@ -38,14 +38,15 @@ def tokenise(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.
     first[1:] &= ~word[:-1]
     begins = at[:-1][at[:-1] < at[1:]]
     first[begins] = word[begins]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
     starts = np.flatnonzero(first)
-    broken = np.cumsum(kind == 2)
+    broken = np.searchsorted(np.flatnonzero(kind == 2), starts)
     text = np.searchsorted(at, starts, side="right") - 1
-    piece = broken[starts] + text  # both only grow, and a word of a later piece has one of them larger
-    letters = np.concatenate([np.zeros(1, np.int64), np.cumsum(word)])
-    offsets = letters[np.append(starts, len(raw))]
+    piece = broken + text  # both only grow, and a word of a later piece has one of them larger
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.flatnonzero(last) + 1 - starts)])
     data = _LOWER[raw[word]]
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
     return words, piece, text
 
 
@@ -75,12 +76,18 @@ def count_phrases(raw: np.ndarray, at: np.ndarray, langs: list[str], scan: int,
 
     def counted(places: np.ndarray, length: int, active: np.ndarray | None) -> None:
         """Emit the phrases of ``length`` words that begin at the places, with their number."""
-        key = lang[places]
-        for j in range(length):  # after each step, key numbers the phrases of j + 1 words
-            found, first, key, n = np.unique(key * len(vocabulary) + code[places + j], return_index=True, return_inverse=True, return_counts=True)
+        key, width, held = lang[places], len(vocabulary), len(tags)  # key numbers the phrases so far, below held
+        for j in range(length):
+            if held > (1 << 62) // width:  # one more word wouldn't fit into 64 bits
+                found, key = np.unique(key, return_inverse=True)
+                held = len(found)
+            key, held = key * width + code[places + j], held * width
+        order = np.argsort(key)
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        first, n = order[edge], np.diff(np.append(edge, len(order)))
         parts = [vocabulary.take(pa.array(code[places[first] + j])) for j in range(length)]
         phrases = parts[0] if length == 1 else pa.compute.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type))
-        emit(lang[places[first]], phrases, np.zeros(len(found), np.int32) if active is None else active[first].astype(np.int32), n)
+        emit(lang[places[first]], phrases, np.zeros(len(first), np.int32) if active is None else active[first].astype(np.int32), n)
 
     if len(code):
         seeds = np.array([xxhash.xxh64_intdigest(t, 42) for t in tags], np.uint64)

@@ -8,10 +8,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import chains, crf, decontaminate, language, mixing, neighbours, personal_data, secret_scan, warc
+from ledgerwright.llm import chains, collocations, crf, decontaminate, language, mixing, neighbours, personal_data, secret_scan, warc
+from ledgerwright.llm.shared import utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -293,3 +295,19 @@ def test_neighbours_of_two_lengths_and_of_repeated_ids(spark):
     for r in neighbours.search(df, F.col("vec_id") % 20 == 0, part_queries=2).orderBy("query_id", "rank").collect():
         parts.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
     assert parts == got
+
+
+def test_phrases_of_a_length_are_sorted_once(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(40)) for _ in range(300)) for _ in range(3)] + [" ".join(str(k) for k in range(9000))]
+    expected = Counter()
+    for lang, text in zip("aabb", texts, strict=True):
+        words = text.split()
+        expected.update((lang, " ".join(words[i : i + k])) for k in range(1, 6) for i in range(len(words) - k + 1))
+    sorts = []
+    for name in ("argsort", "unique"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **k: sorts.append(1) or f(*a, **k))
+    got = collocations.count_phrases(*utf8(pa.array(texts)), list("aabb"), 0, 3, 5, np.zeros(16, np.uint8))
+    assert len(sorts) <= 1 + 5 + 2  # the tags, a sort a length, and renumbering where five words of 9,000 pass 64 bits
+    found = {(r["lang"], r["phrase"]): r["n"] for r in got.to_pylist() if r["phrase"]}
+    assert found == expected
