@@ -307,3 +307,41 @@ def test_counted_characters_bound_the_edits_of_lines(spark):
     df = spark.createDataFrame([(*r, *m) for r, m in zip(rows, zip(*mixes, strict=True), strict=True)], "one string, two string, mix_a long, mix_b long")
     got = df.select(lines.counts_apart("mix_a", "mix_b").alias("least"), F.levenshtein(lines.normal(F.col("one")), lines.normal(F.col("two"))).alias("edits")).collect()
     assert all(r["least"] <= r["edits"] for r in got) and any(r["least"] > 2 for r in got)
+
+
+def test_a_pair_of_lines_counts_in_one_list_and_lone_signatures_are_left_out(spark):
+    every = (1 << len(lines.CHOICES)) - 1
+    block = lambda *x: sum(v << (lines.BLOCK_BITS * k) for k, v in enumerate(x))
+    rows = [(1, block(1, 2, 3), block(4, 5, 6), every), (2, block(1, 2, 3), block(4, 5, 6), every), (3, block(9, 2, 3), block(4, 8, 7), every), (4, block(21, 22, 23), block(24, 25, 26), every), (5, block(1, 2, 3), block(4, 5, 6), 1 << 4)]
+    nodes = spark.createDataFrame([(n, h, t, a | (30 << len(lines.CHOICES))) for n, h, t, a in rows], "node long, head long, tail long, about long")
+    lists = lines.signatures(nodes).join(nodes.selectExpr("node", "head", "tail", f"cast(about & {every} as int) as keys"), "node")
+    found = lists.groupBy("node").count().collect()
+    assert {r["node"]: r["count"] for r in found} == {1: 15, 2: 15, 3: 3, 5: 1}
+    side = lambda x: lists.select("signature", *[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "pos", "head", "tail", "keys")])
+    met = side("a").join(side("b"), "signature").where("a < b")
+    assert sorted((r["a"], r["b"]) for r in met.where(lines.first_shared()).collect()) == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 5)]
+
+
+def test_grams_never_rule_out_a_pair_within_its_edits():
+    rng, ones, others, made = random.Random(11), [], [], []
+    for _ in range(500):
+        one = "".join(rng.choice("ab é😀c") for _ in range(rng.randint(0, 60)))
+        two, n = list(one), rng.randint(0, 9)
+        for _ in range(n):
+            k = rng.randint(0, len(two))
+            two[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "b"])
+        ones.append(one)
+        others.append("".join(two))
+        made.append(n)
+    assert (lines.gram_apart(ones, others) <= np.array(made)).all()
+    assert lines.gram_apart(["the quick brown fox jumps"], ["a line of other words here"])[0] > 3
+
+
+def test_votes_of_long_and_short_lines():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    short, _ = lines.sim_blocks(words[:300], np.repeat(np.arange(30), 10), 30)
+    both, _ = lines.sim_blocks(words, np.concatenate((np.repeat(np.arange(30), 10), np.full(8700, 30))), 31)
+    assert (both[:30] == short).all()  # counted in lanes of a byte, and one by one where a line has more than 255 voters in a block
+    mine = np.unique(words[(words >> np.uint64(33)) % np.uint64(lines.BLOCKS) == 0][30:])
+    assert len(mine) > 255
