@@ -262,6 +262,53 @@ def test_repeated_substrings_equal_brute_force(spark):
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def test_only_strings_of_repeated_cores_are_dealt_out(spark):
+    """Documents that share 16 to 28 bytes in a row, too few for a string of 50 with its anchor, send no text to be sorted."""
+    rng = random.Random(6)
+    letter = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = [letter(n) for n in range(16, 29)]
+    texts = ["".join(letter(60) + x for x in rng.sample(shared, len(shared))) for _ in range(20)]
+    docs = docs_of(spark, texts).withColumn("text_hash", F.lit(0).cast("long"))
+    dealt = []
+    for some in (docs, docs_of(spark, [*texts, letter(9) + texts[3][100:180], letter(9)]).withColumn("text_hash", F.lit(0).cast("long"))):
+        bits, many = map(spark.sparkContext.broadcast, suffixes.repeated_cores(some, 64))
+        dealt.append(suffixes.segments(some, bits, many, 64).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+        assert not len(many.value)
+    assert dealt[0] == 0 and 2 <= dealt[1] <= 20
+
+
+def test_edit_distances_of_long_lines():
+    def table(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            left, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (a != b))
+        return row[-1]
+
+    rng = random.Random(3)
+    for n in (0, 1, 2, 63, 64, 65, 130):
+        for letters in ("ab", "abcdé😀 "):
+            x = "".join(rng.choice(letters) for _ in range(n))
+            y = "".join(rng.choice(["", c, c, c, c + "a", "b"]) for c in x)
+            for one, two in ((x, y), (y, x), (x, x), (x, ""), ("", x)):
+                want = table(one, two)
+                assert lines.edit_distance(one, two, 10_000) == want
+                for most in (want, max(0, want - 1), want // 2):
+                    got = lines.edit_distance(one, two, most)
+                    assert (got == want) if want <= most else most < got
+
+
+def test_long_near_lines_are_proven(spark):
+    """Lines of thousands of characters that scattered changes of letters keep alike are found; those that differ more are not."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(1500)]
+    line = " ".join(words)
+    pairs = spark.createDataFrame([(1, 2, 300, line, "".join(rng.choice("xyz") if rng.random() < p else c for c in line)) for p in (0.01, 0.3)], "a long, b long, edits int, norm_a string, norm_b string")
+    got = lines.trimmed(pairs).collect()
+    assert [(r["core_a"], r["core_b"]) for r in got] == [("", "")]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
