@@ -200,6 +200,20 @@ def test_streamed_state_equals_upserts_in_any_order_and_after_restarts(spark, tm
         assert rows_of(ingest.folded(spark, out, fields)) == rows_of(now)
 
 
+def test_streamed_rows_of_one_time_rank_as_they_were_observed(spark, tmp_path):
+    fields = spark.createDataFrame([], DAILY).schema
+    big, low, last = fact("a", 0, (100, 0, 100, 9, 0)), fact("b", 5, (1, 300, 0, 0, 0)), fact("c", 5, (2, 400, 0, 0, 20))  # a and b lifted have a larger total than c
+    for k, batches in enumerate(([[big, low, last]], [[last, big, low, last]], [[big], [last, low]], [[big, low], [last]], [[low, last], [big], [low]])):
+        now = spark.createDataFrame([], DAILY)
+        for n, rows in enumerate(batches):
+            land(tmp_path / f"in{k}", f"{n}.json", rows)
+            ingest.fold_stream(spark, str(tmp_path / f"in{k}"), str(tmp_path / f"out{k}"), str(tmp_path / f"check{k}"), fields)
+            now = spark.createDataFrame(collapse.upsert(now, spark.createDataFrame(rows, DAILY), "daily_stats")[0].collect(), DAILY)
+        assert rows_of(ingest.folded(spark, str(tmp_path / f"out{k}"), fields)) == rows_of(now)
+        if len(batches) == 1:
+            assert now.first()["event_id"] == "c"
+
+
 def test_streaming_ingest_adds_nothing_twice(spark, tmp_path):
     landing, root, check = tmp_path / "in", str(tmp_path / "bronze"), str(tmp_path / "check")
     fields = spark.createDataFrame([], DAILY).schema
