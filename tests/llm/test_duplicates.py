@@ -392,3 +392,34 @@ def test_votes_of_long_and_short_lines():
     assert (both[:30] == short).all()  # counted in lanes of a byte, and one by one where a line has more than 255 voters in a block
     mine = np.unique(words[(words >> np.uint64(33)) % np.uint64(lines.BLOCKS) == 0][30:])
     assert len(mine) > 255
+
+
+def test_lines_of_few_words_share_a_key():
+    """Short lines that link share one whatever their words are; others if two words differ, or two pieces of a long word."""
+    rng = random.Random(3)
+    keys = lambda *texts: [set(k) for k in (lambda line, key: [key[line == n].tolist() for n in range(len(texts))])(*lines.few_word_keys(list(texts)))]
+    letters, words = "abcdé数 ", ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 12))) for _ in range(500)]
+    linked = 0
+    for n in range(900):
+        one = [rng.choice(letters) for _ in range(rng.randrange(9, 50))] if n % 3 else [rng.choice(words) for _ in range(rng.randrange(8, 15))]
+        other = list(one)
+        for _ in range(rng.randrange(1, 5 if n % 3 else 3)):
+            k = rng.randrange(len(other))
+            other[k : k + rng.randrange(2)] = [rng.choice(letters if n % 3 else words)] * rng.randrange(2) if len(other) > 1 else other[:1]
+        one, other = (" ".join((("" if n % 3 else " ").join(x)).split()) for x in (one, other))
+        if one == other or not one or not other or (n % 3 and (min(len(one), len(other)) > lines.short_size(0.9) or not similar(one, other))):
+            continue
+        if n % 3 or min(len(one), len(other)) > lines.short_size(0.9):
+            linked += 1
+            assert set.intersection(*keys(one, other)), (one, other)
+    assert linked > 250
+    assert set.intersection(*keys("-" * 80, "-" * 79)) and set.intersection(*keys("数据处理是一种重要的技术" * 6, "数据处理是一种重要的技朮" + "数据处理是一种重要的技术" * 5))
+    assert [len(k) for k in keys("", "a", "other text")] == [0, 0, 4]
+
+
+def test_near_lines_of_few_words_are_removed(spark):
+    pairs = [("copyright reserved", "copyright, reserved"), ("internationalisation", "internationalization"), ("chapter seventeen", "chapter seventen"), ("abcdefghi", "abcdefghij"), ("read the complete and unabridged documentation online", "read the complete and unabriged documentation online"), ("=" * 100, "=" * 97)]
+    texts = [x for pair in pairs for x in pair] + ["chapter", "chapters", "copyright observed here"]
+    assert all(similar(*p) for p in pairs)
+    got = [r["n_removed"] for r in lines.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1] * len(pairs) + [0, 0, 0]
