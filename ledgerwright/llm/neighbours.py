@@ -23,10 +23,16 @@ TRIAL_QUERIES = 128
 LEAF_ROWS = 800
 #: Rows at most, about, that the split points are fitted on.
 SAMPLE = 20_000
-#: Rows of one leaf that meet its queries in one task; larger leaves are dealt out in parts.
-PART_ROWS = 8192
-#: Queries that meet one part of a leaf in a task; those of a leaf that more of them visit are dealt out too.
-PART_QUERIES = 2048
+#: Neighbouring leaves of a tree that make one block; a query is sent to a block once, with the leaves that it visits there.
+BLOCK_LEAVES = 32
+#: Rows of one block that meet its queries in one task; larger blocks are dealt out in parts.
+PART_ROWS = 32_768
+#: Queries that meet one part of a block in a task; those of a block that more of them visit are dealt out too.
+PART_QUERIES = 16_384
+#: Rows with a vector, about, that a task hands on at a time, and scores that it holds at a time.
+BATCH_ROWS, BATCH_SCORES = 8192, 1 << 21
+#: Bytes of vectors that each of these numbers of rows stands for at most; longer vectors are dealt out in smaller parts.
+VECTOR_BYTES = 1 << 24
 NEAREST = 20
 SEED = 7
 
@@ -132,7 +138,7 @@ def search(
     since only they have inner products. Rows that repeat count once; if one vec_id has several vectors, each is a query and a candidate,
     no candidate being the query's own id, and of the pairs of two ids the largest product counts. An empty table gives no rows. Of equal vectors only
     the first ``nearest`` + 1 by vec_id are indexed, since ties go to the smaller vec_id and no other can be returned.
-    All rows are indexed; the split points come from a bounded sample. A leaf of more than PART_ROWS rows is dealt out in parts, and
+    All rows are indexed; the split points come from a bounded sample. A block of BLOCK_LEAVES leaves with more than PART_ROWS rows is dealt out in parts, and
     so are its queries beyond ``part_queries``; every part of rows meets every part of queries in a task of its own. A query visits ``visited`` leaves, or as many
     more as a sample of the queries needs to find ``recall`` of their exact neighbours, so the share of the index follows its size.
     """
@@ -150,7 +156,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def _candidates(good: DataFrame, is_query, dim: int, n: int, nearest: int, trees: int, visited: int, leaf_rows: int, recall: float, part_queries: int) -> DataFrame:
-    """(query_id, vec_id, score) of the ``nearest`` of each leaf that a query visits, over ``n`` vectors of one length."""
+    """(query_id, vec_id, score) of the ``nearest`` of the leaves that a query visits in each block, over ``n`` vectors of one length."""
     spark = good.sparkSession
     copies = W.partitionBy("embedding").orderBy("vec_id")
     index = good.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= nearest + 1).drop("copy")
@@ -201,67 +207,116 @@ def _candidates(good: DataFrame, is_query, dim: int, n: int, nearest: int, trees
         for r in near.select("q", "embedding").collect():  # TRIAL_QUERIES * nearest rows at most
             truth[r["q"]].append(r["embedding"])
         visited = max(visited, visits_for(forest, trials, [np.array(x, np.float64).reshape(-1, dim) for x in truth], recall))
-    parts = np.maximum(1, -(-rows // PART_ROWS))
+    width = min(BLOCK_LEAVES, 2**forest.depth)
+    fit = max(64, VECTOR_BYTES // (8 * dim))
+    part_rows, part_queries, batch_rows = min(PART_ROWS, fit), min(part_queries, fit), min(BATCH_ROWS, fit)
+    parts = np.maximum(1, -(-rows.reshape(-1, width).sum(axis=1) // part_rows))
     fitted = spark.sparkContext.broadcast(forest)
 
+    def blocks(forest: Forest, vector: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The blocks that a query visits, and its leaves in each."""
+        leaf = np.sort(np.array(forest.visit(vector, visited, (nearest + 1) * trees), np.int64))
+        block, first = np.unique(leaf // width, return_index=True)
+        return block, np.split(leaf, first[1:])
+
     def visit(batches):
         for batch in batches:
-            leaf = [x for vector in matrix(batch.column(1), dim) for x in fitted.value.visit(vector, visited, (nearest + 1) * trees)]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64())], ["leaf"])
+            count = np.zeros(len(parts), np.int64)
+            for vector in matrix(batch.column(1), dim):
+                count[blocks(fitted.value, vector)[0]] += 1
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["block", "n"])
 
     askers = good.where(is_query).select("vec_id", "embedding")
-    groups = np.ones(len(rows), np.int64)
-    for r in askers.mapInArrow(visit, "leaf long").groupBy("leaf").count().collect():  # trees * 2 ** depth leaves at most
-        groups[r["leaf"]] = -(-r["count"] // part_queries)
+    groups = np.zeros(len(parts), np.int64)
+    for r in askers.mapInArrow(visit, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # a row for each block
+        groups[r["block"]] = -(-r["n"] // part_queries)
     counted = spark.sparkContext.broadcast((forest, parts, groups))
 
     def ask(batches):
         forest, parts, groups = counted.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            leaf, part, who = [], [], []
+            block, part, who, leaves = [], [], [], []
+
+            def sent():
+                take = pa.array(who, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int64()), pa.array(ids).take(take), pa.array(leaves, pa.list_(pa.int64())), batch.column(1).take(take)], ["block", "part", "query_id", "leaves", "embedding"])
+
             for k, vector in enumerate(matrix(batch.column(1), dim)):
-                for x in forest.visit(vector, visited, (nearest + 1) * trees):
-                    own = hash((int(ids[k]), x)) % int(groups[x]) if groups[x] > 1 else 0
-                    leaf += [x] * int(parts[x])
-                    part += [own * int(parts[x]) + p for p in range(int(parts[x]))]
-                    who += [k] * int(parts[x])
-            take = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(ids).take(take), batch.column(1).take(take)], ["leaf", "part", "query_id", "embedding"])
-
-    def by_leaf(counts: np.ndarray):
-        value = F.lit(1)
-        for x in np.flatnonzero(counts > 1):
-            value = F.when(F.col("leaf") == int(x), F.lit(int(counts[x]))).otherwise(value)
-        return value.cast("long")
-
-    dealt = placed.withColumn("n", by_leaf(parts)).withColumn("group", F.explode(F.sequence(F.lit(0), by_leaf(groups) - 1)))
-    dealt = dealt.select("leaf", (F.col("group") * F.col("n") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).alias("part"), "vec_id", "embedding")
-    asked = askers.mapInArrow(ask, "leaf long, part long, query_id long, embedding array<double>")
+                for x, own_leaves in zip(*blocks(forest, vector), strict=True):
+                    own = hash((int(ids[k]), int(x))) % int(groups[x])
+                    for p in range(int(parts[x])):
+                        block.append(int(x))
+                        part.append(own * int(parts[x]) + p)
+                        who.append(k)
+                        leaves.append(own_leaves)
+                if len(who) >= batch_rows:
+                    yield sent()
+                    block, part, who, leaves = [], [], [], []
+            if who:
+                yield sent()
+
+    def deal(batches):
+        _, parts, groups = counted.value
+        for batch in batches:
+            leaf, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            block = leaf // width
+            n, copies = parts[block], groups[block]  # a block without queries has no copies
+            part = (((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % n.astype(np.uint64)).astype(np.int64)
+            step = max(1, batch_rows // max(1, int(copies.max(initial=0))))
+            for k in range(0, batch.num_rows, step):
+                take = np.repeat(np.arange(k, min(k + step, batch.num_rows)), copies[k : k + step])
+                if len(take):
+                    group = np.arange(len(take)) - np.searchsorted(take, take)
+                    yield pa.RecordBatch.from_arrays([pa.array(block[take]), pa.array(group * n[take] + part[take]), *[c.take(pa.array(take)) for c in batch.columns]], ["block", "part", "leaf", "vec_id", "embedding"])
+
+    dealt = placed.select("leaf", "vec_id", "embedding").mapInArrow(deal, "block long, part long, leaf long, vec_id long, embedding array<double>")
+    asked = askers.mapInArrow(ask, "block long, part long, query_id long, leaves array<long>, embedding array<double>")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        ids = left["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, base = ids[order], matrix(left["embedding"].combine_chunks(), dim)[order]
+        ids, leaf = left["vec_id"].to_numpy(), left["leaf"].to_numpy()
+        order = np.lexsort((ids, leaf))
+        ids, leaf, base = ids[order], leaf[order], matrix(left["embedding"].combine_chunks(), dim)[order]
         askers, asked = right["query_id"].to_numpy(), matrix(right["embedding"].combine_chunks(), dim)
-        out = []
-        for k in range(0, len(askers), 256):
-            score = np.einsum("qd,nd->qn", asked[k : k + 256], base)  # one order of summation for every pair
-            score[askers[k : k + 256, None] == ids] = -np.inf
-            keep = min(nearest, len(ids))
-            least = np.partition(score, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            by = np.lexsort((c, -score[q, c], q))
-            q, c = q[by], c[by]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, c = q[place < nearest], c[place < nearest]
-            out.append(pa.table({"query_id": askers[k + q], "vec_id": ids[c], "score": score[q, c]}))
+        wants = right["leaves"].combine_chunks()
+        wanted, whose = wants.flatten().to_numpy(), np.repeat(np.arange(len(askers)), wants.value_lengths().to_numpy())
+        out = [empty]
+        for k in range(0, len(askers), 1024):
+            lo, hi = np.searchsorted(whose, (k, k + 1024))
+            met = []
+            for x in np.unique(wanted[lo:hi]):
+                begin, end = np.searchsorted(leaf, (x, x + 1))
+                if begin == end:
+                    continue
+                mine, keep = whose[lo:hi][wanted[lo:hi] == x], min(nearest, int(end - begin))
+                step = max(1, BATCH_SCORES // int(end - begin))
+                for j in range(0, len(mine), step):
+                    who = mine[j : j + step]
+                    score = np.einsum("qd,nd->qn", asked[who], base[begin:end])  # one order of summation for every pair
+                    score[askers[who, None] == ids[begin:end]] = -np.inf
+                    least = np.partition(score, end - begin - keep, axis=1)[:, end - begin - keep]
+                    q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                    by = np.lexsort((c, -score[q, c], q))
+                    q, c = q[by], c[by]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, c = q[place < nearest], c[place < nearest]
+                    met.append((who[q], ids[begin + c], score[q, c]))
+            if not met:
+                continue
+            q, to, score = (np.concatenate(x) for x in zip(*met, strict=True))
+            for one in (True, False):  # the largest product of two ids, then the ``nearest`` of those
+                by = np.lexsort((-score, to, q)) if one else np.lexsort((to, -score, q))
+                q, to, score = q[by], to[by], score[by]
+                stay = np.concatenate(([True], (q[1:] != q[:-1]) | (to[1:] != to[:-1]))) if one else np.arange(len(q)) - np.searchsorted(q, q) < nearest
+                q, to, score = q[stay], to[stay], score[stay]
+            out.append(pa.table({"query_id": askers[q], "vec_id": to, "score": score}))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(rank, FOUND)
+    return dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(rank, FOUND)
 
 
 def op2_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -276,6 +276,23 @@ def test_neighbours_visit_what_recall_needs(spark):
     assert hits / (200 * 20) >= 0.9
 
 
+def test_neighbours_in_thousands_of_leaves_that_many_queries_visit(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((6000, 6))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0, leaf_rows=4, visited=800, part_queries=2).collect():  # 4 trees of 2,048 leaves
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert len(got) == 60 and all(len(v) == 20 for v in got.values())
+    found = 0
+    for q, mine in got.items():
+        score = np.einsum("d,nd->n", base[q], base)
+        score[q] = -np.inf
+        found += len(set(np.argsort(-score)[:20].tolist()) & set(mine))
+        assert all(abs(score[k] - x) < 1e-12 for k, x in mine.items())
+    assert found >= 0.9 * 60 * 20
+
+
 def test_neighbours_of_two_lengths_and_of_repeated_ids(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.standard_normal(d).tolist()) for d in (4, 7) for k in range(0, 90, 1 if d == 4 else 3)] + [(200 + k, rng.standard_normal(7).tolist()) for k in range(40)]
