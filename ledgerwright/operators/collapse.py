@@ -163,25 +163,26 @@ def fold_history(df: DataFrame, arrival) -> DataFrame:
     return folded.select(*[F.col(c) if c in keys else F.col(f"s.{c}").alias(c) for c in df.columns if c not in arrival])
 
 
-def raw_and_gold(raw: DataFrame, gold: DataFrame, by: str | None = None) -> DataFrame:
+def raw_and_gold(raw: DataFrame, gold: DataFrame, by: str | None = None, gold_dealt: bool = False) -> DataFrame:
     """Current daily facts over raw observations and compacted gold: the best row of both, lifted to the best gold row's components.
 
-    Both meet in one aggregate, for which they are shuffled once; ``by``: as :func:`gathered` does it.
+    Both are ranked together, for which they are shuffled once, and only the columns that are asked for; ``by``: as :func:`gathered` does it.
+    ``gold_dealt``: gold is what :func:`current` has left, dealt out as the raw rows will be, and isn't shuffled again.
     """
     t = TABLES["daily_stats"]
-    both = raw.withColumn("gold__", F.lit(False)).unionByName(gold.withColumn("gold__", F.lit(True)))
     group = list(t.keys)
-    if by is None:
-        both = dealt(both, "daily_stats")
+    if by is None and gold_dealt:
+        both = dealt(raw.withColumn("gold__", F.lit(False)), "daily_stats").unionByName(gold.withColumn("gold__", F.lit(True)))
     else:
-        both, group = gathered(both, t.keys, by)
-    row = F.struct(*t.order, *[c for c in raw.columns if c not in t.keys and c not in t.order])
-    tokens = F.struct(*t.order, *TOKENS)
-    met = both.groupBy(*group).agg(F.max(row).alias("best"), F.max(F.when(F.col("gold__"), tokens)).alias("floor"))
-    lifted = {c: F.greatest(F.col(f"best.{c}"), F.col(f"floor.{c}")) for c in TOKENS}
-    total = F.greatest(F.col("best.total_tokens"), F.col("floor.total_tokens"), reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in lifted.values()]))
+        both = raw.withColumn("gold__", F.lit(False)).unionByName(gold.withColumn("gold__", F.lit(True)))
+        both, group = (dealt(both, "daily_stats"), group) if by is None else gathered(both, t.keys, by)
+    last = W.partitionBy(*group).orderBy(*[F.col(c).desc_nulls_last() for c in t.order], "gold__")
+    floor = F.max(F.when(F.col("gold__"), F.struct(*t.order, *TOKENS))).over(last.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    best = both.withColumn("floor", floor).withColumn("rank__", F.row_number().over(last)).where("rank__ = 1")
+    lifted = {c: F.greatest(F.col(c), F.col(f"floor.{c}")) for c in TOKENS}
+    total = F.greatest(F.col("total_tokens"), F.col("floor.total_tokens"), reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in lifted.values()]))
     own = {**lifted, "total_tokens": total.cast("long")}
-    return met.select(*[F.col(c) if c in t.keys else own.get(c, F.col(f"best.{c}")).alias(c) for c in raw.columns])
+    return best.select(*[own.get(c, F.col(c)).alias(c) for c in raw.columns])
 
 
 #: Parts that the keys of one partition are dealt into, so that a large one is written by several tasks.

@@ -20,16 +20,18 @@ def candidates(raw: DataFrame, progress: DataFrame, *bucket: str) -> DataFrame:
     return both.where(F.col("rows_seen") > F.col("rows_done"))
 
 
-def compact_daily(raw: DataFrame, gold: DataFrame, progress: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def compact_daily(raw: DataFrame, gold: DataFrame, progress: DataFrame, gold_dealt: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new rows of the touched day partitions, touched days, progress rows to append after they are written).
 
     Raw and gold rows of the touched days compete, so gold rows whose raw ones have expired take part. The caller writes the
     rows elsewhere first, overwrites these partitions from there, and appends the progress last, as the commit record.
+    ``gold_dealt``: as in :func:`raw_and_gold`.
     """
     grown = candidates(raw, progress, "source_id", "day")
     days = grown.select("day").distinct()
-    fresh = raw.drop("arrival_day").join(days, "day", "left_semi")
-    rows = raw_and_gold(fresh, gold.join(days, "day", "left_semi"))
+    touched = F.broadcast(days)  # a date a row, however large the facts are; without the hint they were shuffled by day
+    fresh = raw.drop("arrival_day").join(touched, "day", "left_semi")
+    rows = raw_and_gold(fresh, gold.join(touched, "day", "left_semi"), gold_dealt=gold_dealt)
     return rows, days, grown.select("source_id", "day", "arrival_day", F.col("rows_seen").alias("rows_done"))
 
 
@@ -42,7 +44,7 @@ def compact_grown(raw: DataFrame, gold: DataFrame, grown: DataFrame) -> tuple[Da
     near = grown.select(F.col("source_id").alias("s__"), F.col("day").alias("d__"), F.col("arrival_day").alias("a__"))
     same = F.col("source_id").eqNullSafe(F.col("s__")) & (F.col("day") == F.col("d__")) & F.col("arrival_day").eqNullSafe(F.col("a__"))
     fresh = raw.join(near, same, "left_semi").drop("arrival_day")
-    return raw_and_gold(fresh, gold.join(grown.select("day").distinct(), "day", "left_semi").select(*fresh.columns), "day"), grown.select("source_id", "day", "arrival_day", F.col("rows_seen").alias("rows_done"))
+    return raw_and_gold(fresh, gold.join(F.broadcast(grown.select("day").distinct()), "day", "left_semi").select(*fresh.columns), "day"), grown.select("source_id", "day", "arrival_day", F.col("rows_seen").alias("rows_done"))
 
 
 def compact_curation(raw: DataFrame, gold: DataFrame, table: str, affected: DataFrame) -> DataFrame:

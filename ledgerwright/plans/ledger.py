@@ -525,7 +525,7 @@ QUERIES = {
     "L7_newest_open_issues": lambda x: collapse.newest_open(x.issues, F.expr("timestamp_ntz'2024-04-20 00:00:00'")),
     "L8_backlog": lambda x: compaction.backlog(x.raw_gold[0], x.raw_gold[2], F.lit(dt.date(1998, 3, 1))),
     "M1_candidates": lambda x: compaction.candidates(x.raw_gold[0], x.raw_gold[2], "source_id", "day"),
-    "M2_compact_daily": lambda x: _plain(compaction.compact_daily(*x.raw_gold)[0], *DAILY),
+    "M2_compact_daily": lambda x: _plain(compaction.compact_daily(*x.raw_gold, gold_dealt=True)[0], *DAILY),
     "M2_published_daily": lambda x: _plain(_arrivals(x, BEFORE, "compaction-1", AFTER, "compaction-2", "compaction-3").read("daily_stats"), *DAILY),
     "M4_published_progress": lambda x: _arrivals(x, BEFORE, "compaction-1", AFTER, "compaction-2").read("compaction_ledger"),
     "M5_left_after_expiry": _left_after_expiry,

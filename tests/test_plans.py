@@ -37,6 +37,28 @@ def test_compaction_joins_no_floor(spark, sf_dir):
     assert not re.search(r"Join \[[^\]]*session_id", plan)
 
 
+def test_compaction_shuffles_gold_once_and_only_what_is_asked_for(spark, sf_dir):
+    plan = physical(QUERIES["M2_compact_daily"](Ledger(spark, sf_dir)))
+    assert "Exchange" not in plan[: plan.index("Union")] and len(re.findall(r"Exchange hashpartitioning\(source_id, client, session_id, ", plan)) == 2
+    assert "provider" not in plan and "perf_duration_ms" not in plan
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as where the facts are large: days are estimated by them
+        assert physical(QUERIES["M2_compact_daily"](Ledger(spark, sf_dir))).count("BroadcastHashJoin [day], [day], LeftSemi") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_gold_that_is_dealt_out_gives_the_same_rows(spark):
+    cols = "source_id string, day date, client string, session_id string, model string, event_id string, collected_at timestamp_ntz, input_tokens long, output_tokens long, cache_read long, cache_write long, reasoning long, total_tokens long"
+    t = dt.datetime(2026, 9, 20)
+    rows = [(None if k % 7 == 0 else "s", t.date(), "c", f"x{k % 40}", None if k % 5 == 0 else "m", f"e{k}", t + dt.timedelta(hours=k % 9), k % 11, k % 13, None, k % 3, 0, k % 11 + k % 13 + k % 3) for k in range(400)]
+    raw = spark.createDataFrame(rows, cols)
+    gold = collapse.current(raw.where("collected_at < timestamp_ntz'2026-09-20 05:00:00'"), "daily_stats")
+    one, two, three = (sorted(map(tuple, collapse.raw_and_gold(raw, gold, *how).collect()), key=repr) for how in ((None, True), (None, False), ("day",)))
+    assert one == two == three and len(one) == raw.select(*collapse.TABLES["daily_stats"].keys).distinct().count()
+
+
 def test_daily_payloads_are_parsed_once(spark, sf_dir):
     plan = QUERIES["A1_daily_payload_scan"](Ledger(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
